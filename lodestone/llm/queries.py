@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import minhash_tensor
+from . import cross_polytope, minhash_tensor, pigeonhole_join
 
 QUERIES = {
+    "op3_cross_polytope": cross_polytope.op3_cross_polytope,
+    "op7_pigeonhole": pigeonhole_join.op7_pigeonhole,
     "op9_minhash": minhash_tensor.op9_minhash,
 }
 ORACLES: dict[str, str] = {}

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import cross_polytope, minhash_tensor, pigeonhole_join
+from . import cross_polytope, minhash_tensor, pigeonhole_join, repeats
 
 QUERIES = {
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op7_pigeonhole": pigeonhole_join.op7_pigeonhole,
     "op9_minhash": minhash_tensor.op9_minhash,
+    "op10_repeats": repeats.op10_repeats,
 }
 ORACLES: dict[str, str] = {}

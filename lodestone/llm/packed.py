@@ -70,10 +70,10 @@ def gram(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((prefix[end] - prefix[start]) * powers(INVERSE, len(prefix))[start])
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of each word `[^\\x20\\x09-\\x0D]+`, and how many words each text has. No word crosses texts."""
+def words(buf: np.ndarray, offsets: np.ndarray, outside: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word `[^\\x20\\x09-\\x0D]+` (or of bytes not `outside`), and how many words each text has. No word crosses texts."""
     n = len(buf)
-    inside = ~SPACE[buf]
+    inside = ~outside[buf]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:] = inside[:-1]
     after[:-1] = inside[1:]

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats
+from . import crf_language, cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats
 
 QUERIES = {
     "op1_pfair_mix": pfair_mix.op1_pfair_mix,
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op5_pii": pii_offsets.op5_pii,
     "op7_pigeonhole": pigeonhole_join.op7_pigeonhole,
+    "op8_crf_language": crf_language.op8_crf_language,
     "op9_minhash": minhash_tensor.op9_minhash,
     "op10_repeats": repeats.op10_repeats,
 }

@@ -7,10 +7,11 @@ pair of a key of one and a key of the other is a table key, so `m * m` tables of
 cost `2 * m * r` minhashes. Candidates are confirmed on full sets.
 
 Equal sets fall together first, by 128 bits of set fingerprint and the set's size. In a bucket,
-documents are compared with one representative (the best connected one), then only documents
-that are still in different components, and whose signatures allow the similarity, with each
-other: a group of thousands of copies never becomes all of its pairs, and no link between two
-components is lost.
+documents are compared with one representative (the best connected one). Where a bucket still
+holds different components, its documents meet again, in parts of bounded size, two parts at a
+time, in the buckets of one key collection (which hold every tensored bucket); a task confirms
+pairs of different components whose signatures allow the similarity, and returns a spanning
+forest of its links: pairs are never listed, and no link between two components is lost.
 
 Defined cases: null, empty or blank texts have n_shingles 0, link with nothing and are kept;
 rows with equal doc_id count as one document, the first text by order; null doc_ids are left out.
@@ -131,21 +132,21 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int, share: int = 256) ->
     return dealt.mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b")
 
 
-def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, m: int = 8, r: int = 3, agree: float = 0.55) -> DataFrame:
+def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, width: int = 5, m: int = 10, r: int = 3, agree: float = 0.6, crowd: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable by links), kept (is that one).
 
     m, r: the tensor's size; a pair of similarity s is a candidate with probability
-    (1 - (1 - s^r)^m)^2, 0.999 at 0.85. agree: between two components of one bucket only, pairs
+    (1 - (1 - s^r)^m)^2, 0.9998 at 0.85. agree: between two components of one bucket only, pairs
     with fewer equal 4-bit minhashes than this share are not confirmed; at similarity 0.85 a true
-    pair falls below it with probability under 1e-6.
+    pair falls below it with probability under 1e-6. crowd: rows of a bucket's part.
     """
     source = narrowed(docs, id=id_col, text=text_col).where("id is not null").select(F.col("id").cast("long"), "text")
     signed = keep(source.mapInArrow(_signer(m, r, width), SIGNATURE))
     # one row a set: equal sets need no comparing
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("bits").alias("bits"))
     keyed = classes.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    live = keep(keyed.join(crowd, "key").select("id", "key", "n"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    live = keep(keyed.join(shared, "key").select("id", "key", "n"))
     weight = live.groupBy("id").agg(F.sum("n").alias("w"))
     reps = live.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("rep"))
     near = live.join(reps, "key").where("id <> rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("tables"))
@@ -154,29 +155,26 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tables", -F.col("b"))).alias("b"))
     links = keep(_links(best, sets, percent))
-    tested, named = best, connected_components(links)
-    # the other representatives, then all that share a bucket, wherever components still differ
-    for step in ("representatives", "all"):
-        label = lambda ids, name: named.select(F.col("id").alias(ids), F.col("component").alias(name))
-        if step == "representatives":
-            more = pairs.select("a", "b").join(tested, ["a", "b"], "left_anti")
-            more = more.join(label("a", "ca"), "a", "left").join(label("b", "cb"), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        else:
-            placed = live.join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("c"))
-            torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            rows = placed.join(torn, "key").join(classes.select("id", "n_shingles", "bits"), "id")
-            x, y = rows.alias("x"), rows.alias("y")
-            words64 = -(-2 * m * r // 16)
-            differ = sum(_nibbles(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(words64))
-            fits = (F.lit(100) * F.least("x.n_shingles", "y.n_shingles") >= F.lit(percent) * F.greatest("x.n_shingles", "y.n_shingles")) & (differ <= int(2 * m * r * (1 - agree)))
-            more = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & fits).select(F.least("x.id", "y.id").alias("b"), F.greatest("x.id", "y.id").alias("a")).distinct()
-            more = more.join(tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "b")
-        more = keep(more)
-        if more.isEmpty():
-            continue
-        links = keep(links.union(_links(more, sets, percent)))
-        tested, named = tested.union(more), connected_components(links)
-    of_class = named.select("id", "component")
+    # the other representatives, unless one hop already leads to them
+    hop = links.groupBy("a").agg(F.min("b").alias("c"))
+    more = pairs.select("a", "b").join(best, ["a", "b"], "left_anti")
+    more = more.join(hop, "a", "left").join(hop.select(F.col("a").alias("b"), F.col("c").alias("d")), "b", "left").where("coalesce(c, a) <> coalesce(d, b)").select("a", "b")
+    links = keep(links.union(_links(keep(more), sets, percent)))
+    named = keep(connected_components(links).select("id", F.col("component").alias("c")))
+    # then all that share a table, wherever components still differ: met in the buckets of one collection
+    placed = live.join(named, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
+    torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    open_ = placed.join(torn, "key", "left_semi").groupBy("id").agg(F.first("c").alias("c"))
+    seated = open_.join(classes, "id").select("id", "c", "n_shingles", "bits", "left", F.posexplode("left").alias("j", "l"))
+    crowds = seated.groupBy("j", "l").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).where("lo < hi")
+    crowds = crowds.select("j", "l", F.ceil(F.greatest(F.col("n") / crowd, F.col("w") / 1_000_000)).cast("int").alias("parts"))
+    seats = seated.join(crowds, ["j", "l"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    seats = seats.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    seats = seats.select("j", "l", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "id", "c", "n_shingles", "bits", "left").join(sets, "id")
+    found = keep(seats.groupBy("j", "l", "first", "second").applyInArrow(_met(percent, int(2 * m * r * (1 - agree))), "a long, b long"))
+    if not found.isEmpty():
+        named = connected_components(named.select(F.col("id").alias("a"), F.col("c").alias("b")).union(found)).select("id", F.col("component").alias("c"))
+    of_class = named.select("id", F.col("c").alias("component"))
     roots = classes.select("f1", "f2", "n_shingles", "id").join(of_class, "id", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = signed.join(roots, ["f1", "f2", "n_shingles"], "left")
     out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
@@ -184,10 +182,48 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return out.groupBy(F.col("id").alias("doc_id")).agg(F.first("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _nibbles(x):
-    """How many of the sixteen nibbles of a long are not zero."""
-    any_bit = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
-    return F.bit_count(any_bit.bitwiseAND(F.lit(0x1111111111111111)))
+def _met(percent: int, apart: int):
+    """Links between components of a bucket's two parts: a spanning forest of them, never all pairs."""
+    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+    def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        j, first, second = key[0].as_py(), key[2].as_py(), key[3].as_py()
+        group = group.combine_chunks()
+        ids, c, n, part = (group.column(x).to_numpy() for x in ("id", "c", "n_shingles", "part"))
+        left, bits = (group.column(x).combine_chunks().flatten().to_numpy().view(U).reshape(len(ids), -1) for x in ("left", "bits"))
+        held = group.column("shingles").combine_chunks()
+        at, values = held.offsets.to_numpy(), held.values.to_numpy().view(U)
+        root = {x: x for x in c.tolist()}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        for i in range(len(ids)):
+            rest = np.arange(i + 1, len(ids)) if first == second else np.flatnonzero((part != part[i]) & (np.arange(len(ids)) > i))
+            rest = rest[(c[rest] != c[i]) & (100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i]))]
+            # a pair belongs to the first collection key it shares
+            rest = rest[~(left[rest, :j] == left[i, :j]).any(axis=1)]
+            x = bits[rest] ^ bits[i]
+            x |= x >> U(1)
+            x |= x >> U(2)
+            differ = ones[(x & U(0x1111111111111111)).view(np.uint8)].reshape(len(rest), -1).sum(axis=1) if len(rest) else np.zeros(0, np.int64)
+            rest, differ = rest[differ <= apart], differ[differ <= apart]
+            own = values[at[i] : at[i + 1]]
+            for k in rest[np.argsort(differ, kind="stable")].tolist():
+                x, y = top(int(c[i])), top(int(c[k]))
+                if x == y:
+                    continue
+                other = values[at[k] : at[k + 1]]
+                both = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * both >= percent * (len(own) + len(other) - both):
+                    root[max(x, y)] = min(x, y)
+                    out.append((ids[i], ids[k]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return meet
 
 
 def op9_minhash(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ for, so they need no global sort and no sequence of rounds over the corpus.
 Whole texts stay where they are until the run of each document is known; they are shuffled
 twice, by row key, to refine and to cut. No bucket is gathered in one task: counts are
 pre-aggregated, joins are left to skew splitting, and buckets beyond `crowd` members are refined
-as rows instead of in batches.
+as rows instead of in batches: blocks of `block` suffixes go into deeper buckets (the bytes that
+all of them hold), and only what ends a repeat there becomes rows of suffixes.
 
 Defined cases: null and empty texts have n_bytes 0 and nothing removed; texts shorter than
 `length` bytes lose nothing; each input row gives one output row, and rows that repeat (same id
@@ -177,6 +178,32 @@ def _refine_apart(length: int, q: int):
     return refine
 
 
+def _blocked(length: int, q: int, block: int):
+    """Runs of a crowded bucket, cut at fixed distances from their anchor: the bytes that every suffix of such a block holds (its deeper bucket), its whole stretch, and its bytes."""
+
+    def cut(batches):
+        for batch in batches:
+            rows: list[tuple] = []
+            for gram_, k, start, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "k", "start", "piece")), strict=True):
+                data = np.frombuffer(piece, np.uint8)
+                many, prefix = len(data) - length + 1, sums(data)
+                lo, hi = many - 1, length - q + 1  # the anchor lies inside every suffix
+                grams = gram(prefix, np.arange(lo, hi), np.arange(lo + q, hi + q)).view(np.int64) & np.int64(-2)
+                anchor = lo + int(np.flatnonzero(grams == gram_)[0])
+                far = (anchor - np.arange(many)) // block
+                first = np.flatnonzero(np.append(True, far[1:] != far[:-1]))
+                size = np.diff(np.append(first, many))
+                left = anchor - far[first] * block
+                core = mixed(gram(prefix, left, left + length - block + 1) + far[first].astype(U)) & ~U(1)
+                whole = mixed(gram(prefix, first, first + size + length - 1) + size.astype(U)) | U(1)
+                rows += [(k, start + a, n, c, w, piece[a : a + n + length - 1]) for a, n, c, w in zip(first.tolist(), size.tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "start", "many", "gram", "whole", "piece"])
+
+    return cut
+
+
 def _cut(length: int):
     def cut(batches):
         for batch in batches:
@@ -213,7 +240,7 @@ def _settle(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32, crowd: int = 4096) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32, crowd: int = 4096, block: int = 16) -> DataFrame:
     """(k, start, many): suffixes [start, start + many) of row k whose first `length` bytes also start elsewhere. docs: k, text."""
     spark = docs.sparkSession
     runs = keep(docs.mapInArrow(_runs(length, q), "k long, start int, many int, gram long, whole long"))
@@ -233,9 +260,16 @@ def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32, crowd: int =
     pieces = keep(docs.join(opened, "k").mapInArrow(_contexts(length), "gram long, crowd boolean, k long, start int, piece binary"))
     _settle(spark)
     small = pieces.where("not crowd").drop("crowd").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_together(length, q), "k long, start int, many int")
-    each = pieces.where("crowd").drop("crowd").mapInArrow(_refine_apart(length, q), "sid long, k long, start int")
+    # crowded buckets: deeper buckets first, then only blocks that end a repeat as rows of suffixes
+    blocks = keep(pieces.where("crowd").drop("crowd").mapInArrow(_blocked(length, q, block), "k long, start int, many int, gram long, whole long, piece binary"))
+    often = keep(blocks.select(F.explode(F.array("gram", "whole")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
+    deep = blocks.join(often.withColumnRenamed("id", "gram"), "gram").join(often.select(F.col("id").alias("whole"), F.lit(True).alias("done")), "whole", "left")
+    settled = deep.where("done").select("k", "start", "many")
+    ends = deep.where("done is null").select("gram", "k", "start", "piece")
+    one = deep.where("done").groupBy("whole").agg(F.min(F.struct("gram", "k", "start", "piece")).alias("one")).select("one.*").join(ends.select("gram").distinct(), "gram", "left_semi")
+    each = keep(ends.union(one.select("gram", "k", "start", "piece")).select("k", "start", "piece").mapInArrow(_refine_apart(length, q), "sid long, k long, start int"))
     again = each.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sid")
-    large = each.join(again, "sid").select("k", "start", F.lit(1).alias("many"))
+    large = settled.union(each.join(again, "sid").select("k", "start", F.lit(1).alias("many")))
     out = keep(alive.where("done").select("k", "start", "many").union(small).union(large))
     discard(alive)
     discard(pieces)
@@ -243,11 +277,11 @@ def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32, crowd: int =
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, q: int = 32, crowd: int = 4096) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, q: int = 32, crowd: int = 4096, block: int = 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     source = source.withColumn("k", F.xxhash64("doc_id", "text"))
-    gone = repeated_runs(source.select("k", "text"), length, q, crowd).groupBy("k").agg(F.collect_list(F.struct("start", "many")).alias("gone"))
+    gone = repeated_runs(source.select("k", "text"), length, q, crowd, block).groupBy("k").agg(F.collect_list(F.struct("start", "many")).alias("gone"))
     empty = F.array().cast("array<struct<start:int,many:int>>")
     rows = source.join(gone, "k", "left").select("doc_id", "text", F.coalesce("gone", empty).alias("gone"))
     return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

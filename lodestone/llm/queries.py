@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import crf_language, cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats, secret_forest
+from . import crf_language, cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats, secret_forest, unigram_pieces
 
 QUERIES = {
     "op1_pfair_mix": pfair_mix.op1_pfair_mix,
     "op2_secret_forest": secret_forest.op2_secret_forest,
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
+    "op4_unigram_pieces": unigram_pieces.op4_unigram_pieces,
     "op5_pii": pii_offsets.op5_pii,
     "op7_pigeonhole": pigeonhole_join.op7_pigeonhole,
     "op8_crf_language": crf_language.op8_crf_language,

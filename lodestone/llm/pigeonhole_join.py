@@ -9,6 +9,7 @@ and counted in the first block that finds it, so the union needs no list of pair
 Equal vectors fall together first and are counted by multiplicity. A crowded cell is split into
 parts that meet two at a time; a task returns counts and a spanning forest of its links, never
 the links themselves, so a group of thousands of near copies stays linear in what is shuffled.
+Cells carry ids; vectors join them once the crowded cells are known.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing (n_links 0, a component of their own, kept); vectors of different lengths do not
@@ -28,7 +29,7 @@ from .components import connected_components
 from .tables import keep
 from .vectors import matrix, one_each, rotation, usable
 
-CELLS = "block int, cell long, home boolean, id long, n long, v array<double>"
+CELLS = "block int, cell long, home boolean, id long"
 
 
 def _turned(x: np.ndarray) -> np.ndarray:
@@ -53,7 +54,7 @@ def _celled(budget: float, blocks: int, axes: int):
                 t = _turned(matrix(rows.column("v")))
                 spans = _spans(int(d), blocks)
                 reach = np.sqrt(budget / len(spans)) * (1 + 1e-9)
-                width = 2.2 * reach
+                width = 3 * reach
                 for b, (lo, hi) in enumerate(spans):
                     g = t[:, lo : min(hi, lo + axes)]
                     own = np.floor(g / width).astype(np.int64)
@@ -65,8 +66,7 @@ def _celled(budget: float, blocks: int, axes: int):
                         c = code(cell)
                         at = np.flatnonzero((c <= home) & ((gap * gap).sum(1) <= reach * reach * (1 + 1e-9)))
                         if len(at):
-                            part = rows.take(pa.array(at))
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(c[at]), pa.array(c[at] == home[at]), part.column("id"), part.column("n"), part.column("v")], ["block", "cell", "home", "id", "n", "v"])
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(c[at]), pa.array(c[at] == home[at]), rows.column("id").take(pa.array(at))], ["block", "cell", "home", "id"])
 
     return place
 
@@ -84,7 +84,7 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = nxt
 
 
-def _met(cosine: float, blocks: int, rows_at_once: int = 512):
+def _met(cosine: float, blocks: int, rows_at_once: int = 256):
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         block, first, second = key[0].as_py(), key[2].as_py(), key[3].as_py()
         group = group.combine_chunks()
@@ -125,16 +125,18 @@ def _met(cosine: float, blocks: int, rows_at_once: int = 512):
     return meet
 
 
-def vector_clusters(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, axes: int = 3, crowd: int = 2048) -> DataFrame:
+def vector_clusters(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, axes: int = 2, crowd: int = 8192) -> DataFrame:
     """id, n_links, component_id, kept. axes: coordinates of each block that the grid uses; crowd: rows of a cell's part."""
     every = one_each(vectors, id_col, vector_col)
-    sound = every.where(usable("v")).select("id", F.col("v").cast("array<double>").alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
+    # single precision stays single while it is shuffled; all arithmetic is double
+    held = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
+    sound = every.where(usable("v")).select("id", F.col("v").cast(held).alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
     classes = keep(sound.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
-    placed = keep(classes.select("id", "n", "v").mapInArrow(_celled(2 - 2 * cosine, blocks, axes), CELLS))
+    placed = keep(classes.select("id", "v").mapInArrow(_celled(2 - 2 * cosine, blocks, axes), CELLS))
     cells = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("hosted")).where("rows > 1 and hosted").select("block", "cell", F.ceil(F.col("rows") / crowd).cast("int").alias("parts"))
     rows = placed.join(cells, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("block", "cell", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "home", "id", "n", "v")
+    rows = rows.select("block", "cell", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), "part", "home", "id").join(classes.select("id", "n", "v"), "id")
     met = keep(rows.groupBy("block", "cell", "first", "second").applyInArrow(_met(cosine, blocks), "id long, links long, to long"))
     roots = connected_components(met.select(F.col("id").alias("a"), F.col("to").alias("b")))
     linked = met.groupBy("id").agg(F.sum("links").alias("links"))

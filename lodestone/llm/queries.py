@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import crf_language, cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats, secret_forest, unigram_pieces
+from . import context_mixing, crf_language, cross_polytope, minhash_tensor, pfair_mix, pigeonhole_join, pii_offsets, repeats, secret_forest, unigram_pieces
 
 QUERIES = {
     "op1_pfair_mix": pfair_mix.op1_pfair_mix,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_cross_polytope": cross_polytope.op3_cross_polytope,
     "op4_unigram_pieces": unigram_pieces.op4_unigram_pieces,
     "op5_pii": pii_offsets.op5_pii,
+    "op6_context_mixing": context_mixing.op6_context_mixing,
     "op7_pigeonhole": pigeonhole_join.op7_pigeonhole,
     "op8_crf_language": crf_language.op8_crf_language,
     "op9_minhash": minhash_tensor.op9_minhash,

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .packed import U, gram, mixed, packs, sums, words
 from .tables import fold, narrowed
@@ -196,7 +197,7 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
 
 def has_letter(text: str) -> Column:
-    return F.coalesce(F.regexp_like(F.col(text), F.lit(r"\p{L}")), F.lit(False))
+    return F.coalesce(F.regexp_like(F.col(f"`{text}`"), F.lit(r"\p{L}")), F.lit(False))
 
 
 def _tagged(crf: Crf, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -212,8 +213,8 @@ def _tagged(crf: Crf, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 def _identified(crf: Crf | None):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in packs(batches, "text", 4 << 20):
-            sure = rows.column("lettered").to_numpy(zero_copy_only=False).astype(bool)
+        for rows, buf, offsets in packs(batches, "_lower", 4 << 20):
+            sure = rows.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
             pred, score = np.full(len(rows), UND, object), np.zeros(len(rows))
             if crf is not None:
                 _, _, n, post = _tagged(crf, buf, offsets)
@@ -223,15 +224,18 @@ def _identified(crf: Crf | None):
                 share = (total[first[has] + n[has]] - total[first[has]]) / n[has, None]
                 pred[has] = np.array(crf.labels, object)[share.argmax(axis=1)] if len(has) else UND
                 score[has] = np.clip(share.max(axis=1), 0, 1) if len(has) else 0
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rows.schema.names if c not in ("text", "lettered")), pa.array(pred, pa.string()), pa.array(score)], [*(c for c in rows.schema.names if c not in ("text", "lettered")), "lang_pred", "score"])
+            names = [c for c in rows.schema.names if c not in ("_lower", "_lettered")]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return identify
 
 
-def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score (its mean word posterior) of every row."""
-    rows = narrowed(docs, id=id_col, text=text_col).select("id", has_letter("text").alias("lettered"), F.lower("text").alias("text"))
-    return rows.mapInArrow(_identified(crf), f"id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+def identify(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """The columns `keep` (default: doc_id), lang_pred, score (its mean word posterior) of every row."""
+    kept = docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id"]])
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], has_letter(text_col).alias("_lettered"), F.lower(F.col(f"`{text_col}`")).alias("_lower"))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in kept.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_identified(crf), schema)
 
 
 def _labelled(crf: Crf):
@@ -258,4 +262,4 @@ def op8_crf_language(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     crf = train(docs, fold("id", 4) != 2)
     out = identify(docs, crf)
-    return out.select(F.col("id").alias("doc_id"), F.coalesce(fold("id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

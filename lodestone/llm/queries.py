@@ -17,3 +17,4 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
 }
 ORACLES: dict[str, str] = {}
+

@@ -20,10 +20,14 @@ import math
 import random
 import re
 import string
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import narrowed
+from .tables import narrowed, shared_dir
 
 # Published shapes of credentials, names that announce one, words that deny one.
 SHAPES = {
@@ -201,29 +205,55 @@ def find_secrets(docs: DataFrame, forest: PipelineModel | None = None, id_col: s
 MASK = "[SECRET]"
 
 
-def _masked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        texts = []
-        for text, spans in zip(frame["text"], frame["spans"], strict=True):
-            done, pieces = 0, []
-            for s, e in sorted((x["start"], x["end"]) for x in spans):
-                pieces += [text[done:s], MASK]
-                done = e
-            texts.append("".join(pieces) + text[done:])
-        yield frame.drop(columns="spans").assign(text=texts)
-
-
-def redact(docs: DataFrame, forest: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """docs with each secret replaced by MASK; rows without one stay as they are. Only rows with secrets meet a shuffle."""
-    row = "_secret_row"
-    keyed = docs.withColumn(row, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
-    found = find_secrets(keyed.drop(*[c for c in docs.columns if c not in (text_col, path_col)]), forest, row, text_col, path_col, threshold).where("is_secret")
-    spans = found.groupBy(F.col("id").alias(row)).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = keyed.join(spans, row, "left")
-    texts = joined.where("spans is not null").select(row, F.col(f"`{text_col}`").alias("text"), "spans").dropDuplicates([row])
-    masked = texts.mapInPandas(_masked, f"{row} long, text string").withColumnRenamed("text", "_masked")
-    out = keyed.join(masked, row, "left")
-    return out.select(*[F.coalesce("_masked", F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+class Trees:
+    """A fitted forest as arrays, for use inside a task."""
+
+    def __init__(self, spark: SparkSession, forest: PipelineModel):
+        path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+        forest.stages[-1].write().save(path)
+        # a bounded number of nodes: trees times 2 ** depth
+        rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*")
+        rows = rows.select("treeID", "id", "leftChild", "rightChild", "impurityStats", F.col("split.featureIndex").alias("feature"), F.get("split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).orderBy("treeID", "id").collect()
+        self.trees = []
+        for _, nodes in groupby(rows, key=lambda x: x["treeID"]):
+            nodes = list(nodes)
+            stats = np.array([x["impurityStats"] for x in nodes])
+            self.trees.append((np.array([x["feature"] for x in nodes]), np.array([x["threshold"] or 0.0 for x in nodes]), np.array([x["leftChild"] for x in nodes]), np.array([x["rightChild"] for x in nodes]), stats[:, 1] / stats.sum(axis=1)))
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(x))
+        for feature, threshold, left, right, share in self.trees:
+            node = np.zeros(len(x), np.int64)
+            while (inner := np.flatnonzero(left[node] >= 0)).size:
+                at = node[inner]
+                node[inner] = np.where(x[inner, feature[at]] <= threshold[at], left[at], right[at])
+            total += share[node]
+        return total / len(self.trees)
+
+
+def _masked(trees: Trees, text_col: str, path_col: str, threshold: float):
+    def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            at = batch.schema.get_field_index(text_col)
+            for text, path in zip(batch.column(at).to_pylist(), batch.column(path_col).to_pylist(), strict=True):
+                if found := candidates(text) if text else []:
+                    model = pair_model(text)
+                    x = np.array([measures(text, str(path or ""), *f, model) for f in found])
+                    for (start, end, *_), p in list(zip(found, trees.probability(x), strict=True))[::-1]:
+                        if p >= threshold:
+                            text = text[:start] + MASK + text[end:]
+                texts.append(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return mask
+
+
+def redact(docs: DataFrame, forest: PipelineModel | None = None, text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+    """docs with each secret replaced by MASK, in one pass over the rows."""
+    spark = docs.sparkSession
+    trees = Trees(spark, forest or default_forest(spark))
+    return docs.mapInArrow(_masked(trees, text_col, path_col, threshold), docs.schema)
 
 
 def op2_secret_forest(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,96 @@
+"""HTML pages as titles and ordered elements."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.text import clean_text, normalize_label
+
+# Tags whose content is no text of the page.
+NOISE = ("script", "style", "nav", "header", "footer", "aside", "noscript", "form", "iframe")
+BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li")
+
+
+def page_title(html: Column, fallback: Column) -> Column:
+    """The first h1 that isn't empty, else the title, else the fallback; tags inside are dropped."""
+    inner = lambda tag: clean_text(normalize_label(F.regexp_replace(F.regexp_extract(html, f"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), "<[^>]*>", "")))
+    return F.coalesce(inner("h1"), inner("title"), fallback)
+
+
+class _Elements(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.noise, self.open, self.parts, self.found = 0, None, [], []
+        self.row: list[str] | None = None
+        self.cells = 0
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in NOISE:
+            self.noise += 1
+        elif not self.noise and tag == "tr":
+            self.row = []
+        elif not self.noise and tag in ("td", "th"):
+            self.parts, self.cells = [], 1
+        elif not self.noise and tag in BLOCKS:
+            self.close()
+            self.open, self.parts = tag, []
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag in NOISE:
+            self.noise = max(0, self.noise - 1)
+        elif tag in ("td", "th") and self.row is not None:
+            self.row.append(" ".join("".join(self.parts).split()))
+            self.parts, self.cells = [], 0
+        elif tag == "tr" and self.row is not None:
+            if any(self.row):
+                self.found.append(("table_row", " | ".join(self.row), None))
+            self.row = None
+        elif tag == self.open:
+            self.close()
+
+    def handle_data(self, data: str) -> None:
+        if not self.noise and (self.open or self.cells):
+            self.parts.append(data)
+
+    def close(self) -> None:
+        if self.open:
+            text = " ".join("".join(self.parts).split())
+            if text:
+                level = int(self.open[1]) if self.open[0] == "h" else None
+                self.found.append(("title" if level else "list_item" if self.open == "li" else "paragraph", text, level))
+        self.open = None
+        self.parts = []
+
+
+def elements_of(html: str) -> list[tuple[int, str, str, int | None, int | None]]:
+    """(order_index, type, content, heading_level, index of the nearest heading above)."""
+    parser = _Elements()
+    parser.feed(html or "")
+    parser.close()
+    out, above = [], {}
+    for i, (kind, text, level) in enumerate(parser.found):
+        if level:
+            above = {k: v for k, v in above.items() if k < level}
+        parent = above[max(above)] if above else None
+        out.append((i, kind, text, level, parent))
+        if level:
+            above[level] = i
+    return out
+
+
+def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, order_index, element_type, content, heading_level, parent_index of every page."""
+    columns = [key, "order_index", "element_type", "content", "heading_level", "parent_index"]
+
+    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(k, *e) for k, h in zip(frame[key], frame[html], strict=True) for e in elements_of(h)]
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"heading_level": "Int32", "parent_index": "Int32"})
+
+    return pages.select(key, html).mapInPandas(parse, f"{key} {pages.schema[key].dataType.simpleString()}, order_index int, element_type string, content string, heading_level int, parent_index int")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 def failed(jobs: DataFrame, which: Column) -> DataFrame:
     """Failure of the rows in `which`: back to pending with one more try while tries are left, else failed."""
     again = F.col("retry_count") < F.col("max_retries")
-    return jobs.withColumn("status", F.when(which & again, "pending").when(which, "failed").otherwise(F.col("status"))).withColumn("retry_count", F.when(which & again, F.col("retry_count") + 1).otherwise(F.col("retry_count")))
+    status = F.when(which & again, "pending").when(which, "failed").otherwise(F.col("status"))
+    return jobs.withColumns({"status": status, "retry_count": F.when(which & again, F.col("retry_count") + 1).otherwise(F.col("retry_count"))})
 
 
 def succeeded(jobs: DataFrame, which: Column) -> DataFrame:
-    return jobs.withColumn("status", F.when(which, "success").otherwise(F.col("status"))).withColumn("progress", F.when(which, 100).otherwise(F.col("progress")))
+    return jobs.withColumns({"status": F.when(which, "success").otherwise(F.col("status")), "progress": F.when(which, 100).otherwise(F.col("progress"))})
 
 
 def retried(jobs: DataFrame, which: Column) -> DataFrame:

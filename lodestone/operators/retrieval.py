@@ -26,8 +26,12 @@ def dense(rows: DataFrame, vector: list[float], id_col: str, vector_col: str, k:
 def prefiltered(rows: DataFrame, query: str, weights: dict[str, int], id_col: str, k: int = 20, terms: int = 16) -> DataFrame:
     """The best rows by summed weights: the query counts 20, each term 1, times the column's weight; clamp(10 k, 100, 500) of them."""
     words = F.slice(query_terms(F.lit(query)), 1, terms)
-    hit = lambda c, x: (F.instr(F.lower(F.coalesce(F.col(c), F.lit(""))), x) > 0).cast("int")
-    parts = [20 * w * hit(c, F.lower(F.lit(query))) + w * F.size(F.filter(words, lambda t, c=c: F.instr(F.lower(F.coalesce(F.col(c), F.lit(""))), t) > 0)) for c, w in weights.items()]
+
+    def points(column: str) -> Column:
+        low = F.lower(F.coalesce(F.col(column), F.lit("")))
+        return 20 * (F.instr(low, F.lower(F.lit(query))) > 0).cast("int") + F.size(F.filter(words, lambda t: F.instr(low, t) > 0))
+
+    parts = [w * points(c) for c, w in weights.items()]
     rank: Column = sum(parts[1:], parts[0])
     return rows.withColumn("prefilter_rank", rank).where("prefilter_rank > 0").orderBy(F.desc("prefilter_rank"), id_col).limit(min(500, max(100, 10 * k)))
 
@@ -53,7 +57,8 @@ def merged(branches: dict[str, DataFrame], id_col: str) -> DataFrame:
     for i, (name, rows) in enumerate(branches.items()):
         place = F.row_number().over(Window.orderBy(*[F.desc(c) for c in scores if c in rows.columns], id_col))  # at most k rows
         rows = rows.withColumn("seen", F.struct(F.lit(i).alias("branch"), place.alias("place"), F.lit(name).alias("name")))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        rows = rows.withColumns({c: F.lit(0.0) for c in scores if c not in rows.columns}).drop("place")
+        out = rows if out is None else out.unionByName(rows)
     merged_ = out.groupBy(id_col).agg(*[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in scores], F.array_sort(F.collect_set("seen")).alias("seen"))
     return merged_.select(id_col, *scores, F.array_join(F.array_distinct(F.transform("seen", lambda s: s["name"])), ",").alias("sources"), F.col("seen")[0].alias("first_seen"))
 

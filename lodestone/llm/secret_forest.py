@@ -231,12 +231,11 @@ class Trees:
         return total / len(self.trees)
 
 
-def _masked(trees: Trees, text_col: str, path_col: str, threshold: float):
+def _masked(trees: Trees, at: int, path_at: int, threshold: float):
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            at = batch.schema.get_field_index(text_col)
-            for text, path in zip(batch.column(at).to_pylist(), batch.column(path_col).to_pylist(), strict=True):
+            for text, path in zip(batch.column(at).to_pylist(), batch.column(path_at).to_pylist(), strict=True):
                 if found := candidates(text) if text else []:
                     model = pair_model(text)
                     x = np.array([measures(text, str(path or ""), *f, model) for f in found])
@@ -253,7 +252,10 @@ def redact(docs: DataFrame, forest: PipelineModel | None = None, text_col: str =
     """docs with each secret replaced by MASK, in one pass over the rows."""
     spark = docs.sparkSession
     trees = Trees(spark, forest or default_forest(spark))
-    return docs.mapInArrow(_masked(trees, text_col, path_col, threshold), docs.schema)
+    # any column names may come: inside, columns go by place
+    names, at = docs.columns, [docs.columns.index(c) for c in (text_col, path_col)]
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.mapInArrow(_masked(trees, *at, threshold), plain.schema).toDF(*names)
 
 
 def op2_secret_forest(spark, sf_dir: str) -> DataFrame:

@@ -1,0 +1,44 @@
+import numpy as np
+import pandas as pd
+import pytest
+
+from lodestone.llm import secret_forest as sf
+from tests.llm.fixtures import docs, empty
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return sf.default_forest(spark)
+
+
+def test_held_out_findings(spark, forest):
+    cases = sf.labelled_findings(600, seed=77)
+    frame = spark.createDataFrame(pd.DataFrame([(i, *c) for i, c in enumerate(cases)], columns=["doc_id", "text", "source", "secret"]))
+    found = {r.id: r.is_secret for r in sf.find_secrets(frame, forest).collect()}
+    right = [found[i] == c[2] for i, c in enumerate(cases) if i in found]
+    assert len(right) > 450 and np.mean(right) > 0.97
+
+
+def test_masking_and_odd_rows(spark, forest):
+    secret = "908038b7daaf91e730d2f64001c52934d43d9336"
+    frame = docs(spark).union(spark.createDataFrame([(1, f'it is token = "{secret}" here', "en", "src1", 1, None, None, None, None)] * 2, docs(spark).schema))
+    out = sf.redact(frame, forest).collect()
+    assert len(out) == frame.count()
+    texts = [r.text for r in out if r.doc_id == 1 and r.text.startswith("it is")]
+    assert texts == ['it is token = "[SECRET]" here'] * 2
+    assert {r.doc_id for r in out if r.text is None} == {100_000}
+    assert sf.redact(empty(spark), forest).count() == 0
+    assert sf.find_secrets(empty(spark), forest).count() == 0
+
+
+def test_arrays_equal_the_forest(spark, forest):
+    cases = [(i, t, p) for i, (t, p, _) in enumerate(sf.labelled_findings(120, seed=5))]
+    found = sf.scan(spark.createDataFrame(cases, "doc_id long, text string, source string"))
+    scored = forest.transform(found).toPandas()
+    assert np.allclose(sf.Trees(spark, forest).probability(scored[sf.FEATURES].to_numpy()), [p[1] for p in scored["probability"]])
+
+
+def test_candidates_are_linear_and_apart():
+    for text in ("a=b" * 40_000, "token=" * 20_000, "1a" * 60_000, "-----BEGIN PRIVATE KEY-----" * 500):
+        spans = sf.candidates(text)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))

@@ -80,3 +80,35 @@ def reranked(rows: DataFrame, group: str, k: int = 8, per_group: int = 2) -> Dat
     order = [F.desc("final_score"), F.asc("first_seen")]
     capped = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= per_group).drop("_n")
     return capped.orderBy(*order).limit(k)
+
+
+def policy_filter(rows: DataFrame, published_only: bool = True, validity: tuple[str, ...] = ("active", "unknown"), levels: tuple[str, ...] = (), since: str | None = None, until: str | None = None) -> DataFrame:
+    """The chunks a search may see; a row without a date fails a date filter."""
+    if published_only:
+        rows = rows.where("publish_status = 'published'")
+    if validity:
+        rows = rows.where(F.col("validity_status").isin(*validity))
+    if levels:
+        rows = rows.where(F.col("policy_level").isin(*levels))
+    if since:
+        rows = rows.where(F.col("publish_date") >= F.lit(since).cast("date"))
+    return rows.where(F.col("publish_date") <= F.lit(until).cast("date")) if until else rows
+
+
+def retrieve(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float], model: str, version: str, level: str | None = None, k: int = 8, **filters) -> DataFrame:
+    """The k best chunks (chunk_id, document_id, retrieval_text, title, document_no, policy_level, validity_status, publish_status, publish_date) of a query, with scores and sources."""
+    base = policy_filter(chunks, **filters)
+    text = F.concat_ws("\n", "retrieval_text", "title", "document_no")
+    vectors = embeddings.where((F.col("embedding_model") == model) & (F.col("embedding_version") == version)).join(base.select("chunk_id"), "chunk_id")
+    words = prefiltered(base, query, {"retrieval_text": 1, "title": 2, "document_no": 3}, "chunk_id")
+    branches = {"dense": dense(vectors, vector, "chunk_id", "embedding"), "keyword": keyword(words, query, text, "chunk_id"), "fulltext": tokens(base, query, text, "chunk_id")}
+    found = merged(branches, "chunk_id").join(base, "chunk_id")
+    bonus = metadata_score(F.col("validity_status"), F.col("publish_status"), F.col("policy_level"), level)
+    return reranked(found.withColumn("final_score", final_score(POLICY, bonus)), "document_id", k)
+
+
+def context(hits: DataFrame, blocks: int = 8) -> DataFrame:
+    """rank, block: the evidence text of the best hits."""
+    top = hits.orderBy(F.desc("final_score"), F.asc("first_seen")).limit(blocks)
+    rank = F.row_number().over(Window.orderBy(F.desc("final_score"), F.asc("first_seen")))  # at most `blocks` rows
+    return top.withColumn("rank", rank).select("rank", F.format_string("资料%d\n%s\n%s", "rank", F.coalesce("title", F.lit("")), "retrieval_text").alias("block"))

@@ -102,18 +102,18 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
         low = rest if rest is not None else min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: weights[s] if weights.get(s, 0) > 0 else low for s in counts}
     plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period)
-    schema = "mix_source string, first long, blocks long, slot0 long, period long, places array<int>"
+    schema = "mix_source string, mix_first long, mix_blocks long, mix_slot0 long, mix_period long, mix_places array<int>"
     schedule = spark.createDataFrame(plan, schema)
     before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("mix_source", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
     within = Window.partitionBy("mix_source", "mix_part").orderBy("mix_hash", F.col(f"`{id_col}`"))
     ranked = tagged.withColumn("mix_rank", F.row_number().over(within) - 1).join(starts, ["mix_source", "mix_part"])
     ranked = ranked.withColumn("mix_rank", F.col("mix_rank") + F.col("mix_start")).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
-    on = (F.col("p.mix_source") == F.col("d.mix_source")) & (F.col("mix_block") >= F.col("first")) & (F.col("mix_block") < F.col("first") + F.col("blocks"))
+    on = (F.col("p.mix_source") == F.col("d.mix_source")) & (F.col("mix_block") >= F.col("mix_first")) & (F.col("mix_block") < F.col("mix_first") + F.col("mix_blocks"))
     # phases * sources rows, each with at most a period of places: bounded by the weights, not by the rows
     placed = ranked.alias("d").join(F.broadcast(schedule).alias("p"), on)
-    own = F.col("places")[F.pmod(F.col("mix_block") - F.col("first"), F.size("places")).cast("int")]
-    slot = F.col("slot0") + F.floor((F.col("mix_block") - F.col("first")) / F.size("places")) * F.col("period") + own
+    own = F.col("mix_places")[F.pmod(F.col("mix_block") - F.col("mix_first"), F.size("mix_places")).cast("int")]
+    slot = F.col("mix_slot0") + F.floor((F.col("mix_block") - F.col("mix_first")) / F.size("mix_places")) * F.col("mix_period") + own
     out = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod("mix_rank", F.lit(block_rows)))
     return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d.mix_source").alias("mix_source"), "mix_block", "mix_slot", "mix_position")
 

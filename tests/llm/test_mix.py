@@ -28,6 +28,6 @@ def test_every_row_once_and_prefixes_near_their_weights(spark):
 
 
 def test_odd_and_empty_tables(spark):
-    out = pm.mix(docs(spark))
+    out = pm.mix(docs(spark).selectExpr("*", "1 as first", "2 as places", "3 as period", "4 as blocks"))
     assert out.count() == docs(spark).count() and "a.b" in out.columns
     assert pm.mix(empty(spark)).count() == 0

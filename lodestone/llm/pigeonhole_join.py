@@ -9,7 +9,8 @@ and counted in the first block that finds it, so the union needs no list of pair
 Equal vectors fall together first and are counted by multiplicity. A crowded cell is split into
 parts that meet two at a time; a task returns counts and a spanning forest of its links, never
 the links themselves, so a group of thousands of near copies stays linear in what is shuffled.
-Cells carry ids; vectors join them once the crowded cells are known.
+Cells carry ids; vectors join them once the crowded cells are known. Inside a task, hosts are
+halved into small groups of neighbours, each compared with what its box can reach.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link
 with nothing (n_links 0, a component of their own, kept); vectors of different lengths do not
@@ -19,6 +20,7 @@ link; of rows with one id the smallest vector counts; null ids are left out.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +86,24 @@ def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = nxt
 
 
-def _met(cosine: float, blocks: int, rows_at_once: int = 256):
+def _leaves(y: np.ndarray, hosts: np.ndarray, others: np.ndarray, budget: float, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hosts in groups of neighbours, halved along the widest axis down to `size`, each with the others that its box can reach."""
+    stack = [(hosts, others)] if len(hosts) else []
+    while stack:
+        part, rest = stack.pop()
+        low, high = y[part].min(axis=0), y[part].max(axis=0)
+        z = y[rest]
+        gap = np.maximum(low - z, 0)
+        gap += np.maximum(z - high, 0)
+        rest = rest[np.einsum("nd,nd->n", gap, gap) <= budget]
+        if len(part) <= size:
+            yield part, rest
+            continue
+        order = np.argpartition(y[part, int(np.argmax(high - low))], len(part) // 2)
+        stack += [(part[order[: len(part) // 2]], rest), (part[order[len(part) // 2 :]], rest)]
+
+
+def _met(cosine: float, blocks: int, leaf: int = 64):
     def meet(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         block, first, second = key[0].as_py(), key[2].as_py(), key[3].as_py()
         group = group.combine_chunks()
@@ -100,25 +119,24 @@ def _met(cosine: float, blocks: int, rows_at_once: int = 256):
         budget = (2 - 2 * cosine) / len(spans) * (1 + 1e-9)
         y, norm = t[:, lo:hi], np.sqrt(np.einsum("nd,nd->n", x, x))
         size = np.einsum("nd,nd->n", y, y)
-        hosts = np.flatnonzero(home)
         labels, count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
-        for s in range(0, len(hosts), rows_at_once):
-            h = hosts[s : s + rows_at_once]
-            near = size[h][:, None] + size[None, :] - 2 * (y[h] @ y.T) <= budget + 1e-12
-            near &= ~home[None, :] | (np.arange(len(ids))[None, :] > h[:, None])
-            if first != second:
-                near &= part[h][:, None] != part[None, :]
-            hi_, b_ = np.nonzero(near)
-            for k in range(0, len(hi_), 100_000):
-                a, b = h[hi_[k : k + 100_000]], b_[k : k + 100_000]
-                gap = t[a] - t[b]
-                found = np.add.reduceat(gap * gap, starts, axis=1) <= budget
-                mine = found[:, block] & ~found[:, :block].any(axis=1)
-                a, b = a[mine], b[mine]
-                linked = np.einsum("nd,nd->n", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
-                a, b = a[linked], b[linked]
-                count += np.bincount(a, n[b], len(ids)).astype(np.int64) + np.bincount(b, n[a], len(ids)).astype(np.int64)
-                labels = _forest(labels, a, b)
+        every = np.arange(len(ids))
+        for side in (first, second) if first != second else (first,):
+            others = every[part != side] if first != second else every
+            for h, near_by in _leaves(y, np.flatnonzero(home & (part == side)), others, budget + 1e-12, leaf):
+                near = size[h][:, None] + size[near_by][None, :] - 2 * (y[h] @ y[near_by].T) <= budget + 1e-12
+                near &= ~home[near_by][None, :] | (near_by[None, :] > h[:, None])
+                i, j = np.nonzero(near)
+                for k in range(0, len(i), 100_000):
+                    a, b = h[i[k : k + 100_000]], near_by[j[k : k + 100_000]]
+                    gap = t[a] - t[b]
+                    found = np.add.reduceat(gap * gap, starts, axis=1) <= budget
+                    mine = found[:, block] & ~found[:, :block].any(axis=1)
+                    a, b = a[mine], b[mine]
+                    linked = np.einsum("nd,nd->n", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
+                    a, b = a[linked], b[linked]
+                    count += np.bincount(a, n[b], len(ids)).astype(np.int64) + np.bincount(b, n[a], len(ids)).astype(np.int64)
+                    labels = _forest(labels, a, b)
         out = np.flatnonzero(count > 0)
         return pa.table({"id": ids[out], "links": count[out], "to": ids[labels[out]]})
 

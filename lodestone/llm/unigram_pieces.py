@@ -33,7 +33,7 @@ from .packed import gram, lists, packs, sums
 from .tables import narrowed
 
 MARK = "▁".encode()
-PACK = 4 << 20  # bytes of text whose stretches are segmented together
+PACK = 1 << 20  # bytes of text whose stretches are segmented together
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 

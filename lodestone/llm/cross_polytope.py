@@ -5,30 +5,38 @@ random signs and a fast Hadamard transform; the nearest signed axis is its bucke
 has its own signs. A query looks into the buckets of its `probes` best signed axes of each table
 (its largest rotated coordinates, with their signs), and what lies there is ranked exactly.
 
-For the inner product with vectors of unequal lengths, each indexed vector gets one more
-coordinate, sqrt(M^2 - |x|^2) with M the largest length, so that the angle orders as the product
-does; where all lengths agree the coordinate is nothing.
+For the inner product with vectors of unequal lengths the index is cut into ranges of lengths,
+each within a factor of RATIO, and each range is an index of its own that every query probes:
+within a range the direction decides, and a long vector changes nothing for the others. Ranges
+of fewer vectors than a query has probes (tables * probes) are put together and compared whole.
 
-A bucket is compared with its queries as matrices, in parts of bounded size, and only each part's
-best k go on: candidates are never listed as pairs, and a bucket that holds a third of all rows
-becomes many parts.
+A range is compared with the queries bucket by bucket as matrices, in parts of bounded size, and
+only each part's best k go on: candidates are never listed as pairs. A query that found fewer
+than k vectors is compared with all.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components are
 neither queries nor candidates; of rows with one id the smallest vector counts; null ids are
-left out; only vectors of the commonest usable length (then the smallest) take part; queries
-with fewer than k candidates found return what there is.
+left out; only vectors of the commonest usable length (then the smallest) take part; only
+where fewer than k others take part a query has fewer than k rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .packed import lists
 from .tables import keep
 from .vectors import matrix, one_each, usable
 
+RATIO = 1.1  # longest to shortest vector of a range
+THIN = -1  # the range of all bands with few vectors
+GROUPS = 8  # in which a range's buckets of one table are dealt out
+
 
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths."""
@@ -48,77 +56,122 @@ def pseudo_rotation(x: np.ndarray, table: int, rounds: int = 3) -> np.ndarray:
     return x
 
 
-def _hashed(tables: int, probes: int, largest: float, equal: bool, query: bool):
+def _hashed(tables: int, probes: int):
+    """Each vector's best `probes` signed axes in each table, by its direction."""
+
     def hashed(batches):
         for batch in batches:
             if not len(batch):
                 continue
             x = matrix(batch.column("v"))
-            length = np.sqrt(np.einsum("nd,nd->n", x, x))
-            if equal:
-                wide = x / length[:, None]
-            elif query:
-                wide = np.column_stack((x / length[:, None], np.zeros(len(x))))
-            else:
-                wide = np.column_stack((x / largest, np.sqrt(np.maximum(0, 1 - (length / largest) ** 2))))
-            full = 1 << max(0, wide.shape[1] - 1).bit_length()
-            wide = np.pad(wide, ((0, 0), (0, full - wide.shape[1])))
+            x = x / np.abs(x).max(axis=1, keepdims=True)  # squares of huge or tiny components stay finite
+            x = x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None]
+            full = 1 << max(0, x.shape[1] - 1).bit_length()
+            x = np.pad(x, ((0, 0), (0, full - x.shape[1])))
             for table in range(tables):
-                y = pseudo_rotation(wide, table)
-                axes = np.argsort(np.concatenate((-y, y), axis=1), axis=1, kind="stable")[:, : probes if query else 1]
-                count = axes.shape[1]
-                at = np.repeat(np.arange(len(x)), count)
-                rows = batch.take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), table, np.int32)), pa.array(axes.reshape(-1).astype(np.int32)), rows.column("id"), rows.column("v")], ["t", "axis", "id", "v"])
+                y = pseudo_rotation(x, table)
+                axes = np.argsort(np.concatenate((-y, y), axis=1), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                columns = [pa.array(np.full(len(x), table, np.int32)), lists(axes.reshape(-1), np.full(len(x), axes.shape[1]), pa.int32())]
+                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in batch.schema.names)], ["t", "axes", *batch.schema.names])
 
     return hashed
 
 
-def _ranked(k: int, at_once: int = 256):
+def _best(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int, at_once: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Each query's k best of x, itself left out: query ids, vector ids, scores."""
+    out = []
+    for s in range(0, len(q), at_once):
+        score = q[s : s + at_once] @ x.T
+        score[qid[s : s + at_once][:, None] == xid[None, :]] = -np.inf
+        top = min(k, len(x))
+        floor = np.partition(score, len(x) - top, axis=1)[:, len(x) - top]
+        slack = 1e-12 * (1 + np.abs(floor))
+        i, j = np.nonzero((score >= (floor - slack)[:, None]) & (score > -np.inf))
+        exact = np.einsum("nd,nd->n", q[s + i], x[j])  # the same bits wherever the pair meets
+        out.append(_first(qid[s + i], xid[j], exact, k))
+    return out
+
+
+def _first(qid: np.ndarray, xid: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of listed pairs."""
+    order = np.lexsort((xid, -score, qid))
+    qid, xid, score = qid[order], xid[order], score[order]
+    best = np.arange(len(qid)) - np.searchsorted(qid, qid) < k
+    return qid[best], xid[best], score[best]
+
+
+def _ranked(k: int):
     def rank(queries: pa.Table, held: pa.Table) -> pa.Table:
-        none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(queries) or not len(held):
-            return none
-        q, x = matrix(queries.column("v").combine_chunks()), matrix(held.column("v").combine_chunks())
-        qid, xid = queries.column("id").to_numpy(), held.column("id").to_numpy()
-        out = []
-        for s in range(0, len(q), at_once):
-            score = q[s : s + at_once] @ x.T
-            score[qid[s : s + at_once][:, None] == xid[None, :]] = -np.inf
-            top = min(k, len(x))
-            floor = np.partition(score, len(x) - top, axis=1)[:, len(x) - top]
-            slack = 1e-12 * (1 + np.abs(floor))
-            i, j = np.nonzero((score >= (floor - slack)[:, None]) & (score > -np.inf))
-            exact = np.einsum("nd,nd->n", q[s + i], x[j])  # the same bits wherever the pair meets
-            order = np.lexsort((xid[j], -exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            best = place < k
-            out.append(pa.table({"query_id": qid[s + i[best]], "vec_id": xid[j[best]], "score": exact[best]}))
-        return pa.concat_tables(out)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(queries) and len(held):
+            q, x = matrix(queries.column("v").combine_chunks()), matrix(held.column("v").combine_chunks())
+            qid, xid = queries.column("id").to_numpy(), held.column("id").to_numpy()
+            probed = matrix(queries.column("axes").combine_chunks()).astype(np.int32)
+            axis = matrix(held.column("axes").combine_chunks()).astype(np.int32)[:, 0]
+            for a in np.unique(axis):
+                asks, lies = np.flatnonzero((probed == a).any(axis=1)), np.flatnonzero(axis == a)
+                found += _best(q[asks], qid[asks], x[lies], xid[lies], k)
+        found = _first(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     return rank
 
 
-def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 3, probes: int = 40, part_rows: int = 4096) -> DataFrame:
+def _lengths(batches):
+    """The vectors with the logarithms of their lengths."""
+    for batch in batches:
+        if len(batch):
+            sizes = batch.column("d").to_numpy()
+            out = np.zeros(len(batch))
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                x = matrix(batch.column("v").take(pa.array(at)))
+                peak = np.abs(x).max(axis=1)  # squares of huge or tiny components stay finite
+                x = x / peak[:, None]
+                out[at] = np.log(peak) + np.log(np.einsum("nd,nd->n", x, x)) / 2
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("d"), pa.array(out)], ["id", "v", "d", "length"])
+
+
+def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 3, probes: int = 40, part_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found. queries: a condition on `id` (a Column)."""
-    sound = keep(one_each(vectors, id_col, vector_col).where(usable("v")).select("id", F.col("v").cast("array<double>").alias("v")))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    facts = sound.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("hi"), F.min(length).alias("lo")).orderBy(F.desc("n"), "d").first()
+    usual = one_each(vectors, id_col, vector_col).where(usable("v")).select("id", F.col("v").cast("array<double>").alias("v"), F.size("v").alias("d"))
+    sound = keep(usual.mapInArrow(_lengths, "id long, v array<double>, d int, length double"))
+    facts = sound.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("hi")).orderBy(F.desc("n"), "d").first()
     spark = vectors.sparkSession
     if facts is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sound = sound.where(F.size("v") == facts["d"])
-    equal = facts["hi"] - facts["lo"] <= 1e-6 * facts["hi"]
-    schema = "t int, axis int, id long, v array<double>"
-    held = keep(sound.mapInArrow(_hashed(tables, 1, facts["hi"], equal, False), schema))
-    asked = sound.where(queries).mapInArrow(_hashed(tables, probes, facts["hi"], equal, True), schema)
-    sizes = F.broadcast(held.groupBy("t", "axis").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))  # at most tables * 2 * width rows
-    held = held.join(sizes, ["t", "axis"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
-    asked = asked.join(sizes, ["t", "axis"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    by = ["t", "axis", "part"]
-    met = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_ranked(k), "query_id long, vec_id long, score double")
-    found = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    sound = sound.where(F.col("d") == facts["d"])
+    probes = min(probes, 2 << max(0, facts["d"] - 1).bit_length())
+    banded = sound.select("id", "v", F.floor((F.lit(facts["hi"]) - F.col("length")) / math.log(RATIO)).cast("int").alias("band"))
+    # at most as many bands as doubles have powers of RATIO, some 15,000
+    bands = keep(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")))
+    ranges = F.broadcast(bands.select("band", F.when(F.col("n") < tables * probes, THIN).otherwise(F.col("band")).alias("range")))
+    placed = banded.join(ranges, "band").select("range", "id", "v")
+    asking = sound.where(queries).select("id", "v")
+    hashed = placed.where(F.col("range") != THIN).mapInArrow(_hashed(tables, 1), "t int, axes array<int>, range int, id long, v array<double>")
+    asked = asking.mapInArrow(_hashed(tables, probes), "t int, axes array<int>, id long, v array<double>")
+    # the range compared whole is a table of its own, with one bucket, which each query probes
+    whole = F.array(F.lit(0))
+    hashed = hashed.unionByName(placed.where(F.col("range") == THIN).withColumn("t", F.lit(tables)).withColumn("axes", whole))
+    asked = asked.unionByName(asking.withColumn("t", F.lit(tables)).withColumn("axes", F.array_repeat(F.lit(0), probes)))
+    # whole buckets go together in a few groups; groups beyond part_rows are cut
+    held = keep(hashed.withColumn("g", F.pmod(F.col("axes")[0], F.lit(GROUPS))))
+    sizes = F.broadcast(held.groupBy("range", "t", "g").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int").alias("parts")))  # at most ranges * tables * GROUPS rows
+    held = held.join(sizes, ["range", "t", "g"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).drop("parts")
+    again = F.broadcast(sizes.select(*[F.col(c).alias(c) for c in sizes.columns]))
+    asked = asked.join(again, "t").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    by = ["range", "t", "g", "part"]
+    result = "query_id long, vec_id long, score double"
+    met = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_ranked(k), result)
+    found = keep(met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    # queries that met fewer than k vectors, though there are more, are compared with all
+    enough = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(k, facts["n"] - 1)).select(F.col("query_id").alias("id"))
+    short = keep(asking.join(enough, "id", "left_anti"))
+    if facts["n"] > 1 and not short.isEmpty():
+        many = max(1, -(-facts["n"] // part_rows))
+        every = sound.select(F.pmod(F.xxhash64("id"), F.lit(many)).cast("int").alias("part"), whole.alias("axes"), "id", "v")
+        lacking = short.select(F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("part"), whole.alias("axes"), "id", "v")
+        found = found.union(lacking.groupBy("part").cogroup(every.groupBy("part")).applyInArrow(_ranked(k), result)).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -63,3 +63,27 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert vector_clusters(none).count() == 0
     assert nearest(none, F.lit(True)).count() == 0
+
+
+def test_search_with_vectors_of_many_lengths(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((40, 64))
+    base = np.concatenate([c + 0.4 * rng.standard_normal((30, 64)) for c in centres])
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    n = len(base)
+    lengths = {"one long": np.where(np.arange(n) == 7, 100.0, 1.0), "jitter": 1 + 1e-5 * rng.standard_normal(n), "lognormal": np.exp(0.3 * rng.standard_normal(n))}
+    for name, length in lengths.items():
+        x = base * length[:, None]
+        frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {}
+        for r in nearest(frame, F.col("id") % 20 == 0).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = 0
+        for q in range(0, n, 20):
+            score = x @ x[q]
+            score[q] = -np.inf
+            hits += len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
+            assert len(got[q]) == 20, name
+        assert hits / (20 * len(range(0, n, 20))) >= 0.9, name

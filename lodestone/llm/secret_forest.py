@@ -8,7 +8,7 @@ trained from labelled findings; `labelled_findings` makes a fixed set of them, a
 with the same columns will do.
 
 Offsets are code points, ends exclusive. Overlapping candidates: the earlier kind of CANDIDATES
-wins. Every pattern is linear in the text's length.
+wins. Values have no greatest length, and every pattern is linear in the text's length.
 
 Defined cases: null and empty texts have no findings; a null path counts as ''; each row is
 scanned for itself, whatever repeats; other columns pass through `redact` untouched.
@@ -21,6 +21,7 @@ import random
 import re
 import string
 import uuid
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
@@ -39,12 +40,12 @@ from .tables import narrowed, shared_dir
 
 # Published shapes of credentials, names that announce one, words that deny one.
 SHAPES = {
-    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,4000}",
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN|END) ))*+-----END [A-Z ]{0,20}PRIVATE KEY-----|[A-Za-z0-9+/=\s]*+)",
     "aws_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "github_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])",
-    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,72}",
-    "jwt": r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,2000}\.[A-Za-z0-9_-]{8,4000}\.[A-Za-z0-9_-]{8,1000}",
-    "api_key": r"(?<![A-Za-z0-9])(?:sk|pk|rk)[_-](?:live|test|proj)?[_-]?[A-Za-z0-9]{20,64}(?![A-Za-z0-9])",
+    "slack_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+",
+    "jwt": r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8})[A-Za-z0-9_-]*?(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++)",
+    "api_key": r"(?<![A-Za-z0-9])(?:sk|pk|rk)[_-](?:live|test|proj)?[_-]?[A-Za-z0-9]{20,}+",
 }
 NAMES = ("token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "api-key", "access_key", "accesskey", "auth", "credential", "private_key", "client_secret", "bearer")
 DENIALS = ("example", "sample", "dummy", "placeholder", "test", "fake", "changeme", "your", "xxxx", "todo", "redacted", "none", "null")
@@ -52,8 +53,9 @@ BENIGN = ("sha1", "sha256", "md5", "hash", "checksum", "digest", "commit", "revi
 PLACES = ("test", "example", "sample", "doc", "fixture", "spec", "mock")
 DICTIONARY = ("access", "account", "admin", "example", "password", "secret", "token", "login", "value", "string", "default", "config", "setting", "public", "private", "server", "client", "service", "hello", "world", "letmein", "qwerty", "welcome", "change", "enter", "insert", "replace", "demo", "name", "user", "here", "key")
 
-_ASSIGNED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]{1,40})[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}(?:[\"']([^\"'\s]{6,512})[\"']|([^\s\"',;]{8,512}))")
-_LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,512}(?![A-Za-z0-9+/_=.-])")
+_NAMED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]++)[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}")
+_VALUE = re.compile(r"[\"']([^\"'\s]{6,}+)[\"']|([^\s\"',;]{8,}+)")
+_LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}+")
 _SHAPED = [(kind, re.compile(p), p.split("(?:")[0][-3:]) for kind, p in SHAPES.items()]
 _CUES = {"private_key": "-----BEGIN", "aws_key": "IA", "github_token": "gh", "slack_token": "xox", "jwt": "eyJ", "api_key": "k"}
 _WORDS = re.compile(r"[a-z]+")
@@ -67,20 +69,24 @@ def candidates(text: str) -> list[tuple[int, int, str, bool]]:
     found: list[tuple[int, int, str, bool]] = []
     for kind, pattern, _ in _SHAPED:
         if _CUES[kind] in text:
-            found += [(*m.span(), kind, False) for m in pattern.finditer(text)]
+            found += [(*m.span(m.lastindex or 0), kind, False) for m in pattern.finditer(text)]
     if "=" in text or ":" in text:
-        for m in _ASSIGNED.finditer(text):
-            if any(x in m[1].lower() for x in NAMES):
-                found.append((*m.span(2 if m[2] else 3), "assigned", bool(m[2])))
+        past = 0  # where the last assigned value ended
+        for m in _NAMED.finditer(text):
+            # a value may hold names, but is read once
+            if m.start() >= past and any(x in m[1].lower() for x in NAMES) and (value := _VALUE.match(text, m.end())):
+                found.append((*value.span(value.lastindex), "assigned", value.lastindex == 1))
+                past = value.end()
     for m in _LONG.finditer(text):
         if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
             found.append((*m.span(), "long_token", False))
     taken: list[tuple[int, int, str, bool]] = []
     order = {kind: i for i, kind in enumerate([*SHAPES, "assigned", "long_token"])}
     for x in sorted(found, key=lambda x: (order[x[2]], x[0], -x[1])):
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
-            taken.append(x)
-    return sorted(taken)
+        i = bisect(taken, x)
+        if (i == 0 or taken[i - 1][1] <= x[0]) and (i == len(taken) or x[1] <= taken[i][0]):
+            taken.insert(i, x)
+    return taken
 
 
 def pair_model(text: str) -> tuple[Counter, Counter]:

@@ -26,3 +26,18 @@ def test_odd_rows(spark):
 
 def test_every_operator_is_registered():
     assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_near_copies_at_eight_tenths(spark):
+    from tests.llm.test_minhash import brute
+
+    rows = []
+    for k in range(60):
+        base = [f"w{k}x{i}" for i in range(104)]  # 100 shingles
+        # the last 8 to 12 words are new: similarities from 0.85 to 0.79
+        other = base[: 104 - (8 + k % 5)] + [f"v{k}x{i}" for i in range(8 + k % 5)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, SF).collect()}
+    assert kept == {i for i, (_, _, first) in brute(rows, 80).items() if first}
+    assert kept != {i for i, (_, _, first) in brute(rows, 85).items() if first}

@@ -7,9 +7,9 @@ floor(i / w) and due by ceil((i + 1) / w); of the released blocks the one due fi
 less than t*w + 1 blocks. When a source has no block left, a new phase starts with the weights
 of the others. No row is dropped or repeated.
 
-Weights are rounded to tickets out of `period`, so a schedule is one period long and repeats:
-it is worked out for that many slots on the driver (its size depends on the sources and the
-period, never on the rows), and rows look their slot up. All rest is windows and joins.
+Weights are taken exactly, as the rational numbers they are: nothing is rounded. One task goes
+through the slots with a heap of the sources and writes the slot of every block, which rows look
+up by a join; neither the driver nor a task holds more than a few values a source.
 
 Defined cases: a null source counts as the source ''; rows that repeat are mixed each for
 itself; sources with no weight given, or weight 0, share what `rest` says (default: the smallest
@@ -19,11 +19,18 @@ weight given); an empty table gives an empty mix; texts are not looked at.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+from math import lcm
+from numbers import Rational
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import keep
+
 SPREAD = 512  # parts in which a source's rows are ranked
 
 
@@ -61,30 +68,51 @@ def edf_period(share: Mapping[str, int]) -> list[str]:
     return slots
 
 
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], period: int) -> list[tuple[str, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, period, its slots in a period) for each phase and source."""
-    left, done, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        share = tickets({s: weights[s] for s in left}, period)
-        slots = edf_period(share)
-        at: dict[str, list[int]] = {s: [] for s in left}
-        for t, s in enumerate(slots):
-            at[s].append(t)
-        whole = min(n // share[s] for s, n in left.items())
-        # slots of the last, broken period: up to where a source lacks its block
-        missing = [at[s][n - whole * share[s]] for s, n in left.items() if n - whole * share[s] < share[s]]
-        part = min(missing, default=len(slots))
-        for s in left:
-            n = whole * share[s] + sum(t < part for t in at[s])
-            if n:
-                out.append((s, done[s], n, slot, len(slots), at[s]))
-            done[s] += n
-            left[s] -= n
-        slot += whole * len(slots) + part
-    return out
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, period: int = 1000, rest: float | None = None) -> DataFrame:
+def shares(weights: Mapping[str, Rational | float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def edf_slots(blocks: Mapping[str, int], weights: Mapping[str, Rational | float]) -> Iterator[tuple[str, int]]:
+    """(source, block within it) of each slot, until all blocks are placed."""
+    done = dict.fromkeys(blocks, 0)
+    share = shares({s: weights[s] for s in blocks})
+    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
+        whole = sum(share[s] for s in left)
+        due = [(-(-whole // share[s]), s, 0) for s in left]
+        waiting: list[tuple[int, str, int]] = []  # release, source, block of this phase
+        heapq.heapify(due)
+        t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, s, i = heapq.heappop(waiting)
+                heapq.heappush(due, (-(-(i + 1) * whole // share[s]), s, i))
+            deadline, s, i = heapq.heappop(due)
+            assert deadline > t, "a block missed its deadline"
+            if i == left[s]:
+                break  # its next block is wanted and it has none: the others go on
+            yield s, done[s]
+            done[s] += 1
+            t += 1
+            heapq.heappush(waiting, ((i + 1) * whole // share[s], s, i + 1))
+
+
+def _scheduled(blocks: Mapping[str, int], weights: Mapping[str, Rational | float]):
+    def schedule(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(len(batch) for batch in batches):
+            return
+        slots, at = edf_slots(blocks, weights), 0
+        while part := list(islice(slots, 1 << 16)):
+            sources, numbers = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(part)), pa.int64())], ["mix_source", "mix_block", "mix_slot"])
+            at += len(part)
+
+    return schedule
+
+
+def mix(docs: DataFrame, weights: Mapping[str, Rational | float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, rest: float | None = None) -> DataFrame:
     """docs with mix_source, mix_block (within the source), mix_slot and mix_position (from 0, of the whole mix; blocks that are not full leave gaps).
 
     weights: target weight by source; None takes the square roots of the sources' row counts.
@@ -101,21 +129,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, id_col: str
     else:
         low = rest if rest is not None else min((w for w in weights.values() if w > 0), default=1.0)
         target = {s: weights[s] if weights.get(s, 0) > 0 else low for s in counts}
-    plan = phases({s: -(-n // block_rows) for s, n in counts.items()}, target, period)
-    schema = "mix_source string, mix_first long, mix_blocks long, mix_slot0 long, mix_period long, mix_places array<int>"
-    schedule = spark.createDataFrame(plan, schema)
+    blocks = {s: -(-n // block_rows) for s, n in counts.items()}
+    # a row for each block; the order of slots is one sequence, so one task makes it
+    schedule = keep(spark.range(0, 1, 1, 1).mapInArrow(_scheduled(blocks, target), "mix_source string, mix_block long, mix_slot long"))
     before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select("mix_source", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
     within = Window.partitionBy("mix_source", "mix_part").orderBy("mix_hash", F.col(f"`{id_col}`"))
     ranked = tagged.withColumn("mix_rank", F.row_number().over(within) - 1).join(starts, ["mix_source", "mix_part"])
     ranked = ranked.withColumn("mix_rank", F.col("mix_rank") + F.col("mix_start")).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
-    on = (F.col("p.mix_source") == F.col("d.mix_source")) & (F.col("mix_block") >= F.col("mix_first")) & (F.col("mix_block") < F.col("mix_first") + F.col("mix_blocks"))
-    # phases * sources rows, each with at most a period of places: bounded by the weights, not by the rows
-    placed = ranked.alias("d").join(F.broadcast(schedule).alias("p"), on)
-    own = F.col("mix_places")[F.pmod(F.col("mix_block") - F.col("mix_first"), F.size("mix_places")).cast("int")]
-    slot = F.col("mix_slot0") + F.floor((F.col("mix_block") - F.col("mix_first")) / F.size("mix_places")) * F.col("mix_period") + own
-    out = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod("mix_rank", F.lit(block_rows)))
-    return out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d.mix_source").alias("mix_source"), "mix_block", "mix_slot", "mix_position")
+    placed = ranked.join(schedule, ["mix_source", "mix_block"])
+    out = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod("mix_rank", F.lit(block_rows)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_source", "mix_block", "mix_slot", "mix_position")
 
 
 def op1_pfair_mix(spark, sf_dir: str) -> DataFrame:

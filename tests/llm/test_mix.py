@@ -31,3 +31,27 @@ def test_odd_and_empty_tables(spark):
     out = pm.mix(docs(spark).selectExpr("*", "1 as first", "2 as places", "3 as period", "4 as blocks"))
     assert out.count() == docs(spark).count() and "a.b" in out.columns
     assert pm.mix(empty(spark)).count() == 0
+
+
+def test_blocks_keep_within_one_of_the_exact_weights():
+    from fractions import Fraction
+
+    weights = {f"s{i:02}": 300**0.5 for i in range(19)} | {"hot": 2850**0.5, "rare": 0.01}
+    total = sum(map(Fraction, weights.values()))
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    had = dict.fromkeys(weights, 0)
+    for t, (s, block) in enumerate(pm.edf_slots(dict.fromkeys(weights, 1 << 40), weights), 1):
+        assert block == had[s]
+        had[s] += 1
+        # every source is looked at where it gets a block, and all now and then
+        for x in weights if t % 997 == 0 else (s,):
+            assert abs(had[x] - t * exact[x]) < 1
+        if t == 60_000:
+            break
+
+
+def test_phases_place_all_blocks():
+    slots = list(pm.edf_slots({"a": 3, "b": 50, "c": 0, "d": 1}, {"a": 0.5, "b": 0.25, "c": 1, "d": 1e-4}))
+    assert len(slots) == 54 and len(set(slots)) == 54
+    assert [b for s, b in slots if s == "b"] == list(range(50))
+    assert list(pm.edf_slots({}, {})) == []

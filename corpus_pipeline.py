@@ -2,7 +2,8 @@
 
 Language ID drops documents without a language, MinHash keeps one document of each group of near
 copies, secret scans mask secrets in the text, mixing orders what is left towards equal shares
-of its sources, and the pieces of each text are its last form.
+of its sources, and the pieces of each text, in that order and with their mix_position, are
+its last form.
 """
 
 from __future__ import annotations
@@ -38,14 +39,27 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secret_forest.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with their mix_position, in its order. Every source has the same weight; the schedule follows from ids and sources alone, so it can be had again after any reread."""
+    mix = pfair_mix.mix(docs, {}, rest=1)
+    return mix.select(*COLUMNS, "mix_position").repartitionByRange("mix_position").sortWithinPartitions("mix_position")
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix, by position."""
-    return pfair_mix.mix(docs).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*COLUMNS)
+    return placed(docs).select(*COLUMNS)
+
+
+def positioned_pieces(docs: DataFrame) -> DataFrame:
+    """doc_id, ids, mix_position: the text as pieces, in the order of the mix."""
+    # the position goes along with the id
+    named = placed(docs).select(F.struct("doc_id", "mix_position").alias("doc_id"), "text")
+    return unigram_pieces.encode(named, unigram_pieces.load()).select("id.doc_id", "ids", "id.mix_position")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids: the text as pieces."""
-    return unigram_pieces.encode(docs, unigram_pieces.load()).select(F.col("id").alias("doc_id"), "ids")
+    """doc_id, ids: the text as pieces, in the order of the mix."""
+    return positioned_pieces(docs).select("doc_id", "ids")
 
 
 STAGES = [("language_id", language_id), ("near_copies", near_copies), ("secrets", secrets), ("mixed", mixed), ("pieces", pieces)]
@@ -56,4 +70,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return positioned_pieces(docs)

@@ -41,3 +41,23 @@ def test_near_copies_at_eight_tenths(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_copies(spark, frame, SF).collect()}
     assert kept == {i for i, (_, _, first) in brute(rows, 80).items() if first}
     assert kept != {i for i, (_, _, first) in brute(rows, 85).items() if first}
+
+
+def test_the_order_of_the_mix_survives(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, f"the small house of number {i} stands by the river and " + " ".join(f"w{i}x{j}" for j in range(9)), "en", "big" if i % 5 else "small", 9) for i in range(2000)], "doc_id long, text string, lang string, source string, n_chars long")
+    # many files, read back in another order
+    reread = corpus_pipeline.keep(corpus_pipeline.mixed(spark, frame, SF)).repartition(7, "n_chars", F.rand(1))
+    rows = corpus_pipeline.positioned_pieces(reread).collect()
+    assert [r.mix_position for r in rows] == sorted(r.mix_position for r in rows) and len(rows) == 2000
+    ids = [r.doc_id for r in corpus_pipeline.pieces(spark, reread, SF).collect()]
+    assert ids == [r.doc_id for r in rows]
+    for n in (64, 160, 480, 800):
+        assert abs(sum(i % 5 == 0 for i in ids[:n]) - n / 2) <= 16
+
+
+def test_run_returns_positions(spark):
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert len({r.mix_position for r in out}) == len(out) > 100
+    assert [r.mix_position for r in out] == sorted(r.mix_position for r in out)

@@ -11,8 +11,13 @@ Forward-backward runs over all words of a batch of texts at once: a text's first
 transition that forgets what came before, words are cut into blocks, the blocks' transfer
 matrices are multiplied side by side and only block ends are walked in turn.
 
+A text of more than STRETCH bytes goes through in stretches, cut between words: first each
+stretch's transfer matrix, then, with the messages that reach it from both sides, its posteriors.
+Nothing is approximate, and memory is that of one stretch beside the text.
+
 The model is fitted on a bounded sample: at most `per_label` documents of each label, those with
-the smallest id hashes. Word labels are the documents' labels; half of the training sequences
+the smallest id hashes, and of each at most `window` characters from a place that its hash
+chooses (a window without a letter is left out). Word labels are the documents' labels; half of the training sequences
 are made of short segments of different documents, which is where switches are learned.
 
 Defined cases: a null text or one without a letter gives `und` and score 0, as does every text
@@ -31,13 +36,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .packed import U, gram, mixed, packs, sums, words
+from .packed import U, flat, gram, mixed, packs, sums, words
 from .tables import fold, narrowed
 
 NO_LETTER = np.ones(256, bool)
 NO_LETTER[97:123] = False
 NO_LETTER[128:] = False
 UND = "und"
+STRETCH = 1 << 20  # bytes of text that are tagged together
 
 
 @dataclass
@@ -80,15 +86,19 @@ def emissions(weights: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarr
     return np.stack([np.bincount(row, value * weights[what, k], n) for k in range(weights.shape[1])], axis=1)
 
 
-def forward_backward(emit: np.ndarray, opens: np.ndarray, steps: np.ndarray, first: np.ndarray, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: forward, backward, exp(emission) and posterior, rows scaled freely. opens: whether a word starts a text."""
+def forward_backward(emit: np.ndarray, opens: np.ndarray, steps: np.ndarray, first: np.ndarray, block: int = 256, before: np.ndarray | None = None, after: np.ndarray | None = None, only_transfer: bool = False):
+    """Of each word: forward, backward, exp(emission) and posterior, rows scaled freely. opens: whether a word starts a text.
+
+    before, after: messages that reach the first and the last word from outside. only_transfer: the product of all steps instead, label before by label at the end.
+    """
     n, k = emit.shape
     blocks = -(-n // block)
     pad = blocks * block - n
     e = np.exp(np.maximum(emit - emit.max(axis=1, keepdims=True), -40))
     # step, label, block: each step is a few operations on long rows
     e = np.ascontiguousarray(np.concatenate((e, np.ones((pad, k)))).reshape(blocks, block, k).transpose(1, 2, 0))
-    o = np.concatenate((opens, np.ones(pad, bool))).reshape(blocks, block).T
+    o = np.concatenate((opens, np.zeros(pad, bool))).reshape(blocks, block).T
+    void = block - pad  # from this step on the last block has no words: messages pass through
     fresh = [np.flatnonzero(x) for x in o]
     a, pi = np.exp(steps - steps.max()), np.exp(first - first.max())
     # transfer matrix of each block: label at its end, label before it, block
@@ -97,16 +107,24 @@ def forward_backward(emit: np.ndarray, opens: np.ndarray, steps: np.ndarray, fir
         q = (a.T @ p.reshape(k, -1)).reshape(k, k, blocks)
         if len(at := fresh[t]):
             q[:, :, at] = pi[:, None, None] * p[:, :, at].sum(axis=0)
+        if t >= void:
+            q[:, :, -1] = p[:, :, -1]
         q *= e[t][:, None, :]
         p = q / q.max(axis=(0, 1)) if t % 4 == 3 else q
     p = np.ascontiguousarray((p / p.max(axis=(0, 1))).transpose(2, 1, 0))
+    if only_transfer:
+        whole = np.eye(k)
+        for b in range(blocks):
+            whole = whole @ p[b]
+            whole /= whole.max()
+        return whole
     left, right = np.empty((k, blocks)), np.empty((k, blocks))
-    now = np.full(k, 1 / k)
+    now = np.full(k, 1 / k) if before is None else before
     for b in range(blocks):
         left[:, b] = now
         now = now @ p[b]
         now /= now.sum()
-    now = np.ones(k)
+    now = np.ones(k) if after is None else after
     for b in range(blocks - 1, -1, -1):
         right[:, b] = now
         now = p[b] @ now
@@ -117,6 +135,8 @@ def forward_backward(emit: np.ndarray, opens: np.ndarray, steps: np.ndarray, fir
         new = a.T @ now
         if len(at := fresh[t]):
             new[:, at] = pi[:, None]
+        if t >= void:
+            new[:, -1] = now[:, -1]
         new *= e[t]
         now = new / new.sum(axis=0)
         alpha[t] = now
@@ -127,6 +147,8 @@ def forward_backward(emit: np.ndarray, opens: np.ndarray, steps: np.ndarray, fir
         new = a @ seen
         if len(at := fresh[t]):
             new[:, at] = pi @ seen[:, at]
+        if t >= void:
+            new[:, -1] = now[:, -1]
         now = new / new.max(axis=0)
     alpha, beta, e = (x.transpose(2, 0, 1).reshape(-1, k)[:n] for x in (alpha, beta, e))
     post = alpha * beta
@@ -181,8 +203,8 @@ def fit(texts: list[str], langs: list[str], size: int = 1 << 16, rounds: int = 3
     return crf
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 80, **options) -> Crf | None:
-    """Fit on at most `per_label` documents of each label among those for which `learn` (on column id) holds."""
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 80, window: int = 8000, **options) -> Crf | None:
+    """Fit on at most `per_label` documents of each label, and `window` characters of each, among those for which `learn` (on column id) holds."""
     rows = narrowed(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null and id is not null and text is not null").where(learn).where(has_letter("text"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(8), "id"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -192,58 +214,113 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     part = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * (per_label + 8) / n))])
     near = rows.where((F.pmod("h", F.lit(1 << 40)) / float(1 << 40)) < part[F.col("lang")])
     best = Window.partitionBy("lang").orderBy("h", "id", "text")
-    sample = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_label).select("lang", F.lower("text").alias("text")).orderBy("lang", "r").toPandas()
-    return fit(sample["text"].tolist(), sample["lang"].tolist(), **options)
+    place = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - window + 1, F.lit(1))).cast("int") + 1
+    sample = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= per_label).select("lang", "r", F.substr("text", place, F.lit(window)).alias("text")).where(has_letter("text")).orderBy("lang", "r").toPandas()
+    if not len(sample):
+        return None
+    return fit(pa.compute.utf8_lower(pa.array(sample["text"], pa.string())).to_pylist(), sample["lang"].tolist(), **options)
 
 
 def has_letter(text: str) -> Column:
     return F.coalesce(F.regexp_like(F.col(f"`{text}`"), F.lit(r"\p{L}")), F.lit(False))
 
 
+def _emitted(crf: Crf, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    hashes, index, which = np.unique(gram(sums(buf), start, end), return_index=True, return_inverse=True)
+    return emissions(crf.weights, features(buf, start[index], end[index], hashes, crf.lexicon, len(crf.weights)), len(hashes))[which]
+
+
 def _tagged(crf: Crf, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     start, end, n = words(buf, offsets, NO_LETTER)
     if not len(start):
         return start, end, n, np.zeros((0, len(crf.labels)))
-    hashes, index, which = np.unique(gram(sums(buf), start, end), return_index=True, return_inverse=True)
-    emit = emissions(crf.weights, features(buf, start[index], end[index], hashes, crf.lexicon, len(crf.weights)), len(hashes))
-    opens = np.zeros(len(which), bool)
+    opens = np.zeros(len(start), bool)
     opens[(np.cumsum(n) - n)[n > 0]] = True
-    return start, end, n, forward_backward(emit[which], opens, crf.steps, crf.first)[3]
-
+    return start, end, n, forward_backward(_emitted(crf, buf, start, end), opens, crf.steps, crf.first)[3]
+
+
+def _stretches(buf: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Parts of a text of about `size` bytes (a longer word stays whole), none of which cuts a word."""
+    cuts, at = [0], size
+    while at < len(buf):
+        while at < len(buf) and not (gaps := np.flatnonzero(NO_LETTER[buf[at : at + 65536]])).size:
+            at += 65536
+        at = min(at + int(gaps[0]), len(buf)) if at < len(buf) else len(buf)
+        cuts.append(at)
+        at += size
+    if cuts[-1] < len(buf):
+        cuts.append(len(buf))
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _long(crf: Crf, buf: np.ndarray, size: int = STRETCH) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(where it begins, start, end, posteriors) of each stretch of one text."""
+    held = [(lo, hi, *words(buf[lo:hi], np.array([0, hi - lo]), NO_LETTER)[:2]) for lo, hi in _stretches(buf, size)]
+    held = [x for x in held if len(x[2])]
+    opening = lambda i, n: np.append(i == 0, np.zeros(n - 1, bool))
+    steps = [forward_backward(_emitted(crf, buf[lo:hi], start, end), opening(i, len(start)), crf.steps, crf.first, only_transfer=True) for i, (lo, hi, start, end) in enumerate(held)]
+    k = len(crf.labels)
+    before, after = [np.full(k, 1 / k)], [np.ones(k)]
+    for step in steps[:-1]:
+        now = before[-1] @ step
+        before.append(now / now.sum())
+    for step in steps[:0:-1]:
+        now = step @ after[-1]
+        after.append(now / now.max())
+    for i, (lo, hi, start, end) in enumerate(held):
+        yield lo, start, end, forward_backward(_emitted(crf, buf[lo:hi], start, end), opening(i, len(start)), crf.steps, crf.first, before=before[i], after=after[len(held) - 1 - i])[3]
+
+
+def _identified(crf: Crf | None, at: int, shown: int):
+    """at: the text's column; the first `shown` columns go on."""
 
-def _identified(crf: Crf | None):
     def identify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in packs(batches, "_lower", 4 << 20):
-            sure = rows.column("_lettered").to_numpy(zero_copy_only=False).astype(bool)
+        for rows, _, _ in packs(batches, at, STRETCH):
+            sure = rows.column(rows.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             pred, score = np.full(len(rows), UND, object), np.zeros(len(rows))
             if crf is not None:
-                _, _, n, post = _tagged(crf, buf, offsets)
+                buf, offsets = flat(pa.compute.utf8_lower(rows.column(at)))
+                buf, offsets = buf[offsets[0] : offsets[-1]], offsets - offsets[0]
+                if len(buf) > 2 * STRETCH and len(rows) == 1:
+                    n, total = np.zeros(1, np.int64), np.zeros((1, len(crf.labels)))
+                    for _, start, _, post in _long(crf, buf):
+                        n += len(start)
+                        total += post.sum(axis=0)
+                else:
+                    _, _, n, post = _tagged(crf, buf, offsets)
+                    first = np.cumsum(n) - n
+                    running = np.concatenate((np.zeros((1, len(crf.labels))), np.cumsum(post, axis=0)))
+                    total = running[first + n] - running[first]
                 has = np.flatnonzero(sure & (n > 0))
-                first = np.cumsum(n) - n
-                total = np.concatenate((np.zeros((1, len(crf.labels))), np.cumsum(post, axis=0)))
-                share = (total[first[has] + n[has]] - total[first[has]]) / n[has, None]
+                share = total[has] / n[has, None]
                 pred[has] = np.array(crf.labels, object)[share.argmax(axis=1)] if len(has) else UND
                 score[has] = np.clip(share.max(axis=1), 0, 1) if len(has) else 0
-            names = [c for c in rows.schema.names if c not in ("_lower", "_lettered")]
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in names), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+            names = rows.schema.names[:shown]
+            yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(shown)), pa.array(pred, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     return identify
 
 
 def identify(docs: DataFrame, crf: Crf | None, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """The columns `keep` (default: doc_id), lang_pred, score (its mean word posterior) of every row."""
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep or ["doc_id"]])
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept.columns], has_letter(text_col).alias("_lettered"), F.lower(F.col(f"`{text_col}`")).alias("_lower"))
-    schema = StructType([*(StructField(f.name, f.dataType) for f in kept.schema), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(_identified(crf), schema)
+    names = keep or ["doc_id"]
+    held = [*names] if text_col in names else [*names, text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(held)], has_letter(text_col).alias("lettered"))
+    schema = StructType([*rows.schema.fields[: len(names)], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_identified(crf, held.index(text_col), len(names)), schema).toDF(*names, "lang_pred", "score")
 
 
 def _labelled(crf: Crf):
     kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, buf, offsets in packs(batches, "text", 1 << 20):
-            start, end, n, post = _tagged(crf, buf, offsets)
+        for rows, buf, offsets in packs(batches, "text", STRETCH):
+            if len(rows) == 1 and len(buf) > 2 * STRETCH:
+                parts = [(lo + start, lo + end, post) for lo, start, end, post in _long(crf, buf)] or [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, len(crf.labels))))]
+                start, end, post = (np.concatenate(x) for x in zip(*parts, strict=True))
+                n = np.array([len(start)])
+            else:
+                start, end, n, post = _tagged(crf, buf, offsets)
             best, data = post.argmax(axis=1), buf.tobytes()
             each = [{"word": data[s:e].decode("utf-8", "replace"), "lang": crf.labels[b], "score": float(p[b])} for s, e, b, p in zip(start, end, best, post, strict=True)]
             ends = np.cumsum(n)

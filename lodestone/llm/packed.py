@@ -18,18 +18,23 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def packs(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes behind an Arrow string column, and where each text starts and ends in them. Null counts as empty."""
+    if texts.null_count:
+        texts = texts.fill_null("")
+    _, where, data = texts.buffers()
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    ends = np.frombuffer(where, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), ends
+
+
+def packs(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) of runs of rows with up to `limit` bytes of text, or one longer text. Null counts as empty."""
     for batch in batches:
         texts = batch.column(column)
-        if texts.null_count:
-            texts = texts.fill_null("")
-        _, where, data = texts.buffers()
-        kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
         if not len(texts):
             continue
-        ends = np.frombuffer(where, kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        held, ends = flat(texts)
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, "right")) - 1)

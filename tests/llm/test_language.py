@@ -53,3 +53,32 @@ def test_nothing_to_learn_from(spark):
     assert crf.train(empty(spark), F.lit(True)) is None
     assert {r.lang_pred for r in crf.identify(docs(spark, 3), None).collect()} == {"und"}
     assert crf.identify(empty(spark), None).count() == 0
+
+
+def test_stretches_of_a_long_text_are_exact(spark):
+    frame = docs(spark, 200)
+    model = crf.train(frame, F.lit(True))
+    text = " ".join(r.text for r in frame.where("text is not null").collect())[:60_000].lower() + " " + "z" * 9000
+    buf = np.frombuffer(text.encode(), np.uint8)
+    start, end, _, post = crf._tagged(model, buf, np.array([0, len(buf)]))
+    parts = list(crf._long(model, buf, 5000))
+    assert len(parts) > 5
+    assert np.array_equal(np.concatenate([lo + s for lo, s, _, _ in parts]), start)
+    assert np.allclose(np.concatenate([p for *_, p in parts]), post, atol=1e-9)
+
+
+def test_repeated_rows_and_extra_columns(spark):
+    frame = docs(spark, 30)
+    model = crf.train(frame, F.lit(True))
+    twice = frame.union(frame)
+    once = {(r.doc_id, r.lang_pred, r.score) for r in crf.identify(frame, model).collect()}
+    rows = [(r.doc_id, r.lang_pred, r.score) for r in crf.identify(twice, model).collect()]
+    assert len(rows) == 2 * frame.count() and set(rows) == once
+    wide = crf.identify(frame, model, keep=["a.b", "text", "row", "doc_id"])
+    assert wide.columns == ["a.b", "text", "row", "doc_id", "lang_pred", "score"] and wide.count() == frame.count()
+
+
+def test_training_windows_are_bounded(spark):
+    long = spark.createDataFrame([(i, "der die das und " * 5000 if i % 2 else "the of and with " * 5000, "de" if i % 2 else "en") for i in range(6)], "doc_id long, text string, lang string")
+    model = crf.train(long, F.lit(True), window=400)
+    assert [r.lang_pred for r in crf.identify(long, model).orderBy("doc_id").collect()] == ["en", "de"] * 3

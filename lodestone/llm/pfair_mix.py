@@ -12,7 +12,7 @@ through the slots with a heap of the sources and writes the slot of every block,
 up by a join; neither the driver nor a task holds more than a few values a source.
 
 Defined cases: a null source counts as the source ''; rows that repeat are mixed each for
-itself; sources with no weight given, or weight 0, share what `rest` says (default: the smallest
+itself; rows of one id are ordered by a hash of their content; sources with no weight given, or weight 0, share what `rest` says (default: the smallest
 weight given); an empty table gives an empty mix; texts are not looked at.
 """
 
@@ -34,40 +34,6 @@ from .tables import keep
 SPREAD = 512  # parts in which a source's rows are ranked
 
 
-def tickets(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole tickets that sum to the period (or to four a source, if that is more), one at least; largest remainders first."""
-    period = max(period, 4 * len(weights))
-    total = sum(weights.values())
-    share = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in share.items()}
-    order = sorted(weights, key=lambda s: (out[s] - share[s], s))
-    i = 0
-    while (gap := period - sum(out.values())) != 0:
-        s = order[i % len(order)] if gap > 0 else max(out, key=lambda s: (out[s] - share[s], out[s], s))
-        out[s] += 1 if gap > 0 else -1
-        i += 1
-    return out
-
-
-def edf_period(share: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one period."""
-    period = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]  # release, source, block
-    due: list[tuple[int, str, int]] = []
-    heapq.heapify(waiting)
-    slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(due, (-(-(i + 1) * period // share[s]), s, i))
-        deadline, s, i = heapq.heappop(due)
-        assert deadline > t, "a block missed its deadline"
-        slots.append(s)
-        if i + 1 < share[s]:
-            heapq.heappush(waiting, ((i + 1) * period // share[s], s, i + 1))
-    return slots
-
-
 def shares(weights: Mapping[str, Rational | float]) -> dict[str, int]:
     """Whole numbers in exactly the proportions of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -106,24 +72,32 @@ def _scheduled(blocks: Mapping[str, int], weights: Mapping[str, Rational | float
         slots, at = edf_slots(blocks, weights), 0
         while part := list(islice(slots, 1 << 16)):
             sources, numbers = zip(*part, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(part)), pa.int64())], ["mix_source", "mix_block", "mix_slot"])
+            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(numbers, pa.int64()), pa.array(range(at, at + len(part)), pa.int64())], ["source", "block", "slot"])
             at += len(part)
 
     return schedule
 
 
-def mix(docs: DataFrame, weights: Mapping[str, Rational | float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, rest: float | None = None) -> DataFrame:
+MADE = ("mix_source", "mix_block", "mix_slot", "mix_position")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, Rational | float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = 16, rest: float | None = None, spread: int = SPREAD) -> DataFrame:
     """docs with mix_source, mix_block (within the source), mix_slot and mix_position (from 0, of the whole mix; blocks that are not full leave gaps).
 
     weights: target weight by source; None takes the square roots of the sources' row counts.
+    spread: parts in which a source's rows are ranked. Columns of docs under one of the four names give way.
     """
     spark = docs.sparkSession
-    tagged = docs.withColumn("mix_source", F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")))
-    tagged = tagged.withColumn("mix_hash", F.xxhash64(F.lit(17), F.col(f"`{id_col}`"))).withColumn("mix_part", F.pmod("mix_hash", F.lit(SPREAD)).cast("int"))
-    narrow = tagged.select("mix_source", "mix_part")
-    # at most SPREAD rows a source
-    parts = narrow.groupBy("mix_source", "mix_part").agg(F.count(F.lit(1)).alias("n"))
-    counts = {r["mix_source"]: r["n"] for r in parts.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
+    names = [c for c in docs.columns if c.lower() not in MADE]
+    kept = [F.col(f"`{c}`") for c in names]
+    hashed = [F.col(f"`{c}`") for c in names if "map<" not in docs.schema[c].dataType.simpleString()]  # Spark hashes no maps
+    # what the caller's columns hold stays in one struct, so no name can clash; rows of one hash (null ids, repeated rows) are dealt out by their whole content
+    whole = F.struct(*kept)
+    tagged = docs.select(F.coalesce(F.col(f"`{source_col}`").cast("string"), F.lit("")).alias("source"), F.xxhash64(F.lit(17), F.col(f"`{id_col}`")).alias("hash"), F.xxhash64(*hashed).alias("tie"), whole.alias("row"))
+    tagged = tagged.withColumn("part", F.pmod(F.when(F.col("row").getField(id_col).isNull(), F.col("tie")).otherwise(F.col("hash")), F.lit(spread)).cast("int"))
+    # at most `spread` rows a source
+    parts = tagged.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["source"]: r["n"] for r in parts.groupBy("source").agg(F.sum("n").alias("n")).collect()}
     if weights is None:
         target = {s: n**0.5 for s, n in counts.items()}
     else:
@@ -131,15 +105,15 @@ def mix(docs: DataFrame, weights: Mapping[str, Rational | float] | None = None,
         target = {s: weights[s] if weights.get(s, 0) > 0 else low for s in counts}
     blocks = {s: -(-n // block_rows) for s, n in counts.items()}
     # a row for each block; the order of slots is one sequence, so one task makes it
-    schedule = keep(spark.range(0, 1, 1, 1).mapInArrow(_scheduled(blocks, target), "mix_source string, mix_block long, mix_slot long"))
-    before = Window.partitionBy("mix_source").orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("mix_source", "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_start"))
-    within = Window.partitionBy("mix_source", "mix_part").orderBy("mix_hash", F.col(f"`{id_col}`"))
-    ranked = tagged.withColumn("mix_rank", F.row_number().over(within) - 1).join(starts, ["mix_source", "mix_part"])
-    ranked = ranked.withColumn("mix_rank", F.col("mix_rank") + F.col("mix_start")).withColumn("mix_block", F.floor(F.col("mix_rank") / block_rows))
-    placed = ranked.join(schedule, ["mix_source", "mix_block"])
-    out = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.pmod("mix_rank", F.lit(block_rows)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_source", "mix_block", "mix_slot", "mix_position")
+    schedule = keep(spark.range(0, 1, 1, 1).mapInArrow(_scheduled(blocks, target), "source string, block long, slot long"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy("source", "part").orderBy("hash", "tie")
+    ranked = tagged.withColumn("rank", F.row_number().over(within) - 1).join(starts, ["source", "part"])
+    ranked = ranked.withColumn("rank", F.col("rank") + F.col("start")).withColumn("block", F.floor(F.col("rank") / block_rows))
+    placed = ranked.join(schedule, ["source", "block"])
+    made = (F.col("source"), F.col("block"), F.col("slot"), F.col("slot") * block_rows + F.pmod("rank", F.lit(block_rows)))
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in names], *[x.alias(name) for x, name in zip(made, MADE, strict=True)])
 
 
 def op1_pfair_mix(spark, sf_dir: str) -> DataFrame:

@@ -1,16 +1,44 @@
+from fractions import Fraction
+from math import ceil, floor
+
 from lodestone.llm import pfair_mix as pm
 from tests.llm.fixtures import docs, empty
 
 
-def test_edf_keeps_within_a_block():
-    share = pm.tickets({"a": 0.5, "b": 0.3, "c": 0.19, "d": 0.01}, 100)
-    slots = pm.edf_period(share)
-    assert sum(share.values()) == len(slots) == 100
-    for s, n in share.items():
-        had = 0
-        for t, x in enumerate(slots, 1):
-            had += x == s
-            assert abs(had - t * n / 100) < 1
+def brute(blocks, weights):
+    """Slot by slot: of the released blocks the one due first, ties by source; a phase ends where a source has none left."""
+    done, out = dict.fromkeys(blocks, 0), []
+    while left := {s: n - done[s] for s, n in blocks.items() if n > done[s]}:
+        total = sum(Fraction(weights[s]) for s in left)
+        w, had, t = {s: Fraction(weights[s]) / total for s in left}, dict.fromkeys(left, 0), 0
+        while True:
+            open_ = [(ceil((had[s] + 1) / w[s]), s) for s in left if floor(had[s] / w[s]) <= t]
+            s = min(open_)[1]
+            if had[s] == left[s]:
+                break
+            out.append((s, done[s]))
+            had[s], done[s], t = had[s] + 1, done[s] + 1, t + 1
+    return out
+
+
+def test_schedule_equals_brute_force():
+    for blocks, weights in [({"a": 9, "b": 20, "c": 4}, {"a": 0.5, "b": 0.3, "c": 0.2}), ({"a": 30, "b": 3, "c": 11, "d": 1}, {"a": 3, "b": 1, "c": 0.25, "d": 7}), ({"x": 5}, {"x": 1e-9})]:
+        assert list(pm.edf_slots(blocks, weights)) == brute(blocks, weights)
+
+
+def test_columns_never_clash(spark):
+    frame = docs(spark).selectExpr("*", "7 as mix_hash", "8 as mix_rank", "9 as source_", "10 as hash", "11 as tie", "12 as part", "13 as block", "map('a', 1) as m")
+    out = pm.mix(frame)
+    assert out.columns[: len(frame.columns)] == frame.columns
+    assert {(r.mix_hash, r.mix_rank, r.hash, r.tie, r.part, r.block) for r in out.select("mix_hash", "mix_rank", "hash", "tie", "part", "block").collect()} == {(7, 8, 10, 11, 12, 13)}
+    again = pm.mix(out)
+    assert again.columns == out.columns and again.count() == frame.count()
+
+
+def test_rows_without_ids_are_dealt_out(spark):
+    frame = spark.range(2000).selectExpr("cast(null as long) as doc_id", "'s' as source", "id as x")
+    first, second = ({r.x: r.mix_position for r in pm.mix(f).collect()} for f in (frame, frame.repartition(7)))
+    assert first == second and len(set(first.values())) == 2000
 
 
 def test_every_row_once_and_prefixes_near_their_weights(spark):
@@ -34,8 +62,6 @@ def test_odd_and_empty_tables(spark):
 
 
 def test_blocks_keep_within_one_of_the_exact_weights():
-    from fractions import Fraction
-
     weights = {f"s{i:02}": 300**0.5 for i in range(19)} | {"hot": 2850**0.5, "rare": 0.01}
     total = sum(map(Fraction, weights.values()))
     exact = {s: Fraction(w) / total for s, w in weights.items()}

@@ -192,8 +192,9 @@ def fit(texts: list[str], langs: list[str], size: int = 1 << 16, rounds: int = 3
         miss = exact - post
         by_word = np.stack([np.bincount(which, miss[:, j], len(hashes)) for j in range(k)], axis=1)
         pull = np.stack([np.bincount(what, value * by_word[row, j], size) for j in range(k)], axis=1)
-        xi = alpha[:-1, :, None] * np.exp(crf.steps)[None] * (e * beta)[1:, None, :]
-        xi = (xi / xi.sum(axis=(1, 2), keepdims=True))[inner].sum(axis=0)
+        tie, ahead = np.exp(crf.steps), (e * beta)[1:]
+        mass = np.einsum("nk,nk->n", alpha[:-1] @ tie, ahead)
+        xi = tie * ((alpha[:-1] * (inner / mass)[:, None]).T @ ahead)
         grads = [pull / len(truth) - decay * crf.weights, (pairs - xi) / len(truth), miss[opens].sum(axis=0) / len(truth)]
         for x, g, m, s in zip(params, grads, mean, square, strict=True):
             m += 0.1 * (g - m)
@@ -203,7 +204,7 @@ def fit(texts: list[str], langs: list[str], size: int = 1 << 16, rounds: int = 3
     return crf
 
 
-def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 80, window: int = 8000, **options) -> Crf | None:
+def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 80, window: int = 2000, **options) -> Crf | None:
     """Fit on at most `per_label` documents of each label, and `window` characters of each, among those for which `learn` (on column id) holds."""
     rows = narrowed(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null and id is not null and text is not null").where(learn).where(has_letter("text"))
     rows = rows.withColumn("h", F.xxhash64(F.lit(8), "id"))

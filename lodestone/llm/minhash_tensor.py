@@ -6,6 +6,8 @@ the set is empty. Two small collections of `m` keys of `r` minhashes each are co
 pair of a key of one and a key of the other is a table key, so `m * m` tables of `2 * r` rows
 cost `2 * m * r` minhashes. Candidates are confirmed on full sets.
 
+Keys of a collection that only one set has are left out before pairs are made.
+
 Equal sets fall together first, by 128 bits of set fingerprint and the set's size. In a bucket,
 documents are compared with one representative (the best connected one). Where a bucket still
 holds different components, its documents meet again, in parts of bounded size, two parts at a
@@ -14,7 +16,8 @@ pairs of different components whose signatures allow the similarity, and returns
 forest of its links: pairs are never listed, and no link between two components is lost.
 
 Defined cases: null, empty or blank texts have n_shingles 0, link with nothing and are kept;
-rows with equal doc_id count as one document, the first text by order; null doc_ids are left out.
+rows with equal doc_id count as one document, that with the smallest (n_shingles, fingerprint);
+null doc_ids are left out; rows that repeat give one row.
 """
 
 from __future__ import annotations
@@ -62,6 +65,16 @@ def distinct_shingles(buf: np.ndarray, offsets: np.ndarray, width: int = 5) -> t
     return x[first], np.add.reduceat(np.append(first, False), np.minimum(ends - many, len(x))).astype(np.int64) * (many > 0)
 
 
+def fingerprints(x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each set, whatever the order of its shingles."""
+    f1, f2 = np.zeros(len(n), U), np.zeros(len(n), U)
+    if len(x):
+        at = (np.cumsum(n) - n)[n > 0]
+        f1[n > 0] = np.add.reduceat(mixed(x + U(1)), at)
+        f2[n > 0] = np.add.reduceat(mixed(x ^ U(0xA5A5A5A5A5A5A5A5)), at)
+    return f1, f2
+
+
 def _signer(m: int, r: int, width: int):
     seeds = np.random.Generator(np.random.PCG64(9)).integers(0, 1 << 63, 4 * m * r, dtype=np.uint64)
     factor, shift = seeds[: 2 * m * r] * U(2) + U(1), seeds[2 * m * r :]
@@ -71,12 +84,10 @@ def _signer(m: int, r: int, width: int):
             x, n = distinct_shingles(buf, offsets, width)
             has, at = n > 0, (np.cumsum(n) - n)[n > 0]
             low = np.zeros((2 * m * r, len(n)), U)
-            f1, f2 = np.zeros(len(n), U), np.zeros(len(n), U)
+            f1, f2 = fingerprints(x, n)
             if len(x):
                 for j in range(2 * m * r):
                     low[j, has] = np.minimum.reduceat(x * factor[j] + shift[j], at)
-                f1[has] = np.add.reduceat(mixed(x + U(1)), at)
-                f2[has] = np.add.reduceat(mixed(x ^ U(0xA5A5A5A5A5A5A5A5)), at)
             low = mixed(low)
             keys = np.zeros((2 * m, len(n)), U)
             for j in range(2 * m * r):
@@ -94,7 +105,8 @@ def _sets(width: int):
     def whole(batches):
         for rows, buf, offsets in packs(batches, "text"):
             x, n = distinct_shingles(buf, offsets, width)
-            yield pa.RecordBatch.from_arrays([rows.column("id"), lists(x.view(np.int64), n, pa.int64())], ["id", "shingles"])
+            f1, f2 = fingerprints(x, n)
+            yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), lists(x.view(np.int64), n, pa.int64())], ["id", "n_shingles", "f1", "f2", "shingles"])
 
     return whole
 
@@ -138,20 +150,32 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     m, r: the tensor's size; a pair of similarity s is a candidate with probability
     (1 - (1 - s^r)^m)^2, 0.9998 at 0.85. agree: between two components of one bucket only, pairs
     with fewer equal 4-bit minhashes than this share are not confirmed; at similarity 0.85 a true
-    pair falls below it with probability under 1e-6. crowd: rows of a bucket's part.
+    pair falls below it with probability under 1e-6; agree=0 confirms them all. crowd: rows of a bucket's part.
     """
     source = narrowed(docs, id=id_col, text=text_col).where("id is not null").select(F.col("id").cast("long"), "text")
     signed = keep(source.mapInArrow(_signer(m, r, width), SIGNATURE))
+    # one row an id; only ids that repeat are sorted out
+    repeated = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    columns = ["n_shingles", "f1", "f2", "left", "right", "bits"]
+    chosen = signed.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*columns)).alias("s")).select("id", "s.*")
+    signed = signed.join(repeated, "id", "left_anti").unionByName(chosen)
     # one row a set: equal sets need no comparing
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("bits").alias("bits"))
-    keyed = classes.select("id", F.explode("left").alias("l"), "right").select("id", "l", F.explode("right").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
+    # only keys that two sets share are worth pairing
+    ends = classes.select("id", F.expr("inline(concat(transform(left, x -> struct(0 as side, x as end)), transform(right, x -> struct(1 as side, x as end))))"))
+    met_twice = ends.groupBy("side", "end").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("side", "end")
+    of_side = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("end")))
+    paired = ends.join(met_twice, ["side", "end"]).groupBy("id").agg(of_side(0).alias("l"), of_side(1).alias("r"))
+    keyed = paired.select("id", F.explode("l").alias("l"), "r").select("id", "l", F.explode("r").alias("r")).select("id", F.xxhash64("l", "r").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = keep(keyed.join(shared, "key").select("id", "key", "n"))
     weight = live.groupBy("id").agg(F.sum("n").alias("w"))
     reps = live.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("w", -F.col("id"))).alias("rep"))
     near = live.join(reps, "key").where("id <> rep").groupBy("id", "rep").agg(F.count(F.lit(1)).alias("tables"))
     pairs = keep(near.select(F.col("id").alias("a"), F.col("rep").alias("b"), "tables"))
-    sets = keep(source.join(weight.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, shingles array<long>"))
+    held = source.join(weight.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, n_shingles long, f1 long, f2 long, shingles array<long>")
+    # of rows with one id only the chosen one's set; repeats of it do no harm
+    sets = keep(held.join(classes.select("id", "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi").select("id", "shingles"))
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tables", -F.col("b"))).alias("b"))
     links = keep(_links(best, sets, percent))
@@ -179,7 +203,7 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = signed.join(roots, ["f1", "f2", "n_shingles"], "left")
     out = out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     discard(sets)
-    return out.groupBy(F.col("id").alias("doc_id")).agg(F.first("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def _met(percent: int, apart: int):

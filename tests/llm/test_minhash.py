@@ -43,3 +43,14 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in connected_components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_equal_and_null_ids(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi", "uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince")
+    rows = [(1, a), (1, b), (2, a), (3, a), (4, b), (5, b), (5, b), (None, a), (None, b)]
+    out = {r.doc_id: r for r in minhash_clusters(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(out) == [1, 2, 3, 4, 5]
+    assert out[2].component_id == out[3].component_id and out[4].component_id == out[5].component_id
+    # document 1 is one of its two texts, never both
+    assert len({out[2].component_id, out[4].component_id}) == 2
+    assert out[1].n_shingles == len(a.split()) - 4 and out[2].component_id == 1 or out[1].n_shingles == len(b.split()) - 4 and out[4].component_id == 1

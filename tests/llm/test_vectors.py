@@ -87,3 +87,62 @@ def test_search_with_vectors_of_many_lengths(spark):
             hits += len(got[q] & set(np.argsort(-score, kind="stable")[:20].tolist()))
             assert len(got[q]) == 20, name
         assert hits / (20 * len(range(0, n, 20))) >= 0.9, name
+
+
+def loaded(sf):
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"/root/testdata/{sf}/embeddings.parquet")
+    return t.column("vec_id").to_numpy(), np.asarray(t.column("embedding").combine_chunks().flatten(), float).reshape(len(t), -1)
+
+
+def test_embeddings_are_searched_with_few_comparisons(spark):
+    from lodestone.llm import cross_polytope as cp
+
+    ids, x = loaded("sf0.1")
+    got = {}
+    for r in cp.op3_cross_polytope(spark, "/root/testdata/sf0.1").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits, queries = 0, np.flatnonzero(ids % 20 == 0)
+    for q in queries:
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -score))[:20]].tolist()))
+    assert hits / (20 * len(queries)) >= 0.9
+    # distinct pairs that meet in a bucket, of all pairs of a query and another row
+    u, axes = cp.unit(x), cp.width(len(x), 64)
+    met = np.zeros((len(queries), len(x)), bool)
+    for table in range(16):
+        name, probed = cp.buckets(u, table, axes, 1)[:, 0], cp.buckets(u[queries], table, axes, 256)
+        for i, p in enumerate(probed):
+            met[i] |= np.isin(name, p)
+    assert met.mean() < 0.3
+
+
+def test_probes_are_the_best_buckets():
+    from lodestone.llm import cross_polytope as cp
+
+    x = cp.unit(np.random.default_rng(4).standard_normal((6, 8)))
+    for axes, probes in (((8, 8), 20), ((8, 8, 2), 30), ((8, 1), 1000)):
+        y = [cp.pseudo_rotation(x, 3 * 8 + i)[:, :a] for i, a in enumerate(axes)]
+        total, name = np.zeros((len(x), 1)), np.zeros((1,), int)
+        for z, a in zip(y, axes, strict=True):
+            z = np.concatenate((z, -z), axis=1)
+            total = (total[:, :, None] + z[:, None, :]).reshape(len(x), -1)
+            name = (name[:, None] * 2 * a + np.arange(2 * a)).reshape(-1)
+        got = cp.buckets(x, 3, axes, probes)
+        for i in range(len(x)):
+            # bucket b stands at place b; equal sums may come in any order
+            assert np.array_equal(name, np.arange(len(name))) and len(set(got[i].tolist())) == len(got[i])
+            assert np.allclose(total[i][got[i]], np.sort(total[i])[::-1][:probes])
+
+
+def test_links_of_the_embeddings_equal_brute_force(spark):
+    ids, x = loaded("sf0.01")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    for cell_rows in (8192, 4):  # eight cells a block, or many
+        got = {r.vec_id: r.n_links for r in vector_clusters(frame, cell_rows=cell_rows).collect()}
+        assert got == dict(zip(ids.tolist(), link.sum(axis=1).tolist(), strict=True))

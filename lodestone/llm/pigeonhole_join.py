@@ -3,7 +3,7 @@
 For unit vectors cosine >= c means squared distance <= 2 - 2c. After a random rotation the
 coordinates are split into `blocks` blocks of few dimensions; by the pigeonhole principle a
 near pair is within its share, (2 - 2c) / blocks, in one block at least. Each block is range-
-joined over a grid on its first coordinates; every pair found is confirmed by its exact cosine
+joined over a grid that halves its coordinates in turn, the oftener the more vectors there are; every pair found is confirmed by its exact cosine
 and counted in the first block that finds it, so the union needs no list of pairs.
 
 Equal vectors fall together first and are counted by multiplicity. A crowded cell is split into
@@ -20,6 +20,7 @@ link; of rows with one id the smallest vector counts; null ids are left out.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,8 @@ def _spans(d: int, blocks: int) -> list[tuple[int, int]]:
     return list(itertools.pairwise(ends.tolist()))
 
 
-def _celled(budget: float, blocks: int, axes: int):
-    """Each vector in its cell of each block's grid, and as a guest in the earlier cells within reach."""
+def _celled(budget: float, blocks: int, cuts: dict[int, list[list[list[float]]]]):
+    """Each vector in its cell of each block's grid, and as a guest in the earlier cells within reach. cuts: by length, block and coordinate, where the grid cuts."""
 
     def place(batches):
         for batch in batches:
@@ -55,24 +56,47 @@ def _celled(budget: float, blocks: int, axes: int):
                 rows = batch.filter(pa.array(lengths == d))
                 t = _turned(matrix(rows.column("v")))
                 spans = _spans(int(d), blocks)
-                reach = np.sqrt(budget / len(spans)) * (1 + 1e-9)
-                width = 3 * reach
-                for b, (lo, hi) in enumerate(spans):
-                    g = t[:, lo : min(hi, lo + axes)]
-                    own = np.floor(g / width).astype(np.int64)
-                    code = lambda c: ((c + (1 << 14)) @ (1 << (15 * np.arange(c.shape[1]))).astype(np.int64)) * 65536 + d  # noqa: E731,B023
-                    home = code(own)
-                    for step in itertools.product((-1, 0, 1), repeat=g.shape[1]):
-                        cell = own + np.array(step)
-                        gap = np.maximum(np.maximum(cell * width - g, g - (cell + 1) * width), 0)
-                        c = code(cell)
-                        at = np.flatnonzero((c <= home) & ((gap * gap).sum(1) <= reach * reach * (1 + 1e-9)))
-                        if len(at):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(c[at]), pa.array(c[at] == home[at]), rows.column("id").take(pa.array(at))], ["block", "cell", "home", "id"])
+                share = budget / len(spans) * (1 + 1e-9)
+                for b, (lo, _) in enumerate(spans):
+                    # coordinate by coordinate: the cells still within reach of each vector, with the squared gap so far
+                    at, cell, gap, home = np.arange(len(t)), np.zeros(len(t), np.int64), np.zeros(len(t)), np.zeros(len(t), np.int64)
+                    for j, marks in enumerate(cuts[int(d)][b]):
+                        y, edges = t[:, lo + j], np.array([-np.inf, *marks, np.inf])
+                        home = home * (len(marks) + 1) + np.searchsorted(edges[1:-1], y, "right")
+                        reached = []
+                        for i in range(len(marks) + 1):
+                            z = np.maximum(np.maximum(edges[i] - y[at], y[at] - edges[i + 1]), 0)
+                            near = gap + z * z <= share
+                            reached.append((at[near], cell[near] * (len(marks) + 1) + i, (gap + z * z)[near]))
+                        at, cell, gap = (np.concatenate(x) for x in zip(*reached, strict=True))
+                    earlier = cell <= home[at]
+                    at, cell = at[earlier], cell[earlier]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, np.int32)), pa.array(cell * 65536 + d), pa.array(cell == home[at]), rows.column("id").take(pa.array(at))], ["block", "cell", "home", "id"])
 
     return place
 
 
+def _grids(classes: DataFrame, blocks: int, cell_rows: int, most: int = 4096) -> dict[int, list[list[list[float]]]]:
+    """By length, block and coordinate the cuts of the grid: medians first, then finer quantiles, until a cell has about `cell_rows` vectors.
+
+    Cuts come from at most `most` vectors of each length, those with the smallest hashes; wherever they lie, no link is lost.
+    """
+    sizes = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()
+    out = {}
+    for r in sizes:
+        d, n = r["d"], r["n"]
+        halves = max(3, math.ceil(math.log2(max(1, n / cell_rows))))
+        part = min(1.0, 2 * most / n)
+        near = classes.where((F.size("v") == d) & (F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) < int(part * (1 << 30))))
+        t = _turned(matrix(near.select("v", F.xxhash64(F.lit(3), "id").alias("o")).orderBy("o").limit(most).toArrow().column("v").combine_chunks()))
+        out[d] = []
+        for lo, hi in _spans(d, blocks):
+            # a block's coordinates are halved in turn
+            times = [halves // (hi - lo) + (j < halves % (hi - lo)) for j in range(hi - lo)]
+            out[d].append([sorted(set(np.quantile(t[:, lo + j], np.arange(1, 1 << m) / (1 << m)).tolist())) if len(t) else [] for j, m in enumerate(times)])
+    return out
+
+
 def _forest(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels after joining a[i] with b[i]: each points at its tree's smallest row."""
     while True:
@@ -143,14 +167,14 @@ def _met(cosine: float, blocks: int, leaf: int = 64):
     return meet
 
 
-def vector_clusters(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, axes: int = 2, crowd: int = 8192) -> DataFrame:
-    """id, n_links, component_id, kept. axes: coordinates of each block that the grid uses; crowd: rows of a cell's part."""
+def vector_clusters(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.95, blocks: int = 8, cell_rows: int = 8192, crowd: int = 32768) -> DataFrame:
+    """id, n_links, component_id, kept. cell_rows: vectors that a cell should hold; crowd: rows (with guests) of a cell's part."""
     every = one_each(vectors, id_col, vector_col)
     # single precision stays single while it is shuffled; all arithmetic is double
     held = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"
     sound = every.where(usable("v")).select("id", F.col("v").cast(held).alias("v"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2"))
     classes = keep(sound.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v")))
-    placed = keep(classes.select("id", "v").mapInArrow(_celled(2 - 2 * cosine, blocks, axes), CELLS))
+    placed = keep(classes.select("id", "v").mapInArrow(_celled(2 - 2 * cosine, blocks, _grids(classes, blocks, cell_rows)), CELLS))
     cells = placed.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("rows"), F.max("home").alias("hosted")).where("rows > 1 and hosted").select("block", "cell", F.ceil(F.col("rows") / crowd).cast("int").alias("parts"))
     rows = placed.join(cells, ["block", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

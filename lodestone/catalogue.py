@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import questions, text, vectors
-from .operators import chunking, evaluation, jobs, lists, metrics, retrieval, upsert
+from .functions import answers, questions, text, vectors
+from .operators import chunking, evaluation, jobs, linking, lists, metrics, retrieval, upsert
 from .plans import guard, reporting
 from .sources import pages as html_pages
 from .streaming import events as event_streams
@@ -265,7 +265,7 @@ def query_terms(spark, sf_dir):
 @query(f"SELECT doc_id, {_KW} AS keyword_score FROM documents")
 def keyword_scores(spark, sf_dir):
     rows = load(spark, sf_dir, "documents")
-    return rows.select("doc_id", F.round(text.keyword_score(F.col("text"), text.query_terms(F.lit(QUESTION))), 6).alias("keyword_score"))
+    return rows.select("doc_id", F.round(text.keyword_score(F.col("text"), text.terms_of(QUESTION)), 6).alias("keyword_score"))
 
 
 _PRE = "(20 * contains(lower(text), 'licensed under')::INT + contains(lower(text), 'licensed')::INT + contains(lower(text), 'under')::INT)"
@@ -357,41 +357,59 @@ def chunk_paragraph(spark, sf_dir):
 
 @query()
 def heading_path(spark, sf_dir):
-    elements = html_pages.page_elements(load(spark, sf_dir, "pages"))
+    elements = html_pages.page_elements(load(spark, sf_dir, "pages"), fallback="url")
     return chunking.heading_paths(elements, "page_id", "order_index", "heading_level", "content").select("page_id", "order_index", "element_type", "heading_path")
 
 
 @query()
 def html_elements(spark, sf_dir):
-    return html_pages.page_elements(load(spark, sf_dir, "pages"))
+    return html_pages.page_elements(load(spark, sf_dir, "pages"), fallback="url")
 
 
-@query()
+_INNER = lambda tag: f"nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')), '')"
+
+
+@query(f"SELECT page_id, coalesce({_INNER('h1')}, {_INNER('title')}, url) AS title FROM pages")
 def html_title(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", html_pages.page_title(F.col("html"), F.col("url")).alias("title"))
 
 
 # Question rules
 
-_ASKED = "(SELECT item_id, CASE item_id % 8 WHEN 0 THEN '2021年到2019年' WHEN 1 THEN '近3年' WHEN 2 THEN '最近五年' WHEN 3 THEN '去年' WHEN 4 THEN '今年' WHEN 5 THEN '2022年全国' WHEN 6 THEN '北京市 密码 告诉我' ELSE 'select a from b' END AS q FROM benchmark)"
+# each passage after a question that goes round: the rules read the whole of both
+_SAMPLES = ["2021年到2019年", "近3年", "最近五年", "去年", "今年", "2022年全国", "北京市 密码 告诉我", "select a from b", "数据库里有多少条数据", "请查询所有用户的身份证和手机号", "请删除数据库里的视图", "自治区", "深圳的规定", "上海", "海淀区"]
+_CASES = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_SAMPLES))
+_ASKED = f"(SELECT item_id, (CASE item_id % {len(_SAMPLES)} {_CASES} END) || ' ' || coalesce(text, '') AS q FROM benchmark)"
+_ANY = lambda words: "(" + " OR ".join(f"contains(lower(q), '{w}')" for w in words) + ")"
 
 
 def _asked(spark, sf_dir):
-    samples = ["2021年到2019年", "近3年", "最近五年", "去年", "今年", "2022年全国", "北京市 密码 告诉我", "select a from b"]
-    return load(spark, sf_dir, "benchmark").select("item_id", F.array(*[F.lit(s) for s in samples])[(F.col("item_id") % 8).cast("int")].alias("q"))
+    sample = F.array(*[F.lit(s) for s in _SAMPLES])[(F.col("item_id") % len(_SAMPLES)).cast("int")]
+    return load(spark, sf_dir, "benchmark").select("item_id", F.concat(sample, F.lit(" "), F.coalesce("text", F.lit(""))).alias("q"))
 
 
-@query(f"SELECT item_id, CASE WHEN item_id % 8 = 6 THEN 'secret' WHEN item_id % 8 = 7 THEN 'raw_sql' ELSE 'allow' END AS decision FROM {_ASKED}")
+@query(f"""SELECT item_id, CASE WHEN {_ANY(questions.INTERNAL)} AND {_ANY(questions.ENUMERATION)} THEN 'INTERNAL_ASSET_ENUMERATION' WHEN {_ANY(questions.PERSONAL)} AND {_ANY(questions.DISCLOSURE)} THEN 'PERSONAL_DATA_REQUEST'
+  WHEN {_ANY(questions.SECRET)} AND {_ANY(questions.DISCLOSURE)} THEN 'SECRET_OR_CONFIG_REQUEST' WHEN {_ANY(questions.INTERNAL)} AND {_ANY(questions.MUTATION)} THEN 'DATABASE_MUTATION_REQUEST'
+  WHEN regexp_matches(lower(q), '{questions.RAW_SQL}') THEN 'RAW_DATABASE_STATEMENT' ELSE 'ALLOW' END AS decision FROM {_ASKED}""")
 def security_policy(spark, sf_dir):
     return _asked(spark, sf_dir).select("item_id", questions.security_decision(F.col("q")).alias("decision"))
 
 
-@query(f"SELECT item_id, CASE item_id % 8 WHEN 0 THEN 2019 WHEN 1 THEN 2024 WHEN 2 THEN 2022 WHEN 3 THEN 2025 WHEN 4 THEN 2026 WHEN 5 THEN 2022 END AS start_year, CASE item_id % 8 WHEN 0 THEN 2021 WHEN 1 THEN 2026 WHEN 2 THEN 2026 WHEN 3 THEN 2025 WHEN 4 THEN 2026 WHEN 5 THEN 2022 END AS end_year FROM {_ASKED}")
+_BOTH, _LAST, _WORD, _YEAR = (r"(20[0-9]{2})\s*年?\s*(?:到|至|~|-|—)\s*(20[0-9]{2})", r"(?:近|最近)\s*([0-9]{1,2})\s*年", r"(?:近|最近)\s*([一二三四五六七八九十两])\s*年", r"(20[0-9]{2})\s*年")
+
+
+@query(f"""SELECT item_id, CASE WHEN both1 <> '' THEN least(both1::INT, both2::INT) WHEN last <> '' THEN 2026 - last::INT + 1 WHEN word = '两' THEN 2025 WHEN word <> '' THEN 2026 - strpos('{questions.NUMERALS}', word)::INT + 1
+    WHEN contains(q, '去年') THEN 2025 WHEN contains(q, '今年') THEN 2026 WHEN one <> '' THEN one::INT END AS start_year,
+  CASE WHEN both1 <> '' THEN greatest(both1::INT, both2::INT) WHEN last <> '' OR word <> '' THEN 2026 WHEN contains(q, '去年') THEN 2025 WHEN contains(q, '今年') THEN 2026 WHEN one <> '' THEN one::INT END AS end_year
+  FROM (SELECT *, regexp_extract(q, '{_BOTH}', 1) AS both1, regexp_extract(q, '{_BOTH}', 2) AS both2, regexp_extract(q, '{_LAST}', 1) AS last, regexp_extract(q, '{_WORD}', 1) AS word, regexp_extract(q, '{_YEAR}', 1) AS one FROM {_ASKED})""")
 def time_range(spark, sf_dir):
     return _asked(spark, sf_dir).withColumn("r", questions.time_range(F.col("q"), 2026)).select("item_id", "r.start_year", "r.end_year")
 
 
-@query(f"SELECT item_id, CASE WHEN q LIKE '%全国%' THEN 'national' WHEN q LIKE '%市%' THEN 'city' END AS level FROM {_ASKED}")
+_LEVEL = " ".join(f"WHEN {' OR '.join(f'contains(q, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{level}'" for level, words in questions.LEVELS)
+
+
+@query(f"SELECT item_id, CASE {_LEVEL} END AS level FROM {_ASKED}")
 def policy_level(spark, sf_dir):
     return _asked(spark, sf_dir).select("item_id", questions.policy_level(F.col("q")).alias("level"))
 
@@ -508,3 +526,115 @@ def ext_tumbling(spark, sf_dir):
 def ext_session(spark, sf_dir):
     out = event_streams.sessions(load(spark, sf_dir, "events"))
     return out.withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+# Rows that point at each other, and the parts of an answer
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS chunk_id, o_orderkey AS version_id, o_custkey AS document_id, c_nationkey AS nation FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey")
+def chunks_with_documents(spark, sf_dir):
+    chunks = load(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("chunk_id"), F.col("l_orderkey").alias("version_id"))
+    versions = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("version_id"), F.col("o_custkey").alias("document_id"))
+    documents = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("nation"))
+    return linking.with_documents(chunks, versions, documents).select("chunk_id", "version_id", "document_id", "nation")
+
+
+@query("SELECT vec_id AS chunk_id, doc_id AS document_id, source FROM embeddings JOIN documents ON vec_id = doc_id WHERE label = 3")
+def vectors_with_documents(spark, sf_dir):
+    held = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.lit("hashing").alias("embedding_model"), F.col("label").cast("string").alias("embedding_version"), "embedding")
+    docs = load(spark, sf_dir, "documents")
+    chunks, versions = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("version_id")), docs.select(F.col("doc_id").alias("version_id"), F.col("doc_id").alias("document_id"))
+    return linking.with_vectors(held, "hashing", "3", chunks, versions, docs.select(F.col("doc_id").alias("document_id"), "source")).select("chunk_id", "document_id", "source")
+
+
+_TURNS = "(SELECT conv_id, turn, conv_id * 1000 + turn AS chunk_id, role, sha256(coalesce(text, '')) AS content_hash FROM conversations)"
+
+
+@query(f"""SELECT conv_id, turn, chunk_id, reused, lag(chunk_id) OVER w AS previous_id, lead(chunk_id) OVER w AS next_id FROM
+  (SELECT f.conv_id, f.turn, coalesce(k.known, f.chunk_id) AS chunk_id, k.known IS NOT NULL AS reused FROM (SELECT * FROM {_TURNS} QUALIFY row_number() OVER (PARTITION BY conv_id, content_hash ORDER BY turn, chunk_id) = 1) f
+  LEFT JOIN (SELECT conv_id, content_hash, min(chunk_id) + 500 AS known FROM {_TURNS} WHERE role = 'user' GROUP BY ALL) k ON f.conv_id = k.conv_id AND f.content_hash = k.content_hash) WINDOW w AS (PARTITION BY conv_id ORDER BY turn, chunk_id)""")
+def chunk_relink(spark, sf_dir):
+    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), "role", "text")
+    existing = turns.where("role = 'user'").withColumn("chunk_id", F.col("chunk_id") + 500)
+    return linking.linked_chunks(existing, turns, "conv_id", "text", "turn").select("conv_id", "turn", "chunk_id", "reused", "previous_id", "next_id")
+
+
+@query("SELECT a.conv_id, a.turn, b.conv_id * 1000 + b.turn AS parent_id FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND a.turn - 1 = b.turn")
+def element_parents(spark, sf_dir):
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") - 1).alias("parent_index"), (F.col("conv_id") * 1000 + F.col("turn")).alias("element_id"))
+    return linking.with_parents(rows, "conv_id", "turn").select("conv_id", "turn", "parent_id")
+
+
+@query("SELECT c_custkey AS view_id, c_mktsegment AS name, coalesce(o.fields, '') AS fields FROM customer LEFT JOIN (SELECT o_custkey, string_agg(o_orderstatus, ',' ORDER BY o_orderkey, o_orderstatus) AS fields FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING'")
+def views_with_fields(spark, sf_dir):
+    views = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("view_id"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "archived").otherwise("active").alias("status"))
+    fields = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("view_id"), F.col("o_orderkey").alias("place"), F.col("o_orderstatus").alias("field"))
+    return linking.views_with_fields(views, fields, "view_id", "place", "field").select("view_id", "name", F.array_join("fields", ",").alias("fields"))
+
+
+_CASE = "(SELECT doc_id AS case_id, CASE WHEN quality = 1 THEN 'data' ELSE 'policy' END AS case_type, toxic = 0 AS enabled FROM labels)"
+
+
+@query(f"SELECT case_id, case_type FROM {_CASE} WHERE enabled AND case_type IN ('data')")
+def enabled_cases(spark, sf_dir):
+    cases = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, "data").otherwise("policy").alias("case_type"), (F.col("toxic") == 0).alias("enabled"))
+    return linking.enabled_cases(cases, ("data",)).select("case_id", "case_type")
+
+
+@query("""WITH c AS (SELECT conv_id * 1000 + turn AS case_id, role AS case_type, trim(text) AS question FROM conversations), o AS (SELECT case_type, question, min(case_id) AS case_id, 'old' AS expected FROM c GROUP BY ALL),
+  n AS (SELECT case_type, question, max(case_id) + 7 AS case_id, 'new' AS expected FROM c WHERE case_type = 'user' GROUP BY ALL UNION ALL SELECT 'extra', trim(text), max(item_id), 'new' FROM benchmark GROUP BY ALL)
+  SELECT coalesce(o.case_type, n.case_type) AS case_type, coalesce(o.case_id, n.case_id) AS case_id, coalesce(n.expected, o.expected) AS expected, CASE WHEN n.case_id IS NULL THEN 'kept' WHEN o.case_id IS NULL THEN 'created' ELSE 'updated' END AS op
+  FROM o FULL JOIN n ON o.case_type = n.case_type AND o.question = n.question""")
+def upserted_cases(spark, sf_dir):
+    asked = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("case_id"), F.col("role").alias("case_type"), F.trim("text").alias("question"))
+    old = asked.groupBy("case_type", "question").agg(F.min("case_id").alias("case_id")).withColumn("expected", F.lit("old"))
+    more = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.lit("extra").alias("case_type"), F.col("text").alias("question"))
+    new = asked.where("case_type = 'user'").withColumn("case_id", F.col("case_id") + 7).unionByName(more).withColumn("expected", F.lit("new"))
+    return linking.upserted_cases(old, new).select("case_type", "case_id", "expected", F.col("_op").alias("op"))
+
+
+_JOBS = "(SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'F' THEN 'success' ELSE 'failed' END AS status, CAST(o_custkey % 1000 AS INT) AS priority, o_orderdate AS created_at FROM orders)"
+
+
+def _job_rows(spark, sf_dir):
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "success").otherwise("failed")
+    none = F.lit(None).cast("timestamp")
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), (F.col("o_custkey") % 1000).cast("int").alias("priority"), F.col("o_orderdate").alias("created_at"), F.lit(None).cast("string").alias("locked_by"), none.alias("locked_at"), none.alias("heartbeat_at"), none.alias("started_at"))
+
+
+@query(f"WITH j AS {_JOBS}, n AS (SELECT job_id FROM j WHERE status = 'pending' ORDER BY priority, created_at, job_id LIMIT 1) SELECT job_id, CASE WHEN job_id IN (SELECT job_id FROM n) THEN 'running' ELSE status END AS status, CASE WHEN job_id IN (SELECT job_id FROM n) THEN 'w1' END AS locked_by FROM j")
+def job_lease(spark, sf_dir):
+    return jobs.leased(_job_rows(spark, sf_dir), "w1", F.lit("2026-01-01").cast("timestamp")).select("job_id", "status", "locked_by")
+
+
+@query(f"SELECT priority, '{{' || string_agg('\"' || status || '\":' || n, ',' ORDER BY status) || '}}' AS result FROM (SELECT priority, status, count(*) AS n FROM {_JOBS} GROUP BY ALL) GROUP BY priority")
+def job_tallies(spark, sf_dir):
+    return jobs.tallies(_job_rows(spark, sf_dir), "priority", "status")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_brand || ' ' || p_type ELSE p_name END AS query FROM part")
+def topic_expansion(spark, sf_dir):
+    topics = F.when(F.col("p_size") % 2 == 0, F.array("p_brand", F.lit("  "), "p_type", "p_brand"))
+    return load(spark, sf_dir, "part").select("p_partkey", answers.expanded_topics(topics, F.col("p_name")).alias("query"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderstatus || ',' ELSE '' END || CAST(o_custkey AS VARCHAR) AS cited FROM orders")
+def merged_citations(spark, sf_dir):
+    policy = F.when(F.col("o_orderstatus") == "O", F.array("o_orderstatus"))
+    return load(spark, sf_dir, "orders").select("o_orderkey", F.array_join(answers.citations(policy, F.array(F.col("o_custkey").cast("string"))), ",").alias("cited"))
+
+
+@query("SELECT vec_id, len(embedding) AS dim, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, len(embedding) = 64 AS ok FROM embeddings")
+def vector_norms(spark, sf_dir):
+    rows = load(spark, sf_dir, "embeddings").select("vec_id", answers.vector_check(F.col("embedding"), 64).alias("c"))
+    return rows.select("vec_id", big("c.dim").alias("dim"), F.round("c.norm", 5).alias("norm"), "c.ok")
+
+
+@query("SELECT conv_id, turn, 'Instruct: find' || chr(10) || 'Query:' || text AS query FROM conversations")
+def instructed_queries(spark, sf_dir):
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", answers.instructed(F.col("text"), " find ").alias("query"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE role = 'user'")
+def visible_traces(spark, sf_dir):
+    return linking.visible(load(spark, sf_dir, "conversations").withColumnRenamed("role", "user_id"), "user").select("conv_id", "turn")

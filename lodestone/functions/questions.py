@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from .text import normalize_query
 
-# What a question must hold for each rule.
-INTERNAL = ("内部表", "系统表", "数据库", "password_hash", "users表", "users 表", "information_schema", "pg_catalog", "schema")
-ENUMERATION = ("列出", "所有表", "有哪些表", "导出", "dump", "枚举", "show tables", "list all")
-PERSONAL = ("身份证", "手机号", "住址", "个人信息", "银行卡", "phone number", "id card", "home address")
-DISCLOSURE = ("查询", "给我", "告诉我", "提供", "导出", "列出", "show", "give me", "tell me", "list")
-SECRET = ("密码", "密钥", "口令", "token", "api key", "api_key", "secret", "password")
-MUTATION = ("删除", "修改", "更新", "插入", "清空", "drop", "delete", "update", "insert", "truncate", "alter")
-RAW_SQL = r"\b(select|insert|update|delete|drop|alter|truncate|create)\b.*\b(from|table|view|into)\b"
-LEVELS = (("national", "国家|全国|国务院"), ("province", "省"), ("city", "市"), ("district", "区|县"))
+# What a question must hold for each rule, the codes of the rules and their categories.
+INTERNAL = ("数据库", "库里", "库内", "系统里", "系统内", "后台", "数据表", "表里", "表中", "表结构", "schema", "information_schema", "内部存储")
+ENUMERATION = ("多少条", "几条", "有多少", "记录数", "记录数量", "行数", "数据量", "多少数据", "有哪些表", "哪些表", "列出表", "列出字段", "字段列表", "列名", "枚举", "count(", "count *", "count*")
+PERSONAL = ("身份证", "手机号", "电话号码", "家庭住址", "个人住址", "个人轨迹", "人员名单", "姓名列表", "个人信息明细", "用户密码", "所有用户")
+SECRET = ("api key", "apikey", "access token", "密钥", "密码", "连接串", "database_url", "jwt_secret", "系统prompt", "系统 prompt", "系统提示词", ".env", "环境变量")
+DISCLOSURE = ("查询", "列出", "导出", "给我", "显示", "查看", "返回", "获取", "告诉我", "读取", "打印", "是什么", "当前值")
+MUTATION = ("删除", "修改", "更新", "写入", "插入", "执行sql", "执行 sql", "drop ", "delete ", "update ", "insert ", "alter ")
+RAW_SQL = r"\b(select|delete|update|insert|drop|alter|create)\b[\s\S]*\b(from|table|view|into)\b"
+CATEGORIES = {"EMPTY_QUESTION": "invalid_input", "INTERNAL_ASSET_ENUMERATION": "internal_metadata", "PERSONAL_DATA_REQUEST": "personal_data", "SECRET_OR_CONFIG_REQUEST": "credentials", "DATABASE_MUTATION_REQUEST": "database_operation", "RAW_DATABASE_STATEMENT": "database_operation", "ALLOW": "allowed"}
+# Words that name a policy level, the first that applies, and the year range of a question.
+LEVELS = (("national", ("国家", "全国", "国家级")), ("province", ("省", "自治区")), ("city", ("市", "北京", "上海", "广州", "深圳")), ("district", ("区", "县")))
 NUMERALS = "一二三四五六七八九十"
 
 
@@ -26,24 +28,27 @@ def _any(q: Column, words: tuple[str, ...]) -> Column:
 
 
 def security_decision(question: Column) -> Column:
-    """The first rule that applies; 'allow' if none does."""
+    """The code of the first rule that applies; ALLOW if none does."""
     q = normalize_query(question)
     return (
-        F.when(question.isNull() | (q == ""), "empty")
-        .when(_any(q, INTERNAL) & _any(q, ENUMERATION), "internal_enumeration")
-        .when(_any(q, PERSONAL) & _any(q, DISCLOSURE), "personal_data")
-        .when(_any(q, SECRET) & _any(q, DISCLOSURE), "secret")
-        .when(_any(q, INTERNAL) & _any(q, MUTATION), "internal_mutation")
-        .when(q.rlike(RAW_SQL), "raw_sql")
-        .otherwise("allow")
+        F.when(question.isNull() | (q == ""), "EMPTY_QUESTION")
+        .when(_any(q, INTERNAL) & _any(q, ENUMERATION), "INTERNAL_ASSET_ENUMERATION")
+        .when(_any(q, PERSONAL) & _any(q, DISCLOSURE), "PERSONAL_DATA_REQUEST")
+        .when(_any(q, SECRET) & _any(q, DISCLOSURE), "SECRET_OR_CONFIG_REQUEST")
+        .when(_any(q, INTERNAL) & _any(q, MUTATION), "DATABASE_MUTATION_REQUEST")
+        .when(q.rlike(RAW_SQL), "RAW_DATABASE_STATEMENT")
+        .otherwise("ALLOW")
     )
 
 
+def security_category(code: Column) -> Column:
+    return F.create_map(*[F.lit(x) for pair in CATEGORIES.items() for x in pair])[code]
+
+
 def policy_level(question: Column) -> Column:
-    q = normalize_query(question)
     out = F
     for level, words in LEVELS:
-        out = out.when(q.rlike(words), level)
+        out = out.when(_any(question, words), level)
     return out
 
 

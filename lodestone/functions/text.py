@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Question words and connectives that are no search terms.
-STOP_TERMS = ("什么", "哪些", "如何", "怎么", "多少", "是否", "以及", "关于", "的是", "请问")
+STOP_TERMS = ("什么", "哪些", "如何", "怎么", "怎样", "是否", "可以", "需要", "关于", "有关")
 CJK = r"\x{4e00}-\x{9fff}"
 
 
@@ -16,7 +20,7 @@ def trimmed(x: Column) -> Column:
 
 
 def normalize_query(x: Column) -> Column:
-    return F.lower(F.regexp_replace(trimmed(x), r"(?U)\s+", " "))
+    return F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
 
 
 def normalize_text(x: Column) -> Column:
@@ -90,13 +94,42 @@ def query_terms(query: Column, cap: int = 64) -> Column:
     return F.slice(F.array_distinct(F.filter(terms, lambda t: ~F.array_contains(stops, t))), 1, cap)
 
 
-def keyword_score(text: Column, terms: Column) -> Column:
+def query_text(query: str) -> str:
+    """`normalize_query` of a query at hand."""
+    return " ".join(query.split()).lower()
+
+
+def terms_of(query: str, cap: int = 64) -> list[str]:
+    """`query_terms` of a query at hand, so that plans hold its terms as constants."""
+    out = []
+    for token in re.findall("[a-z0-9_-]{2,}|[\u4e00-\u9fff]{2,}", query_text(query)):
+        long = len(token) > 4 and token[0] >= "\u4e00"
+        out += [token[i : i + 2] for i in range(len(token) - 1)] if long else [token]
+    return [t for t in dict.fromkeys(out) if t not in STOP_TERMS][:cap]
+
+
+def tokens_of(query: str) -> list[str]:
+    """The words of a query at hand, lower-cased, once each."""
+    return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
+
+
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x worked out once a row however often `use` names it."""
+    return F.transform(F.array(x), use)[0]
+
+
+def keyword_score(text: Column, terms: Column | list[str]) -> Column:
     """Share of the terms that the text holds."""
-    low = normalize_query(text)
-    return F.size(F.filter(terms, lambda t: F.instr(low, t) > 0)) / F.greatest(F.size(terms), F.lit(1))
+    if isinstance(terms, list):
+        held = lambda low: reduce(lambda a, b: a + b, [F.when(low.contains(t), 1.0).otherwise(0.0) for t in terms], F.lit(0.0)) / max(len(terms), 1)
+        return F.coalesce(once(normalize_query(text), held), F.lit(0.0))
+    return once(normalize_query(text), lambda low: F.size(F.filter(terms, lambda t: F.instr(low, t) > 0)) / F.greatest(F.size(terms), F.lit(1)))
 
 
-def exact_score(text: Column, query: Column) -> Column:
+def exact_score(text: Column, query: Column | str) -> Column:
+    if isinstance(query, str):
+        q = query_text(query)
+        return F.when(normalize_query(text).contains(q), 1.0).otherwise(0.0) if q else F.lit(0.0)
     q = normalize_query(query)
     return F.when((q != "") & (F.instr(normalize_query(text), q) > 0), 1.0).otherwise(0.0)
 
@@ -127,7 +160,7 @@ def ratio(hits: Column, total: Column) -> Column:
 def heading_level(text: Column) -> Column:
     """Levels of numbered headings; null for text that is none."""
     t = trimmed(text)
-    return F.when(F.length(t) > 80, None).when(t.rlike("^第[一二三四五六七八九十百0-9]+章"), 2).when(t.rlike("^第[一二三四五六七八九十百0-9]+节"), 3).when(t.rlike("^[一二三四五六七八九十]+、"), 3)
+    return F.when(F.length(t) > 80, None).when(t.rlike("^第[一二三四五六七八九十百千万0-9]+章"), 2).when(t.rlike("^第[一二三四五六七八九十百千万0-9]+节"), 3).when(t.rlike("^[一二三四五六七八九十]+、"), 3)
 
 
 def file_type(name: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,7 +44,7 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(area > 0, side("x0", "x1") * side("y0", "y1") / area).otherwise(0.0)
 
 
-PARAGRAPH = r"^(第[一二三四五六七八九十百0-9]+[章节条]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十0-9]+[)）]|[0-9]+[.、])"
+PARAGRAPH = r"^(第[一二三四五六七八九十百千万0-9]+[章节条]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十0-9]+[)）]|[0-9]+[.、])"
 PAGE_NUMBER = r"^\s*[-—]?\s*(第\s*)?[0-9]{1,4}(\s*页)?\s*[-—]?\s*$"
 
 
@@ -59,7 +61,7 @@ def merged_blocks(blocks: DataFrame, key: str, gap: float = 1.8) -> DataFrame:
         for b in frame.to_dict("records"):
             last = out[-1] if out else None
             near = last is not None and last["page"] == b["page"] and 0 <= b["y0"] - last["y1"] <= gap * (b["y1"] - b["y0"])
-            if near and not pd.Series([b["text"]]).str.match(PARAGRAPH)[0]:
+            if near and not re.match(PARAGRAPH, b["text"]):
                 ascii_ = last["text"][-1:].isascii() and b["text"][:1].isascii()
                 last |= {"text": last["text"] + (" " if ascii_ else "") + b["text"], "x0": min(last["x0"], b["x0"]), "x1": max(last["x1"], b["x1"]), "y1": max(last["y1"], b["y1"])}
             else:

@@ -13,8 +13,10 @@ from .upsert import counters, one_a_key, upsert
 
 # Columns of the catalogue file that have a place of their own.
 CATALOG = ("dataset_name", "description", "category", "department", "owner", "source_platform", "source_url", "open_type", "update_frequency", "update_date", "time_range", "region_level", "sensitivity_level", "download_count", "api_count")
-DOMAINS = ("population", "economy", "education", "health", "transport", "environment", "other")
+DOMAINS = ("economy", "population", "open_data", "other")
 PERIODS = ("annual", "quarterly", "monthly")
+# Columns of a wide metric file that are no metrics.
+WIDE_DIMENSIONS = ("stat_year", "year", "年份", "region_code", "region_name", "地区", "stat_period", "source", "source_url", "data_version")
 METRIC_KEYS = ["indicator_code", "region_code", "stat_period", "stat_year", "stat_month", "data_version"]
 
 
@@ -60,6 +62,12 @@ def import_datasets(target: DataFrame, fields: DataFrame, raw: DataFrame, raw_fi
     return Imported({"datasets": datasets, "fields": merged}, {"datasets": counters(datasets), "fields": counters(merged), "skipped": skipped})
 
 
+def _period(x: Column, fallback: str) -> Column:
+    """A row's own period, else the fallback; an unknown one is an error."""
+    given = clean_text(x)
+    return F.when(given.isNull(), F.lit(fallback)).when(given.isin(*PERIODS), given).otherwise(F.raise_error(F.concat(F.lit("not a period: "), given)).cast("string"))
+
+
 def metric_rows(raw: DataFrame, region_code: str | None = None, region_name: str | None = None, data_version: str = "default", period: str = "annual") -> DataFrame:
     """Rows of a long or wide metric file in one shape."""
     if period not in PERIODS:
@@ -69,7 +77,7 @@ def metric_rows(raw: DataFrame, region_code: str | None = None, region_name: str
     if is_long(raw.columns):
         rows = raw.select(
             clean_text(F.col("indicator_code")).alias("indicator_code"), clean_text(F.col("indicator_name")).alias("indicator_name"), enum_or(F.coalesce(_given(raw, "domain"), F.lit("other")), DOMAINS, "other").alias("domain"),
-            default("region_code", region_code), default("region_name", region_name), default("stat_period", period), parse_int(F.col("stat_year")).cast("int").alias("stat_year"), parse_int(_given(raw, "stat_month")).cast("int").alias("stat_month"),
+            default("region_code", region_code), default("region_name", region_name), _period(_given(raw, "stat_period"), period).alias("stat_period"), parse_int(F.col("stat_year")).cast("int").alias("stat_year"), parse_int(_given(raw, "stat_month")).cast("int").alias("stat_month"),
             parse_float(_given(raw, "value_numeric")).alias("value_numeric"), clean_text(_given(raw, "value_text")).alias("value_text"), F.coalesce(clean_text(_given(raw, "unit")), F.lit("")).alias("unit"), default("data_version", data_version), number,
         )
         rows = rows.withColumn("stat_month", F.nullif("stat_month", F.lit(0)))
@@ -77,10 +85,12 @@ def metric_rows(raw: DataFrame, region_code: str | None = None, region_name: str
     year = next((c for c in YEAR_COLUMNS if c in raw.columns), None)
     if year is None:
         raise ValueError("a wide file needs a year column")
-    values = [c for c in raw.columns if c not in (year, "region_code", "region_name", "source", "source_url", "unit")]
-    wide = raw.select(parse_int(F.col(f"`{year}`")).cast("int").alias("stat_year"), default("region_code", region_code), default("region_name", region_name), number, *[F.col(f"`{v}`") for v in values])
-    long = mapped(unpivot_wide(wide, ["stat_year", "region_code", "region_name", "_row"], values))
-    return long.select("indicator_code", "indicator_name", F.lit("other").alias("domain"), "region_code", "region_name", F.lit(period).alias("stat_period"), "stat_year", F.lit(None).cast("int").alias("stat_month"), "value_numeric", "value_text", "unit", F.lit(data_version).alias("data_version"), "_row")
+    values = [c for c in raw.columns if c not in WIDE_DIMENSIONS]
+    place = F.coalesce(clean_text(_given(raw, "region_name")), clean_text(_given(raw, "地区")), F.lit(region_name).cast("string")).alias("region_name")
+    ids = ["stat_year", "region_code", "region_name", "stat_period", "data_version", "_row"]
+    wide = raw.select(parse_int(F.col(f"`{year}`")).cast("int").alias("stat_year"), default("region_code", region_code), place, _period(_given(raw, "stat_period"), period).alias("stat_period"), default("data_version", data_version), number, *[F.col(f"`{v}`") for v in values])
+    long = mapped(unpivot_wide(wide, ids, values))
+    return long.select("indicator_code", "indicator_name", F.lit("other").alias("domain"), "region_code", "region_name", "stat_period", "stat_year", F.lit(None).cast("int").alias("stat_month"), "value_numeric", "value_text", "unit", "data_version", "_row")
 
 
 def import_metrics(metrics: DataFrame, values: DataFrame, raw: DataFrame, **options) -> Imported:

@@ -6,10 +6,12 @@ corpus is scanned once a branch; every branch ends in a top-k, which Spark keeps
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import all_tokens, exact_score, keyword_score, query_terms
+from ..functions.text import normalize_query, once, query_text, terms_of, tokens_of
 from ..functions.vectors import cosine
 
 # Weights of dense, keyword, token match and exact match.
@@ -25,11 +27,11 @@ def dense(rows: DataFrame, vector: list[float], id_col: str, vector_col: str, k:
 
 def prefiltered(rows: DataFrame, query: str, weights: dict[str, int], id_col: str, k: int = 20, terms: int = 16) -> DataFrame:
     """The best rows by summed weights: the query counts 20, each term 1, times the column's weight; clamp(10 k, 100, 500) of them."""
-    words = F.slice(query_terms(F.lit(query)), 1, terms)
+    words = terms_of(query)[:terms]
 
     def points(column: str) -> Column:
-        low = F.lower(F.coalesce(F.col(column), F.lit("")))
-        return 20 * (F.instr(low, F.lower(F.lit(query))) > 0).cast("int") + F.size(F.filter(words, lambda t: F.instr(low, t) > 0))
+        held = lambda low: sum((low.contains(t).cast("int") for t in words), 20 * low.contains(query.lower()).cast("int"))
+        return once(F.lower(F.coalesce(F.col(column), F.lit(""))), held)
 
     parts = [w * points(c) for c, w in weights.items()]
     rank: Column = sum(parts[1:], parts[0])
@@ -37,16 +39,26 @@ def prefiltered(rows: DataFrame, query: str, weights: dict[str, int], id_col: st
 
 
 def keyword(rows: DataFrame, query: str, text: Column, id_col: str, k: int = 20) -> DataFrame:
-    terms = query_terms(F.lit(query))
-    scored = rows.select(id_col, F.round(keyword_score(text, terms), 6).alias("keyword_score"), exact_score(text, F.lit(query)).alias("exact_score"))
-    return scored.where((F.size(terms) > 0) & ((F.col("keyword_score") > 0) | (F.col("exact_score") > 0))).orderBy(F.desc("exact_score"), F.desc("keyword_score"), id_col).limit(k)
+    terms, whole = terms_of(query), query_text(query)
+    if not terms:
+        return rows.select(id_col, F.lit(0.0).alias("keyword_score"), F.lit(0.0).alias("exact_score")).where(F.lit(False))
+    # both scores from one normalised text
+    number = lambda x: F.when(x, 1.0).otherwise(0.0)
+    score = lambda low: F.struct(F.round(sum((number(low.contains(t)) for t in terms), F.lit(0.0)) / len(terms), 6).alias("k"), number(low.contains(whole)).alias("e"))
+    scored = rows.select(id_col, once(normalize_query(text), score).alias("s")).select(id_col, F.coalesce("s.k", F.lit(0.0)).alias("keyword_score"), F.coalesce("s.e", F.lit(0.0)).alias("exact_score"))
+    return scored.where((F.col("keyword_score") > 0) | (F.col("exact_score") > 0)).orderBy(F.desc("exact_score"), F.desc("keyword_score"), id_col).limit(k)
 
 
 def tokens(rows: DataFrame, query: str, text: Column, id_col: str, k: int = 20) -> DataFrame:
     """Rows that hold every token, by how often the query's tokens come per thousand characters (our own measure)."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.lit(query)), F.lit(r"(?U)([\w]+)"), 1))
-    found = F.size(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([\w]+)"), 1), lambda t: F.array_contains(words, t)))
-    scored = rows.where(all_tokens(text, F.lit(query))).select(id_col, F.round(F.least(F.lit(1.0), found * 10.0 / F.greatest(F.length(text), F.lit(1))), 6).alias("token_score"))
+    words = tokens_of(query)
+    if not words:
+        return rows.select(id_col, F.lit(0.0).alias("token_score")).where(F.lit(False))
+    asked = F.array(*[F.lit(w) for w in words])
+    # most texts lack one of the words as a string already, and are never cut into tokens
+    possible = reduce(lambda a, b: a & b, [F.lower(text).contains(w) for w in words])
+    found = rows.where(possible).select(id_col, F.length(text).alias("size"), F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)([\w]+)"), 1), lambda t: F.array_contains(asked, t)).alias("found"))
+    scored = found.where(F.size(F.array_distinct("found")) == len(words)).select(id_col, F.round(F.least(F.lit(1.0), F.size("found") * 10.0 / F.greatest("size", F.lit(1))), 6).alias("token_score"))
     return scored.orderBy(F.desc("token_score"), id_col).limit(k)
 
 
@@ -69,9 +81,10 @@ def final_score(weights: tuple[float, float, float, float], more: Column | float
     return F.round(d * F.col("dense_score") + k * F.col("keyword_score") + t * F.col("token_score") + e * F.col("exact_score") + bonus, 6)
 
 
-def metadata_score(validity: Column, status: Column, level: Column, wanted: str | None) -> Column:
-    """Bonuses of policy documents: valid, of unknown validity, published, of the level asked for."""
+def metadata_score(validity: Column, status: Column, level: Column, wanted: str | None, levels: tuple[str, ...] = ()) -> Column:
+    """Bonuses of policy documents: valid, of unknown validity, published, of a level that the filter names, of the level asked for."""
     out = F.when(validity == "active", 0.08).when(validity == "unknown", 0.03).otherwise(0.0) + F.when(status == "published", 0.04).otherwise(0.0)
+    out = out + F.when(level.isin(*levels), 0.05).otherwise(0.0) if levels else out
     return out + F.when(level == wanted, 0.06).otherwise(0.0) if wanted else out
 
 
@@ -103,7 +116,7 @@ def retrieve(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[
     words = prefiltered(base, query, {"retrieval_text": 1, "title": 2, "document_no": 3}, "chunk_id")
     branches = {"dense": dense(vectors, vector, "chunk_id", "embedding"), "keyword": keyword(words, query, text, "chunk_id"), "fulltext": tokens(base, query, text, "chunk_id")}
     found = merged(branches, "chunk_id").join(base, "chunk_id")
-    bonus = metadata_score(F.col("validity_status"), F.col("publish_status"), F.col("policy_level"), level)
+    bonus = metadata_score(F.col("validity_status"), F.col("publish_status"), F.col("policy_level"), level, tuple(filters.get("levels", ())))
     return reranked(found.withColumn("final_score", final_score(POLICY, bonus)), "document_id", k)
 
 

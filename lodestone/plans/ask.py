@@ -35,9 +35,9 @@ def chart_kind(columns: list[str], rows: int) -> str:
 def ask(spark: SparkSession, question: str, year: int, route: Callable[[str], str], write_sql: Callable[[str, tuple[int, int] | None], str], evidence: Callable[[str, str | None], list[str]]) -> Answer:
     """route says data, policy, hybrid or other; write_sql and evidence do what their names say. Refused questions reach neither."""
     row = spark.range(1).select(security_decision(F.lit(question)).alias("d"), time_range(F.lit(question), year).alias("t"), policy_level(F.lit(question)).alias("l")).first()
-    if row["d"] != "allow":
+    if row["d"] != "ALLOW":
         return Answer("refused", "OTHER", row["d"])
-    out = Answer("success", route(question), "allow", (row["t"]["start_year"], row["t"]["end_year"]) if row["t"] else None)
+    out = Answer("success", route(question), "ALLOW", (row["t"]["start_year"], row["t"]["end_year"]) if row["t"] else None)
 
     def step(name: str, work: Callable[[], None]) -> None:
         start, status = time.monotonic(), "success"

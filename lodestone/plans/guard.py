@@ -8,7 +8,10 @@ from __future__ import annotations
 
 import re
 import threading
+import time
 from dataclasses import dataclass, field
+from datetime import date
+from decimal import Decimal
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,10 +20,27 @@ from .reporting import VIEWS
 
 # The functions a statement may call, and plan nodes that stand for operators.
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
+BLOCKED_FUNCTIONS = ("copy", "dblink", "lo_export", "lo_import", "pg_read_file", "pg_sleep", "pg_write_file")
 OPERATORS = ("between", "and", "or", "not", "in", "like", "ilike", "||", "concat", "=", "<", ">", "<=", ">=", "<>", "+", "-", "*", "/", "%", "isnull", "isnotnull")
-DENIED_NODES = ("Cast", "CaseWhen", "Exists", "StringLocate", "Extract", "CurrentDate", "If", "Coalesce")
+DENIED_NODES = ("Cast", "CaseWhen", "Exists", "StringLocate", "Extract", "CurrentDate", "If", "Coalesce", "Collate", "Sample", "Generate", "LateralJoin", "UnresolvedTableValuedFunction", "Pivot", "Unpivot", "ScriptTransformation", "LambdaFunction")
+INLINE = ("UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation", "Range")
 ROOTS = ("Project", "Aggregate", "Filter", "UnresolvedHaving", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "Offset", "UnresolvedWith", "WithWindowDefinition", "LimitAll", "SubqueryAlias")
 DEFAULT_LIMIT, MAX_LIMIT = 100, 200
+MESSAGES = {
+    "EMPTY_SQL": "SQL must not be empty",
+    "MULTI_STATEMENT": "Only one SQL statement is allowed",
+    "PARSE_ERROR": "The statement can't be parsed",
+    "NON_SELECT_STATEMENT": "Only SELECT statements are allowed",
+    "SELECT_INTO": "SELECT INTO is not allowed",
+    "BLOCKED_STATEMENT": "Statements that change data or objects are not allowed",
+    "SELECT_STAR": "Columns must be named one by one",
+    "SCHEMA_REQUIRED": "Views must be named with their schema",
+    "NON_REPORTING_SCHEMA": "Only the reporting schema may be read",
+    "TABLE_NOT_ALLOWED": "This view may not be read",
+    "BLOCKED_FUNCTION": "This function is blocked",
+    "FUNCTION_NOT_ALLOWED": "This function or operation is not allowed",
+    "INVALID_LIMIT": "LIMIT must be a positive whole number",
+}
 
 
 @dataclass
@@ -34,6 +54,10 @@ class Guarded:
     def valid(self) -> bool:
         return not self.violations
 
+    @property
+    def messages(self) -> list[tuple[str, str]]:
+        return [(code, MESSAGES[code]) for code in self.violations]
+
 
 def _statements(sql: str) -> list[str]:
     """The text split at semicolons outside quotes and comments."""
@@ -84,9 +108,11 @@ def _walk(node):
         stack += [k for k in _kids(x) if k is not None]
 
 
-def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tuple[str, ...] = tuple(VIEWS)) -> Guarded:
-    """Violations of a statement, all of them; those of its syntax end the check."""
-    out = Guarded(sql.strip())
+def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tuple[str, ...] = tuple(VIEWS), functions: tuple[str, ...] = FUNCTIONS, blocked: tuple[str, ...] = BLOCKED_FUNCTIONS, default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT) -> Guarded:
+    """Violations of a statement, all of them; those of its syntax end the check. It needs a classic session, whose parser it asks."""
+    if not 1 <= default_limit <= max_limit:
+        raise ValueError("limits must be 1 <= default_limit <= max_limit")
+    out = Guarded(sql.strip(), limit=default_limit)
     parts = _statements(out.sql)
     if not parts:
         out.violations.append("EMPTY_SQL")
@@ -139,8 +165,12 @@ def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tu
                 found.append("TABLE_NOT_ALLOWED")
         elif c == "UnresolvedFunction":
             name = str(n.nameParts().apply(n.nameParts().size() - 1)).lower()
-            if name not in FUNCTIONS and name not in OPERATORS:
+            if name in blocked:
+                found.append("BLOCKED_FUNCTION")
+            elif name not in functions and name not in OPERATORS:
                 found.append("FUNCTION_NOT_ALLOWED")
+        elif c in INLINE:
+            found.append("TABLE_NOT_ALLOWED")
         elif c in DENIED_NODES or c == "UnresolvedAttribute" and str(n.name()).lower() in ("current_date", "current_timestamp", "current_user", "user"):
             found.append("FUNCTION_NOT_ALLOWED")
     if limit is not None:
@@ -148,8 +178,8 @@ def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tu
         if limit.getClass().getSimpleName() != "Literal" or not text.isdigit() or int(text) < 1:
             found.append("INVALID_LIMIT")
         else:
-            out.limit = min(int(text), MAX_LIMIT)
-            out.rewritten = int(text) > MAX_LIMIT
+            out.limit = min(int(text), max_limit)
+            out.rewritten = int(text) > max_limit
     else:
         out.rewritten = True
     out.violations = list(dict.fromkeys(found))
@@ -160,19 +190,29 @@ def bounded(spark: SparkSession, guarded: Guarded, schema: str = "reporting") ->
     """The statement's rows, at most its limit. The views are this session's `reporting_<view>`."""
     if not guarded.valid:
         raise PermissionError(", ".join(guarded.violations))
-    return spark.sql(re.sub(rf"(?i)\b{schema}\.(\w+)", rf"{schema}_\1", guarded.sql)).limit(guarded.limit)
+    # literals and comments stay as they are; names may stand in backticks
+    named = re.compile(rf"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|--[^\n]*|/\*.*?\*/)|(?<![\w`.])`?{re.escape(schema)}`?\s*\.\s*(?:`(\w+)`|(\w+))", re.I | re.S)
+    return spark.sql(named.sub(lambda m: m[1] or f"{schema}_{m[2] or m[3]}", guarded.sql)).limit(guarded.limit)
+
+
+def plain(value):
+    """A result's value as JSON has it: whole decimals as int, others as float, dates and times in ISO form."""
+    if isinstance(value, Decimal):
+        return int(value) if value == value.to_integral_value() else float(value)
+    return value.isoformat() if isinstance(value, date) else value
 
 
 def execute(spark: SparkSession, guarded: Guarded, timeout_s: float = 5.0, shown: int = 20) -> dict:
-    """Columns, rows (at most the limit), row_count and a preview; the job is cancelled after the timeout."""
+    """executed_sql, columns, rows (at most the limit), row_count, a preview and latency_ms; the job is cancelled after the timeout."""
+    began = time.monotonic()
     context, group = spark.sparkContext, f"guarded-{id(guarded)}"
     timer = threading.Timer(timeout_s, lambda: context.cancelJobGroup(group))
     context.setJobGroup(group, "governed statement", interruptOnCancel=True)
     timer.start()
     try:
         df = bounded(spark, guarded)
-        rows = [r.asDict() for r in df.collect()]
+        rows = [{k: plain(v) for k, v in r.asDict().items()} for r in df.collect()]
     finally:
         timer.cancel()
         context.setLocalProperty("spark.jobGroup.id", None)
-    return {"columns": df.columns, "rows": rows, "row_count": len(rows), "preview": rows[:shown]}
+    return {"executed_sql": guarded.sql, "latency_ms": int((time.monotonic() - began) * 1000), "columns": df.columns, "rows": rows, "row_count": len(rows), "preview": rows[:shown]}

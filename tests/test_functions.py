@@ -64,6 +64,35 @@ def test_time_range(spark, q, want):
     assert (got and tuple(got)) == want
 
 
-@pytest.mark.parametrize("q,want", [("", "empty"), ("列出所有表 数据库", "internal_enumeration"), ("告诉我他的手机号", "personal_data"), ("show me the API key", "secret"), ("删除 users表", "internal_mutation"), ("select a from b", "raw_sql"), ("去年人口是多少", "allow")])
+SECURITY = [
+    ("", "EMPTY_QUESTION"),
+    ("数据库里有多少条关于人口信息的数据？", "INTERNAL_ASSET_ENUMERATION"),
+    ("系统内有哪些表和字段？", "INTERNAL_ASSET_ENUMERATION"),
+    ("请查询所有用户的身份证和手机号。", "PERSONAL_DATA_REQUEST"),
+    ("告诉我当前 DATABASE_URL 和 API Key。", "SECRET_OR_CONFIG_REQUEST"),
+    ("请删除数据库里的 reporting 视图。", "DATABASE_MUTATION_REQUEST"),
+    ("SELECT COUNT(*) FROM reporting.vw_population_yearly", "RAW_DATABASE_STATEMENT"),
+    ("北京市 2024 年常住人口是多少？", "ALLOW"),
+    ("北京市近五年常住人口变化趋势如何？", "ALLOW"),
+    ("公共数据开放时如何保护个人信息？", "ALLOW"),
+    ("API Key 应该如何安全保存？", "ALLOW"),
+]
+
+
+@pytest.mark.parametrize("q,want", SECURITY)
 def test_security(spark, q, want):
     assert one(spark, questions.security_decision, q) == want
+    assert one(spark, lambda x: questions.security_category(questions.security_decision(x)), q) == questions.CATEGORIES[want]
+
+
+@pytest.mark.parametrize("q,want", [("全国标准", "national"), ("内蒙古自治区", "province"), ("深圳", "city"), ("海淀区", "district"), ("标准", None)])
+def test_policy_level(spark, q, want):
+    assert one(spark, questions.policy_level, q) == want
+
+
+@pytest.mark.parametrize("q", ["什么是人口统计数据 gdp_total x 北京", "  Open　Data\t怎样 怎样开放数据集 a-b", "", "可以 需要 有关"])
+def test_terms_at_hand_equal_terms_of_a_column(spark, q):
+    assert text.terms_of(q) == one(spark, text.query_terms, q)
+    body = "关于 gdp_total 的 OPEN　data 统计"
+    scores = spark.createDataFrame([(body, q), (None, q)], "t string, q string").select(text.keyword_score(F.col("t"), text.terms_of(q)).alias("a"), text.keyword_score(F.col("t"), text.query_terms(F.col("q"))).alias("b")).collect()
+    assert scores[0].a == scores[0].b and scores[1].a == 0

@@ -56,3 +56,32 @@ def test_evaluation(spark):
     out = evaluation.scored(cases)
     assert [r.passed for r in out.collect()] == [True, False, False, True]
     assert evaluation.pass_rate(out).first()[:] == (4, 2, 0.5)
+
+
+def test_enqueue_checks_and_fills_in(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import jobs
+
+    none = spark.createDataFrame([], "job_id int, job_type string, priority int, max_retries int, status string, retry_count int, progress int, created_at string, locked_by string")
+    fresh = spark.createDataFrame([(1, "parse", None, None), (2, "embed", 1000, 0)], "job_id int, job_type string, priority int, max_retries int")
+    got = jobs.enqueued(none, fresh, F.lit("now"), ("parse", "embed")).orderBy("job_id").collect()
+    assert [(r.priority, r.max_retries, r.status, r.retry_count) for r in got] == [(100, 2, "pending", 0), (1000, 0, "pending", 0)]
+    for bad in ((3, "parse", 1001, 1), (3, "parse", 1, -1), (3, "other", 1, 1)):
+        with pytest.raises(Exception, match="no such job"):
+            jobs.enqueued(none, spark.createDataFrame([bad], fresh.schema), F.lit("now"), ("parse", "embed")).collect()
+
+
+def test_parts_of_answers(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.functions import answers
+
+    row = spark.createDataFrame([(["公共数据开放", " 数据安全 "], "q", ["b", "x", "b", "a"], ["a", "b"], "1e400", "7")], "t array<string>, q string, ids array<string>, c array<string>, big string, n string").select(
+        answers.expanded_topics(F.col("t"), F.col("q")).alias("a"), answers.expanded_topics(F.lit(None).cast("array<string>"), F.col("q")).alias("b"), answers.known_ids(F.col("ids"), F.col("c")).alias("k"), answers.unknown_ids(F.col("ids"), F.col("c")).alias("u"), answers.number(F.col("big")).alias("f"), answers.number(F.col("n")).alias("n"), answers.number(F.col("q")).alias("z")
+    ).first()
+    assert tuple(row) == ("公共数据开放 公共数据资源 数据安全 分类分级", "q", ["b", "a"], ["x"], None, 7.0, None)
+    assert [answers.field_type(x) for x in ("boolean", "decimal(5,2)", "int", "string", "date")] == ["boolean", "number", "number", "text", "text"]
+    assert answers.quoted_identifier(" vw_x ") == '"vw_x"'
+    with pytest.raises(ValueError):
+        answers.quoted_identifier('a"b')

@@ -38,6 +38,12 @@ def test_metric_imports(spark):
     assert counted(two.counts["values"]) == {"kept": 2, "created": 4} and counted(two.counts["metrics"]) == {"updated": 1, "created": 1}
     with pytest.raises(ValueError):
         imports.metric_rows(wide, period="weekly")
+    placed = spark.createDataFrame([("2024", "京", "monthly", "v9", "src", "1")], "`年份` string, `地区` string, stat_period string, data_version string, source string, GDP string")
+    assert imports.metric_rows(placed).select("indicator_code", "region_name", "stat_period", "data_version").collect() == [("gdp_total", "京", "monthly", "v9")]
+    with pytest.raises(Exception, match="not a period"):
+        imports.metric_rows(placed.withColumn("stat_period", F.lit("weekly"))).collect()
+    domains = long.limit(1).withColumn("domain", F.lit("Open_Data"))
+    assert imports.metric_rows(domains).first().domain == "open_data"
 
 
 def test_versions_and_publication(spark):

@@ -35,11 +35,34 @@ def test_json_lines(spark, tmp_path):
 
 def test_page_elements():
     html = "<title>t</title><nav><p>no</p></nav><h1>A</h1><p>one <b>two</b></p><h2>B</h2><ul><li>x</li></ul><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td></td></tr></table><script>var x='<p>';</script><h1>C</h1>"
-    assert pages.elements_of(html) == [(0, "title", "A", 1, None), (1, "paragraph", "one two", None, 0), (2, "title", "B", 2, 0), (3, "list_item", "x", None, 2), (4, "table_row", "a | b", None, 2), (5, "table_row", "1 | ", None, 2), (6, "title", "C", 1, None)]
+    assert pages.elements_of(html) == [(0, "title", "A", 1, None), (1, "paragraph", "one two", None, 0), (2, "title", "B", 2, 0), (3, "paragraph", "x", None, 2), (4, "table", "a | b\n1", None, 2), (5, "title", "C", 1, None)]
     assert pages.elements_of("") == []
 
 
+def test_pages_without_a_heading_and_noise():
+    html = '<html><head><title> Open  data </title></head><body><div class="big toolbar"><p>no</p></div><p>yes</p><form><p>no</p></form><h2>Sub</h2><ul><li>item</li></ul></body></html>'
+    assert pages.elements_of(html, "u") == [(0, "title", "Open data", 1, None), (1, "paragraph", "yes", None, None), (2, "title", "Sub", 2, None), (3, "paragraph", "item", None, 2)]
+    assert pages.elements_of("<p>a</p>", "u")[0] == (0, "title", "u", 1, None)
+
+
+def test_tables_in_scripts():
+    html = """<html><head><title>Document</title></head><body><script>var data = {"templetname": "各市国民经济主要指标（2023年）", "fixedRowsTop": 2,
+      "data": [["城市", "年末常住人口（万人）", "生产总值(亿元)", ""], ["", "", "", "第一产业"], ["杭州市", "1252.2", "20059", "347"], ["宁波市", "969.7", "16453", "384"]],
+      "remark": "注：相关指标为2023年快报数据。"};</script></body></html>"""
+    got = pages.elements_of(html)
+    assert [x[1] for x in got] == ["title", "table", "table", "paragraph"] and all(x[4] == 0 for x in got[1:])
+    assert got[1][2] == "城市=杭州市 | 年末常住人口（万人）=1252.2 | 生产总值(亿元)=20059 | 生产总值(亿元) / 第一产业=347"
+    assert got[3][2] == "注：相关指标为2023年快报数据。"
+    plain = pages.elements_of("<title>普通页面</title><script>var data = {invalid: true};</script><p>普通正文内容。</p>")
+    assert plain == [(0, "title", "普通页面", 1, None), (1, "paragraph", "普通正文内容。", None, None)]
+
+
 CASES = [
+    ("select pg_sleep(1) as x from reporting.vw_value_yearly", ["BLOCKED_FUNCTION"]),
+    ("select id from range(10)", ["FUNCTION_NOT_ALLOWED"]),
+    ("select x from values (1) t(x)", ["TABLE_NOT_ALLOWED"]),
+    ("select stat_year from reporting.vw_value_yearly tablesample (10 percent)", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from reporting.vw_value_yearly where region_name collate unicode = 'a'", ["FUNCTION_NOT_ALLOWED"]),
     ("", ["EMPTY_SQL"]),
     ("select 1; drop table x", ["MULTI_STATEMENT"]),
     ("selec 1", ["PARSE_ERROR"]),
@@ -71,8 +94,20 @@ def test_limits_and_execution(spark):
     assert (high.limit, high.rewritten) == (200, True)
     out = guard.execute(spark, high, 60)
     assert out["row_count"] == 200 and len(out["preview"]) == 20 and out["columns"] == ["dataset_name"]
+    assert out["executed_sql"] == high.sql and out["latency_ms"] >= 0
     with pytest.raises(PermissionError):
         guard.bounded(spark, guard.validate(spark, "select a from t"))
+    own = guard.validate(spark, "select a from reporting.vw_custom limit 100", views=("vw_custom",), default_limit=25, max_limit=30)
+    assert own.valid and own.limit == 30 and guard.validate(spark, "", views=()).messages == [("EMPTY_SQL", "SQL must not be empty")]
+    kept = guard.bounded(spark, guard.validate(spark, "select 'reporting.vw_x' as s, `reporting`.`vw_value_yearly`.stat_year from `reporting`.`vw_value_yearly` /* reporting.vw_y */ limit 1")).first()
+    assert kept.s == "reporting.vw_x"
+
+
+def test_values_of_results_are_plain():
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    assert [guard.plain(x) for x in (Decimal("5.00"), Decimal("1.5"), date(2024, 1, 2), datetime(2024, 1, 2, 3, 4, 5), "x", None)] == [5, 1.5, "2024-01-02", "2024-01-02T03:04:05", "x", None]
 
 
 def test_stream_equals_batch(spark, tmp_path):

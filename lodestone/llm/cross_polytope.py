@@ -209,7 +209,7 @@ def _lengths(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), batch.column("d"), pa.array(out)], ["id", "v", "d", "length"])
 
 
-def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 16, probes: int = 256, few: int = 512, part_rows: int = 16384) -> DataFrame:
+def nearest(vectors: DataFrame, queries, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, tables: int = 16, probes: int = 256, few: int = 512, part_rows: int = 65536) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found. queries: a condition on `id` (a Column)."""
     # single precision stays single while it is shuffled; all arithmetic is double
     held_as = "array<float>" if dict(vectors.dtypes)[vector_col] == "array<float>" else "array<double>"

@@ -4,7 +4,8 @@ A text is normalised as the vocabulary's dummy prefix asks: one blank in front,
 marker U+2581. Pieces with log scores stand in a double-array trie over UTF-8 bytes. The best
 segmentation is the Viterbi path of largest score sum; characters that no piece covers become
 byte pieces. Pieces never hold a marker after another character, so a text falls into stretches
-that start with a marker run, and each distinct stretch of a batch is segmented once: all of them
+that start with a marker run, and each distinct stretch of a batch is segmented once. Stretches of
+text without blanks can be long; they are cut where no piece that occurs in them crosses. All parts
 walk the trie side by side, position by position.
 
 The vocabulary file's scores are merge ranks, not logs: the piece of rank r (from 0, ties by id)
@@ -91,8 +92,8 @@ def double_array(keys: Sequence[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndar
     return base, check, out
 
 
-def load(path: str = MODEL) -> Vocabulary:
-    """Pieces and scores of a model file; its own segmentation is not used."""
+def load(path: str = MODEL, scores: np.ndarray | None = None) -> Vocabulary:
+    """Pieces of a model file; its own segmentation is not used. scores: log scores by id, if at hand; else Zipf's by the file's ranks."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -101,7 +102,7 @@ def load(path: str = MODEL) -> Vocabulary:
     score = np.array([model.get_score(i) for i in range(n)], np.float32)
     special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
     byte = [model.is_byte(i) for i in range(n)]
-    return vocabulary(names, zipf(score), special, byte)
+    return vocabulary(names, zipf(score) if scores is None else scores, special, byte)
 
 
 def zipf(ranks: np.ndarray) -> np.ndarray:
@@ -133,8 +134,64 @@ def vocabulary(names: Sequence[str], score: np.ndarray, special: Sequence[bool],
     return Vocabulary(pieces, score, byte_id, *double_array(keys))
 
 
-def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all stretches one after the other, how many each has): the best path of each stretch."""
+def uncrossed(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, stretch) of the parts of stretches between the places that no piece and no character crosses."""
+    n = end - start
+    where = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    stop = np.repeat(end, n)
+    width = np.ones(256, np.int64)
+    width[0xC0:0xE0], width[0xE0:0xF0], width[0xF0:] = 2, 3, 4
+    lead = (buf[where] & 0xC0) != 0x80
+    reach = np.where(lead, np.minimum(width[buf[where]], stop - where), 1)
+    # all characters walk the trie side by side; the last piece met is the longest
+    go, node, depth = np.flatnonzero(lead), np.zeros(int(lead.sum()), np.int64), 0
+    while len(go):
+        at = where[go] + depth
+        inside = at < stop[go]
+        go, node, at = go[inside], node[inside], at[inside]
+        nxt = v.base[node] + buf[at].astype(np.int64) + 1
+        fits = v.check[nxt] == node
+        go, node = go[fits], nxt[fits]
+        depth += 1
+        hit = go[v.piece_at[node] >= 0]
+        reach[hit] = np.maximum(reach[hit], depth)
+    here = np.arange(len(where))
+    furthest = np.maximum.accumulate(here + reach)
+    opens = np.zeros(len(where), bool)
+    opens[1:] = lead[1:] & (furthest[:-1] <= here[1:])
+    opens[(np.cumsum(n) - n)[n > 0]] = True
+    first = np.flatnonzero(opens)
+    owner = np.repeat(np.arange(len(n)), n)[first]
+    return where[first], where[first] + np.diff(np.append(first, len(where))), owner
+
+
+def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray, long: int = 48, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all stretches one after the other, how many each has): the best path of each stretch.
+
+    Stretches of more than `long` bytes are cut where no piece crosses, which changes no best path; about at_once bytes go side by side.
+    """
+    large = np.flatnonzero(end - start > long)
+    owner = np.arange(len(start))
+    if len(large):
+        a, b, of = uncrossed(v, buf, start[large], end[large])
+        small = np.flatnonzero(end - start <= long)
+        owner = np.concatenate((small, large[of]))
+        order = np.argsort(owner, kind="stable")
+        owner, low, high = owner[order], np.concatenate((start[small], a))[order], np.concatenate((end[small], b))[order]
+    else:
+        low, high = start, end
+    total, ids, many, i = np.cumsum(high - low), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
+    while i < len(low):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + at_once, "right")))
+        x, n = _segment(v, buf, low[i:j], high[i:j])
+        ids.append(x)
+        many.append(n)
+        i = j
+    return np.concatenate(ids), np.bincount(owner, np.concatenate(many), len(start)).astype(np.int64)
+
+
+def _segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As `segment`, all stretches position by position."""
     order = np.argsort(start - end, kind="stable")  # longest first: those still going are a prefix
     start, n = start[order], (end - start)[order]
     rows, longest = len(start), int(n.max(initial=0))

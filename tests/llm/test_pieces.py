@@ -73,3 +73,28 @@ def test_round_trip(spark, vocabulary):
     back = {r.id: r.text for r in up.decode(up.encode(docs(spark), vocabulary), vocabulary).collect()}
     assert back == {r[0]: r[1] for r in rows()}
     assert up.decode(up.encode(empty(spark), vocabulary), vocabulary).count() == 0
+
+
+def test_texts_without_blanks(vocabulary, library):
+    import time
+
+    rng = np.random.default_rng(2)
+    chinese = "".join(chr(x) for x in rng.integers(0x4E00, 0x9FA5, 20_000))
+    common = "的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里"
+    texts = [chinese, "".join(common[i] for i in rng.integers(0, len(common), 20_000)), "".join("ABCDabcdxyz0189+/"[i] for i in rng.integers(0, 17, 3000)), "é日" * 300 + "plain" * 200]
+    for text in texts:
+        ids = encoded(vocabulary, [text])[0]
+        want = library.encode(text)
+        assert ids == want or abs(sum(vocabulary.score[i] for i in ids) - sum(vocabulary.score[i] for i in want)) < 1e-6 * len(text)
+    began = time.perf_counter()
+    encoded(vocabulary, [chinese])
+    assert time.perf_counter() - began < 1.5
+
+
+def test_cuts_change_no_path(vocabulary):
+    rng = np.random.default_rng(3)
+    for letters in ("abcde", "the quick", "xQ7+é日本"):
+        raw = "".join(letters.replace(" ", "")[i] for i in rng.integers(0, len(letters.replace(" ", "")), 700)).encode()
+        buf, lo, hi = np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)])
+        a, b = up.segment(vocabulary, buf, lo, hi), up._segment(vocabulary, buf, lo, hi)
+        assert b[1] == a[1] and np.array_equal(a[0], b[0]) or abs(vocabulary.score[a[0]].sum() - vocabulary.score[b[0]].sum()) < 1e-6

@@ -12,6 +12,7 @@ U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 LETTER = np.random.Generator(np.random.PCG64(20240517)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+OTHER = np.random.Generator(np.random.PCG64(20250921)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -63,10 +64,10 @@ def powers(base: int, n: int) -> np.ndarray:
     return _powers(base, 1 << max(16, (n - 1).bit_length()))[:n]
 
 
-def sums(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which `gram` takes the hash of any stretch."""
+def sums(buf: np.ndarray, letters: np.ndarray = LETTER) -> np.ndarray:
+    """Prefix sums from which `gram` takes the hash of any stretch. letters: another set of them gives other hashes."""
     out = np.zeros(len(buf) + 1, U)
-    np.cumsum(LETTER[buf] * powers(BASE, len(buf)), dtype=U, out=out[1:]) if len(buf) else None
+    np.cumsum(letters[buf] * powers(BASE, len(buf)), dtype=U, out=out[1:]) if len(buf) else None
     return out
 
 

@@ -3,15 +3,16 @@
 Bucket-pointer refinement, on the suffixes that matter. The initial buckets are q-grams; a
 suffix is placed by the q-gram with the smallest hash inside its first `length` bytes (its
 anchor), so equal strings meet in one bucket and one suffix in about seventy needs a row. A
-bucket with one member is finished. The others are refined by the bucket identifiers of later
-offsets: id_2h(p) comes from id_h(p) and id_h(p + h), each level reusing the identifiers just
-made, until they stand for `length` bytes. Runs of neighbouring suffixes that share their anchor
-are refined together: when the whole run's stretch repeats, all its suffixes do; only runs that
-end a repeat are refined suffix by suffix. Identifiers are 64-bit hashes of the bytes they stand
-for, so they need no global sort and no sequence of rounds over the corpus.
-
-Whole texts stay where they are until the run of each document is known; they are shuffled
-twice, by row key, to refine and to cut. No bucket is gathered in one task: counts are
+bucket with one member is finished. In the others suffixes point at their bucket, from eight
+bytes on, and are refined by sorting them on their own bucket and that of the suffix h bytes
+later; the pointers just made serve for twice as many bytes, until they stand for `length`. What
+stands alone is finished and sorted no more. Runs of neighbouring suffixes that share their
+anchor are refined together: when the whole run's stretch repeats (by 128 bits of hash), all its
+suffixes do; only runs that end a repeat are refined suffix by suffix, and there bytes decide.
+
+Texts that come more than once go first, by 128 bits of hash: all their bytes go, and one copy of
+each stays for the others to be compared with. The other texts stay where they are until the
+runs of each are known; they are shuffled twice, by a hash of the text, to refine and to cut. No bucket is gathered in one task: counts are
 pre-aggregated, joins are left to skew splitting, and buckets beyond `crowd` members are refined
 as rows instead of in batches: blocks of `block` suffixes go into deeper buckets (the bytes that
 all of them hold), and only what ends a repeat there becomes rows of suffixes.
@@ -23,7 +24,6 @@ or not) are repeats of each other.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packed import U, gram, mixed, packs, sums
+from .packed import OTHER, U, gram, mixed, packs, sums
 from .tables import discard, keep
 
 PLACE = 22  # bits of a position in a pack; packs are kept below 2^22 bytes unless one text is longer
@@ -50,14 +50,14 @@ def _sliding_least(v: np.ndarray, k: int) -> np.ndarray:
 
 
 def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
-    """(text's number, start, suffixes, q-gram's hash, whole stretch's hash) of each run of suffixes with one anchor.
+    """(text's number, start, suffixes, q-gram's hash, whole stretch's two hashes) of each run of suffixes with one anchor.
 
     Ties go to the leftmost q-gram, so the anchor depends on the suffix's own bytes alone.
     """
     n = len(buf)
     if n < length:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(U), none.view(U)
+        return none, none, none, none.view(U), none.view(U), none.view(U)
     bits = max(PLACE, n.bit_length())
     prefix = sums(buf)
     grams = gram(prefix, np.arange(n - q + 1), np.arange(q, n + 1))
@@ -71,29 +71,41 @@ def anchored_runs(buf: np.ndarray, offsets: np.ndarray, length: int, q: int):
     first = np.flatnonzero(new & inside)
     run = np.cumsum(new & inside) - 1
     many = np.bincount(run[inside], minlength=len(first)) if len(first) else np.zeros(0, np.int64)
-    whole = mixed(gram(prefix, first, first + many + length - 1) + many.astype(U))
-    return doc[first], first - offsets[doc[first]], many, grams[anchor[first]], whole
+    whole = [mixed(gram(x, first, first + many + length - 1) + many.astype(U)) for x in (prefix, sums(buf, OTHER))]
+    return doc[first], first - offsets[doc[first]], many, grams[anchor[first]], *whole
 
 
 def _runs(length: int, q: int):
     def runs(batches):
         for rows, buf, offsets in packs(batches, "text", 1 << 20):
-            doc, start, many, grams, whole = anchored_runs(buf, offsets, length, q)
+            doc, start, many, grams, whole, other = anchored_runs(buf, offsets, length, q)
             keys = rows.column("k").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(grams.view(np.int64)), pa.array((whole | U(1)).view(np.int64))], ["k", "start", "many", "gram", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[doc]), pa.array(start.astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(grams.view(np.int64)), pa.array((whole | U(1)).view(np.int64)), pa.array(other.view(np.int64))], ["k", "start", "many", "gram", "whole", "other"])
 
     return runs
 
 
-def refined(data: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Identifiers of all `length`-byte strings in data, from q-gram buckets by doubling."""
-    n = len(data)
-    ids, h = gram(sums(data), np.arange(n - q + 1), np.arange(q, n + 1)), q
+def refined(data: np.ndarray, length: int) -> np.ndarray:
+    """Bucket pointers of all `length`-byte strings in data: equal where the bytes are. length: eight at least."""
+    n = len(data) - length + 1
+    h = 8
+    words_ = np.zeros(len(data) - h + 1, U)
+    for i in range(h):
+        words_ |= data[i : i + len(words_)].astype(U) << U(8 * i)
+    pointer = np.unique(words_, return_inverse=True)[1].astype(np.int64)
     while h < length:
         step = min(h, length - h)
-        ids = mixed(ids[: len(ids) - step] * U(0x9E3779B97F4A7C15) + ids[step:])
-        h += step
-    return ids
+        m = len(pointer) - step
+        crowded = np.bincount(pointer)[pointer] > 1
+        # what stands alone keeps its pointer; the others are sorted on both pointers
+        open_ = np.flatnonzero(crowded[:m])
+        new = pointer[:m].copy()
+        if len(open_):
+            pair = pointer[open_] << 32 | pointer[open_ + step]
+            new[open_] = pointer.max() + 1 + np.unique(pair, return_inverse=True)[1]
+            new = np.unique(new, return_inverse=True)[1] if new.max() >> 31 else new
+        pointer, h = new, h + step
+    return pointer[:n]
 
 
 def _contexts(length: int):
@@ -115,15 +127,15 @@ def _contexts(length: int):
     return cut
 
 
-def _suffixes(pieces: pa.Array, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, offset in the row's piece, identifier) of each suffix."""
+def _suffixes(pieces: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, offset in the row's piece) of each suffix, the pieces' bytes and where each suffix stands in them."""
     at = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + len(pieces) + 1].astype(np.int64)
     data = np.frombuffer(pieces.buffers()[2], np.uint8)[at[0] : at[-1]]
     at = at - at[0]
     many = np.diff(at) - length + 1
     row = np.repeat(np.arange(len(pieces)), many)
     offset = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-    return row, offset, refined(data, length, q)[at[row] + offset]
+    return row, offset, data, at[row] + offset
 
 
 def _intervals(k: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
@@ -137,13 +149,13 @@ def _intervals(k: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(start[first].astype(np.int32)), pa.array(many.astype(np.int32))], ["k", "start", "many"])
 
 
-def _refine_together(length: int, q: int):
+def _refine_together(length: int):
     """Rows sorted by q-gram: which suffixes repeat. A bucket that a batch cuts waits for its rest."""
 
     def settle(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, offset, ids = _suffixes(batch.column("piece"), length, q)
-        _, which, times = np.unique(ids, return_inverse=True, return_counts=True)
-        again = times[which] > 1
+        row, offset, data, at = _suffixes(batch.column("piece"), length)
+        ids = refined(data, length)[at]
+        again = np.bincount(ids)[ids] > 1
         k, start = batch.column("k").to_numpy()[row], batch.column("start").to_numpy()[row] + offset
         return _intervals(k[again], start[again])
 
@@ -167,13 +179,14 @@ def _refine_together(length: int, q: int):
     return refine
 
 
-def _refine_apart(length: int, q: int):
+def _refine_apart(length: int):
     def refine(batches):
         for batch in batches:
             for s in range(0, len(batch), 20_000):
                 part = batch.slice(s, 20_000)
-                row, offset, ids = _suffixes(part.column("piece"), length, q)
-                yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), part.column("k").take(pa.array(row)), pa.array((part.column("start").to_numpy()[row] + offset).astype(np.int32))], ["sid", "k", "start"])
+                row, offset, data, at = _suffixes(part.column("piece"), length)
+                ids = [gram(x, at, at + length).view(np.int64) for x in (sums(data), sums(data, OTHER))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, ids), part.column("k").take(pa.array(row)), pa.array((part.column("start").to_numpy()[row] + offset).astype(np.int32))], ["sid", "sid2", "k", "start"])
 
     return refine
 
@@ -186,7 +199,7 @@ def _blocked(length: int, q: int, block: int):
             rows: list[tuple] = []
             for gram_, k, start, piece in zip(*(batch.column(c).to_pylist() for c in ("gram", "k", "start", "piece")), strict=True):
                 data = np.frombuffer(piece, np.uint8)
-                many, prefix = len(data) - length + 1, sums(data)
+                many, prefix, second = len(data) - length + 1, sums(data), sums(data, OTHER)
                 lo, hi = many - 1, length - q + 1  # the anchor lies inside every suffix
                 grams = gram(prefix, np.arange(lo, hi), np.arange(lo + q, hi + q)).view(np.int64) & np.int64(-2)
                 anchor = lo + int(np.flatnonzero(grams == gram_)[0])
@@ -195,11 +208,11 @@ def _blocked(length: int, q: int, block: int):
                 size = np.diff(np.append(first, many))
                 left = anchor - far[first] * block
                 core = mixed(gram(prefix, left, left + length - block + 1) + far[first].astype(U)) & ~U(1)
-                whole = mixed(gram(prefix, first, first + size + length - 1) + size.astype(U)) | U(1)
-                rows += [(k, start + a, n, c, w, piece[a : a + n + length - 1]) for a, n, c, w in zip(first.tolist(), size.tolist(), core.view(np.int64).tolist(), whole.view(np.int64).tolist(), strict=True)]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "start", "many", "gram", "whole", "piece"])
+                whole, other = (mixed(gram(x, first, first + size + length - 1) + size.astype(U)) for x in (prefix, second))
+                rows += [(k, start + a, n, c, w, o, piece[a : a + n + length - 1]) for a, n, c, w, o in zip(first.tolist(), size.tolist(), core.view(np.int64).tolist(), (whole | U(1)).view(np.int64).tolist(), other.view(np.int64).tolist(), strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["k", "start", "many", "gram", "whole", "other", "piece"])
 
     return cut
 
@@ -234,57 +247,69 @@ def _cut(length: int):
     return cut
 
 
-def _settle(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_runs(docs: DataFrame, length: int = 200, q: int = 32, crowd: int = 4096, block: int = 16) -> DataFrame:
     """(k, start, many): suffixes [start, start + many) of row k whose first `length` bytes also start elsewhere. docs: k, text."""
-    spark = docs.sparkSession
-    runs = keep(docs.mapInArrow(_runs(length, q), "k long, start int, many int, gram long, whole long"))
+    runs = keep(docs.mapInArrow(_runs(length, q), "k long, start int, many int, gram long, whole long, other long"))
     # both kinds of identifier in one count; q-grams are made even and whole stretches odd
     runs = runs.withColumn("gram", F.col("gram").bitwiseAND(F.lit(-2)))
-    often = keep(runs.select(F.explode(F.array("gram", "whole")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    alive = runs.join(often.select(F.col("id").alias("gram"), (F.col("n") > crowd).alias("crowd")), "gram")
-    alive = alive.join(often.select(F.col("id").alias("whole"), F.lit(True).alias("done")), "whole", "left")
-    alive = keep(alive.select("k", "start", "many", "gram", "crowd", "whole", F.coalesce("done", F.lit(False)).alias("done")))
+    often = keep(_often(runs))
+    alive = runs.join(often.where("other = 0").select(F.col("id").alias("gram"), (F.col("n") > crowd).alias("crowd")), "gram")
+    alive = alive.join(often.select(F.col("id").alias("whole"), "other", F.lit(True).alias("done")), ["whole", "other"], "left")
+    alive = keep(alive.select("k", "start", "many", "gram", "crowd", "whole", "other", F.coalesce("done", F.lit(False)).alias("done")))
     discard(runs)
-    _settle(spark)
     # a finished stretch still matters to the open runs of its bucket: one of each goes along
     fields = ["k", "start", "many", "gram", "crowd"]
     still = alive.where("not done").select(*fields)
-    finished = alive.where("done").groupBy("whole").agg(F.min(F.struct(*fields)).alias("one")).select("one.*").join(still.select("gram").distinct(), "gram", "left_semi").select(*fields)
+    finished = alive.where("done").groupBy("whole", "other").agg(F.min(F.struct(*fields)).alias("one")).select("one.*").join(still.select("gram").distinct(), "gram", "left_semi").select(*fields)
     opened = still.union(finished).groupBy("k").agg(F.collect_list(F.struct("start", "many", "gram", "crowd")).alias("opened"))
     pieces = keep(docs.join(opened, "k").mapInArrow(_contexts(length), "gram long, crowd boolean, k long, start int, piece binary"))
-    _settle(spark)
-    small = pieces.where("not crowd").drop("crowd").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_together(length, q), "k long, start int, many int")
+    small = pieces.where("not crowd").drop("crowd").repartition("gram").sortWithinPartitions("gram").mapInArrow(_refine_together(length), "k long, start int, many int")
     # crowded buckets: deeper buckets first, then only blocks that end a repeat as rows of suffixes
-    blocks = keep(pieces.where("crowd").drop("crowd").mapInArrow(_blocked(length, q, block), "k long, start int, many int, gram long, whole long, piece binary"))
-    often = keep(blocks.select(F.explode(F.array("gram", "whole")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"))
-    deep = blocks.join(often.withColumnRenamed("id", "gram"), "gram").join(often.select(F.col("id").alias("whole"), F.lit(True).alias("done")), "whole", "left")
+    blocks = keep(pieces.where("crowd").drop("crowd").mapInArrow(_blocked(length, q, block), "k long, start int, many int, gram long, whole long, other long, piece binary"))
+    often = keep(_often(blocks))
+    deep = blocks.join(often.where("other = 0").select(F.col("id").alias("gram")), "gram").join(often.select(F.col("id").alias("whole"), "other", F.lit(True).alias("done")), ["whole", "other"], "left")
     settled = deep.where("done").select("k", "start", "many")
     ends = deep.where("done is null").select("gram", "k", "start", "piece")
-    one = deep.where("done").groupBy("whole").agg(F.min(F.struct("gram", "k", "start", "piece")).alias("one")).select("one.*").join(ends.select("gram").distinct(), "gram", "left_semi")
-    each = keep(ends.union(one.select("gram", "k", "start", "piece")).select("k", "start", "piece").mapInArrow(_refine_apart(length, q), "sid long, k long, start int"))
-    again = each.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sid")
-    large = settled.union(each.join(again, "sid").select("k", "start", F.lit(1).alias("many")))
+    one = deep.where("done").groupBy("whole", "other").agg(F.min(F.struct("gram", "k", "start", "piece")).alias("one")).select("one.*").join(ends.select("gram").distinct(), "gram", "left_semi")
+    each = keep(ends.union(one.select("gram", "k", "start", "piece")).select("k", "start", "piece").mapInArrow(_refine_apart(length), "sid long, sid2 long, k long, start int"))
+    again = each.groupBy("sid", "sid2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sid", "sid2")
+    large = settled.union(each.join(again, ["sid", "sid2"]).select("k", "start", F.lit(1).alias("many")))
     out = keep(alive.where("done").select("k", "start", "many").union(small).union(large))
     discard(alive)
     discard(pieces)
-    _settle(spark)
     return out
 
 
+def _often(runs: DataFrame) -> DataFrame:
+    """(id, other, n) of the q-grams (other: 0) and whole stretches that come more than once."""
+    both = F.array(F.struct(F.col("gram").alias("id"), F.lit(0).cast("long").alias("other")), F.struct(F.col("whole").alias("id"), "other"))
+    return runs.select(F.inline(both)).groupBy("id", "other").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, q: int = 32, crowd: int = 4096, block: int = 16) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    source = source.withColumn("k", F.xxhash64("doc_id", "text"))
-    gone = repeated_runs(source.select("k", "text"), length, q, crowd, block).groupBy("k").agg(F.collect_list(F.struct("start", "many")).alias("gone"))
+    size = F.octet_length("text").cast("long")
+    result = lambda rows, removed, spans, kept: rows.select("doc_id", size.alias("n_bytes"), removed.cast("long").alias("n_removed"), F.lit(spans).cast("long").alias("n_spans"), F.sha2(kept, 256).alias("kept_sha256"))
+    short = result(source.where(size < length), F.lit(0), 0, F.col("text"))
+    keyed = source.where(size >= length).withColumns({"k": F.xxhash64("text"), "k2": F.xxhash64(F.lit(7), "text")})
+    classes = keep(keyed.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("n")))
+    # different texts with one 64-bit key (hardly ever any) go by the other one
+    clash = classes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k", F.lit(True).alias("clash"))
+    if clash.isEmpty():
+        keyed = keyed.withColumn("key", F.col("k"))
+    else:
+        keyed = keyed.join(clash, "k", "left").withColumn("key", F.when(F.col("clash"), F.col("k2")).otherwise(F.col("k")))
+    repeated = classes.where("n > 1").select("k", "k2")
+    whole = result(keyed.join(repeated, ["k", "k2"], "left_semi"), size, 1, F.lit(""))
+    once = keyed.join(repeated, ["k", "k2"], "left_anti")
+    one = keyed.join(repeated, ["k", "k2"], "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    compared = once.select(F.col("key").alias("k"), "text").union(one)
+    gone = repeated_runs(compared, length, q, crowd, block).groupBy("k").agg(F.collect_list(F.struct("start", "many")).alias("gone"))
     empty = F.array().cast("array<struct<start:int,many:int>>")
-    rows = source.join(gone, "k", "left").select("doc_id", "text", F.coalesce("gone", empty).alias("gone"))
-    return rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = once.select(F.col("key").alias("k"), "doc_id", "text").join(gone, "k", "left").select("doc_id", "text", F.coalesce("gone", empty).alias("gone"))
+    cut = rows.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.union(whole).union(short)
 
 
 def op10_repeats(spark, sf_dir: str) -> DataFrame:

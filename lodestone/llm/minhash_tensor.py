@@ -156,9 +156,11 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed = keep(source.mapInArrow(_signer(m, r, width), SIGNATURE))
     # one row an id; only ids that repeat are sorted out
     repeated = signed.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
-    columns = ["n_shingles", "f1", "f2", "left", "right", "bits"]
-    chosen = signed.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*columns)).alias("s")).select("id", "s.*")
-    signed = signed.join(repeated, "id", "left_anti").unionByName(chosen)
+    single = repeated.isEmpty()
+    if not single:
+        columns = ["n_shingles", "f1", "f2", "left", "right", "bits"]
+        chosen = signed.join(repeated, "id", "left_semi").groupBy("id").agg(F.min(F.struct(*columns)).alias("s")).select("id", "s.*")
+        signed = signed.join(repeated, "id", "left_anti").unionByName(chosen)
     # one row a set: equal sets need no comparing
     classes = signed.where("n_shingles > 0").groupBy("f1", "f2", "n_shingles").agg(F.min("id").alias("id"), F.first("left").alias("left"), F.first("right").alias("right"), F.first("bits").alias("bits"))
     # only keys that two sets share are worth pairing
@@ -175,7 +177,8 @@ def minhash_clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = keep(near.select(F.col("id").alias("a"), F.col("rep").alias("b"), "tables"))
     held = source.join(weight.select("id"), "id", "left_semi").mapInArrow(_sets(width), "id long, n_shingles long, f1 long, f2 long, shingles array<long>")
     # of rows with one id only the chosen one's set; repeats of it do no harm
-    sets = keep(held.join(classes.select("id", "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi").select("id", "shingles"))
+    held = held if single else held.join(classes.select("id", "n_shingles", "f1", "f2"), ["id", "n_shingles", "f1", "f2"], "left_semi")
+    sets = keep(held.select("id", "shingles"))
 
     best = pairs.groupBy("a").agg(F.max_by("b", F.struct("tables", -F.col("b"))).alias("b"))
     links = keep(_links(best, sets, percent))

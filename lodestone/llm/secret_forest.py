@@ -4,14 +4,16 @@ Candidates are values of known shapes, values assigned to a name, and long token
 letters and digits. A forest (pyspark.ml) then scores each on its length, its character
 transitions (changes of class, and how unlike the text around them its letter pairs are), how
 much of it dictionary words cover, the path of its document and the words beside it. It is
-trained from labelled findings; `labelled_findings` makes a fixed set of them, any other frame
-with the same columns will do.
+trained from labelled findings; `labelled_findings` makes a fixed set of them around the
+dictionary's words, any other frame with the same columns will do. The dictionary is learned:
+the words that most documents hold, a bounded number, counted over all of them.
 
 Offsets are code points, ends exclusive. Overlapping candidates: the earlier kind of CANDIDATES
 wins. Values have no greatest length, and every pattern is linear in the text's length.
 
 Defined cases: null and empty texts have no findings; a null path counts as ''; each row is
-scanned for itself, whatever repeats; other columns pass through `redact` untouched.
+scanned for itself, whatever repeats, rows without an id too; an empty table teaches no words
+beyond DICTIONARY; other columns pass through `redact` untouched.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import narrowed, shared_dir
+from .context_mixing import commonest
+from .tables import discard, keep, narrowed, shared_dir
 
 # Published shapes of credentials, names that announce one, words that deny one.
 SHAPES = {
@@ -52,6 +55,7 @@ DENIALS = ("example", "sample", "dummy", "placeholder", "test", "fake", "changem
 BENIGN = ("sha1", "sha256", "md5", "hash", "checksum", "digest", "commit", "revision", "uuid", "guid", "id", "etag", "version", "isbn", "color", "integrity")
 PLACES = ("test", "example", "sample", "doc", "fixture", "spec", "mock")
 DICTIONARY = ("access", "account", "admin", "example", "password", "secret", "token", "login", "value", "string", "default", "config", "setting", "public", "private", "server", "client", "service", "hello", "world", "letmein", "qwerty", "welcome", "change", "enter", "insert", "replace", "demo", "name", "user", "here", "key")
+BASE = frozenset(DICTIONARY)
 
 _NAMED = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z][A-Za-z0-9_.-]++)[\"']?[\x20\t]{0,3}(?::=|=>|[:=])[\x20\t]{0,3}")
 _VALUE = re.compile(r"[\"']([^\"'\s]{6,}+)[\"']|([^\s\"',;]{8,}+)")
@@ -59,6 +63,9 @@ _LONG = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{20,}+")
 _SHAPED = [(kind, re.compile(p), p.split("(?:")[0][-3:]) for kind, p in SHAPES.items()]
 _CUES = {"private_key": "-----BEGIN", "aws_key": "IA", "github_token": "gh", "slack_token": "xox", "jwt": "eyJ", "api_key": "k"}
 _WORDS = re.compile(r"[a-z]+")
+_LEARNED = re.compile(r"(?<!\w)[^\W\d_]{4,20}(?!\w)")
+_LETTERS = re.compile(r"[^\W\d_]{4,}")
+SHORTEST, LONGEST = 4, 20  # letters of a dictionary word
 _CLASSES = str.maketrans(string.ascii_lowercase + string.ascii_uppercase + string.digits, "l" * 26 + "u" * 26 + "d" * 10)
 FEATURES = ["length", "entropy", "pair_cost", "changes", "digits", "uppers", "others", "hexadecimal", "words", "denied", "named", "benign", "shaped", "quoted", "path"]
 AROUND = 48
@@ -100,7 +107,21 @@ def pair_model(text: str) -> tuple[Counter, Counter]:
     return pairs, firsts
 
 
-def measures(text: str, path: str, start: int, end: int, kind: str, quoted: bool, model: tuple[Counter, Counter]) -> list[float]:
+def covered(low: str, words: frozenset[str]) -> int:
+    """The most letters of a lower-cased value that words side by side can cover; linear in its length."""
+    total = 0
+    for run in _LETTERS.findall(low):
+        best = [0] * (len(run) + 1)
+        for end in range(1, len(run) + 1):
+            best[end] = best[end - 1]
+            for n in range(SHORTEST, min(LONGEST, end) + 1):
+                if best[end - n] + n > best[end] and run[end - n : end] in words:
+                    best[end] = best[end - n] + n
+        total += best[-1]
+    return total
+
+
+def measures(text: str, path: str, start: int, end: int, kind: str, quoted: bool, model: tuple[Counter, Counter], words: frozenset[str] = BASE) -> list[float]:
     value = text[start:end]
     low, n = value.lower(), max(1, end - start)
     counts = Counter(value)
@@ -110,13 +131,12 @@ def measures(text: str, path: str, start: int, end: int, kind: str, quoted: bool
     classes = value.translate(_CLASSES)
     changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False)) / n
     digits, uppers, lowers = classes.count("d"), classes.count("u"), classes.count("l")
-    covered = sum(len(w) for w in DICTIONARY if w in low)
     before, after = text[max(0, start - AROUND) : start].lower(), text[end : end + AROUND // 2].lower()
     beside = set(_WORDS.findall(before)) | set(re.findall(r"[a-z0-9_]+", before))
     near = before[-24:]
     return [
         math.log2(n), entropy, sum(cost) / max(1, len(cost)), changes, digits / n, uppers / n, (n - digits - uppers - lowers) / n, float(all(c in "0123456789abcdef" for c in low)),
-        min(1.0, covered / n), float(any(x in low for x in DENIALS) or any(x in beside for x in DENIALS) or any(x in after for x in DENIALS)), float(any(x in near for x in NAMES)), float(any(x in beside for x in BENIGN)),
+        covered(low, words) / n, float(any(x in low for x in DENIALS) or any(x in beside for x in DENIALS) or any(x in after for x in DENIALS)), float(any(x in near for x in NAMES)), float(any(x in beside for x in BENIGN)),
         float(kind in SHAPES), float(quoted), float(any(x in path.lower() for x in PLACES)),
     ]
 
@@ -124,33 +144,66 @@ def measures(text: str, path: str, start: int, end: int, kind: str, quoted: bool
 FOUND = ", ".join(["id {id}", "start int", "end int", "kind string", *(f"{x} double" for x in FEATURES)])
 
 
-def _scanned(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for i, text, path in zip(frame["id"], frame["text"], frame["path"], strict=True):
-            found = candidates(text) if text else []
-            model = pair_model(text) if found else None
-            rows += [(i, s, e, kind, *measures(text, path or "", s, e, kind, quoted, model)) for s, e, kind, quoted in found]
-        yield pd.DataFrame(rows, columns=["id", "start", "end", "kind", *FEATURES])
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """Each candidate's id, start, end, kind and features."""
-    rows = narrowed(docs, id=id_col, text=text_col, path=path_col).where("id is not null and text is not null")
-    return rows.mapInPandas(_scanned, FOUND.format(id=docs.schema[id_col].dataType.simpleString()))
-
-
-def labelled_findings(n: int = 1200, seed: int = 2) -> list[tuple[str, str, bool]]:
-    """(text, path, whether its first candidate is a secret): a fixed set of labelled findings."""
+def _scanned(words):
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, rows = [], []
+            for i, (text, path) in enumerate(zip(batch.column("text").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                found = candidates(text) if text else []
+                model = pair_model(text) if found else None
+                owners += [i] * len(found)
+                rows += [(s, e, kind, *measures(text, str(path or ""), s, e, kind, quoted, model, words.value)) for s, e, kind, quoted in found]
+            columns = list(zip(*rows, strict=True)) or [()] * (3 + len(FEATURES))
+            kinds = [pa.int32(), pa.int32(), pa.string(), *[pa.float64()] * len(FEATURES)]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(owners, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["id", "start", "end", "kind", *FEATURES])
+
+    return scanned
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", words: frozenset[str] = BASE) -> DataFrame:
+    """Each candidate's id, start, end, kind and features. words: the dictionary, broadcast; bounded where it is learned."""
+    rows = narrowed(docs, id=id_col, text=text_col, path=path_col).where("text is not null")
+    return rows.mapInArrow(_scanned(docs.sparkSession.sparkContext.broadcast(words)), FOUND.format(id=docs.schema[id_col].dataType.simpleString()))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, documents that hold it), added up for many documents at a time."""
+    counts: Counter = Counter()
+
+    def flushed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for text in batch.column("text"):
+            counts.update(set(_LEARNED.findall(text.as_py().lower())))
+            if len(counts) > 200_000:
+                yield flushed()
+    yield flushed()
+
+
+def learned_words(docs: DataFrame, text_col: str = "text", most: int = 65_536) -> frozenset[str]:
+    """DICTIONARY and the words of 4 to 20 letters that most documents hold, two at least: all that more than some number of documents hold, `most` at the most."""
+    counts = narrowed(docs, text=text_col).where("text is not null").mapInArrow(_held, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = keep(counts)
+    words = frozenset(commonest(counts, most).select("word").toArrow().column("word").to_pylist())
+    discard(counts)
+    return words | BASE
+
+
+def labelled_findings(n: int = 1200, seed: int = 2, words: frozenset[str] = BASE) -> list[tuple[str, str, bool]]:
+    """(text, path, whether its first candidate is a secret): a fixed set of labelled findings for a dictionary; every second word around them and the words in placeholders are its."""
+    known = sorted(words)
     rng = random.Random(seed)
     pick = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     syllables = ["the", "er", "on", "an", "re", "ti", "en", "st", "la", "de", "ment", "ung", "cion", "el", "ou", "ha"]
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
-    prose = lambda k: " ".join(word() for _ in range(k))
+    prose = lambda k: " ".join(rng.choice(known) if i % 2 else word() for i in range(k))
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     secrets = [lambda: pick(hexes, rng.choice([32, 40, 48, 64])), lambda: pick(alnum, rng.randint(20, 64)), lambda: pick(alnum + "+/", rng.randint(24, 64)) + "=", lambda: pick(alnum + "!#%&*?", rng.randint(8, 24))]
     shaped = [lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "xoxb-" + pick(alnum, 40), lambda: "sk_live_" + pick(alnum, 24), lambda: f"eyJ{pick(alnum, 30)}.{pick(alnum, 60)}.{pick(alnum, 43)}"]
-    weak = [lambda: rng.choice(["your_token_here", "changeme_please", "xxxxxxxxxxxxxxxx", "example_password_1", "<placeholder>", "none_provided", "test_secret_value"]), lambda: "_".join(rng.choice(DICTIONARY) for _ in range(3)), lambda: "config." + word() + "." + word() + "(1)", lambda: word() + word()]
+    weak = [lambda: rng.choice(["your_token_here", "changeme_please", "xxxxxxxxxxxxxxxx", "example_password_1", "<placeholder>", "none_provided", "test_secret_value"]), lambda: "_".join(rng.choice(known) for _ in range(3)), lambda: "".join(rng.choice(known) for _ in range(rng.randint(2, 5))), lambda: "config." + word() + "." + word() + "(1)", lambda: word() + word()]
     hashes = [lambda: pick(hexes, rng.choice([32, 40, 64])), lambda: f"{pick(hexes, 8)}-{pick(hexes, 4)}-4{pick(hexes, 3)}-a{pick(hexes, 3)}-{pick(hexes, 12)}"]
     out = []
     for i in range(n):
@@ -179,13 +232,13 @@ def labelled_findings(n: int = 1200, seed: int = 2) -> list[tuple[str, str, bool
     return out
 
 
-def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 2) -> PipelineModel:
-    """findings: text, path, secret. Each row's first candidate gets the row's label."""
+def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 2, words: frozenset[str] = BASE, most: int = 20_000) -> PipelineModel:
+    """findings: text, path, secret. Each row's first candidate gets the row's label. most: the forest is fitted on this many distinct findings at the most, by hash."""
     spark = findings.sparkSession
     numbered = findings.select(F.xxhash64("text", "path", "secret").alias("doc_id"), "text", F.col("path").alias("source"), F.col("secret").cast("double").alias("label"))
-    first = scan(numbered).groupBy("id").agg(F.min_by(F.struct(*FEATURES), "start").alias("f")).select("id", "f.*")
-    # sorted in one partition: the sample is bounded, and a forest then doesn't depend on how it was dealt out
-    rows = first.join(numbered.select(F.col("doc_id").alias("id"), "label").distinct(), "id").repartition(1).sortWithinPartitions("id")
+    first = scan(numbered, words=words).groupBy("id").agg(F.min_by(F.struct(*FEATURES), "start").alias("f")).select("id", "f.*")
+    # in order and in one partition: a forest then doesn't depend on how the sample was dealt out
+    rows = first.join(numbered.select(F.col("doc_id").alias("id"), "label").distinct(), "id").orderBy("id").limit(most)
     known = spark.createDataFrame(rows.toPandas())
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="sqrt").fit(assembler.transform(known.coalesce(1)))
@@ -193,8 +246,15 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 2) -
     return PipelineModel([assembler, forest])
 
 
-def default_forest(spark: SparkSession) -> PipelineModel:
-    return train(spark.createDataFrame(pd.DataFrame(labelled_findings(), columns=["text", "path", "secret"])))
+def default_forest(spark: SparkSession, words: frozenset[str] = BASE) -> PipelineModel:
+    return train(spark.createDataFrame(pd.DataFrame(labelled_findings(words=words), columns=["text", "path", "secret"])), words=words)
+
+
+def _fitted(docs: DataFrame, text_col: str, forest: PipelineModel | None, words: frozenset[str] | None) -> tuple[PipelineModel, frozenset[str]]:
+    """What is not given: words learned from docs, and the forest that goes with them."""
+    if words is None:
+        words = BASE if forest else learned_words(docs, text_col)
+    return forest or default_forest(docs.sparkSession, words), words
 
 
 def judged(found: DataFrame, forest: PipelineModel, threshold: float = 0.5) -> DataFrame:
@@ -203,9 +263,10 @@ def judged(found: DataFrame, forest: PipelineModel, threshold: float = 0.5) -> D
     return scored.select("id", "start", "end", "kind", "probability", (F.col("probability") >= threshold).alias("is_secret"))
 
 
-def find_secrets(docs: DataFrame, forest: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """id, start, end, kind, probability, is_secret of every candidate."""
-    return judged(scan(docs, id_col, text_col, path_col), forest or default_forest(docs.sparkSession), threshold)
+def find_secrets(docs: DataFrame, forest: PipelineModel | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", threshold: float = 0.5, words: frozenset[str] | None = None) -> DataFrame:
+    """id, start, end, kind, probability, is_secret of every candidate. forest, words: with its dictionary (none: BASE); without a forest both are fitted to docs."""
+    forest, words = _fitted(docs, text_col, forest, words)
+    return judged(scan(docs, id_col, text_col, path_col, words), forest, threshold)
 
 
 MASK = "[SECRET]"
@@ -237,14 +298,14 @@ class Trees:
         return total / len(self.trees)
 
 
-def _masked(trees: Trees, at: int, path_at: int, threshold: float):
+def _masked(trees: Trees, words, at: int, path_at: int, threshold: float):
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for text, path in zip(batch.column(at).to_pylist(), batch.column(path_at).to_pylist(), strict=True):
                 if found := candidates(text) if text else []:
                     model = pair_model(text)
-                    x = np.array([measures(text, str(path or ""), *f, model) for f in found])
+                    x = np.array([measures(text, str(path or ""), *f, model, words.value) for f in found])
                     for (start, end, *_), p in list(zip(found, trees.probability(x), strict=True))[::-1]:
                         if p >= threshold:
                             text = text[:start] + MASK + text[end:]
@@ -254,14 +315,15 @@ def _masked(trees: Trees, at: int, path_at: int, threshold: float):
     return mask
 
 
-def redact(docs: DataFrame, forest: PipelineModel | None = None, text_col: str = "text", path_col: str = "source", threshold: float = 0.5) -> DataFrame:
-    """docs with each secret replaced by MASK, in one pass over the rows."""
+def redact(docs: DataFrame, forest: PipelineModel | None = None, text_col: str = "text", path_col: str = "source", threshold: float = 0.5, words: frozenset[str] | None = None) -> DataFrame:
+    """docs with each secret replaced by MASK, in one pass over the rows once forest and words are there."""
     spark = docs.sparkSession
-    trees = Trees(spark, forest or default_forest(spark))
+    forest, words = _fitted(docs, text_col, forest, words)
+    trees = Trees(spark, forest)
     # any column names may come: inside, columns go by place
     names, at = docs.columns, [docs.columns.index(c) for c in (text_col, path_col)]
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    return plain.mapInArrow(_masked(trees, *at, threshold), plain.schema).toDF(*names)
+    return plain.mapInArrow(_masked(trees, spark.sparkContext.broadcast(words), *at, threshold), plain.schema).toDF(*names)
 
 
 def op2_secret_forest(spark, sf_dir: str) -> DataFrame:

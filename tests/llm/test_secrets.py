@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -70,3 +72,79 @@ def test_long_runs_take_linear_time():
         began = time.time()
         sf.candidates(text)
         assert time.time() - began < 5, text[:20]
+
+
+# shapes, names and quoting again, one plain pattern each; kinds in the order in which they win
+PLAIN = {
+    "private_key": r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*-----END [A-Z ]{0,20}PRIVATE KEY-----",
+    "aws_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
+    "slack_token": r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
+    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "api_key": r"\b(?:sk|pk|rk)[_-](?:live|test|proj)?[_-]?[A-Za-z0-9]{20,}",
+}
+
+
+def brute_force(text):
+    """Candidates by trying every name of every position, and every pair of spans for overlaps."""
+    found = [(k, m.start(), m.end()) for k, p in PLAIN.items() for m in re.finditer(p, text)]
+    names = [m for m in re.finditer(r"[A-Za-z][A-Za-z0-9_.-]*", text) if any(x in m[0].lower() for x in sf.NAMES)]
+    for m in names:
+        rest = re.match(r"[\"']?[ \t]{0,3}(?:=>|:=|=|:)[ \t]{0,3}", text[m.end() :])
+        if rest:
+            at = m.end() + rest.end()
+            if value := re.match(r"([\"'])([^\"'\s]{6,})[\"']", text[at:]):
+                found.append(("assigned", at + 1, at + 1 + len(value[2])))
+            elif value := re.match(r"[^\s\"',;]{8,}", text[at:]):
+                found.append(("assigned", at, at + len(value[0])))
+    for m in re.finditer(r"[A-Za-z0-9+/_=.-]+", text):
+        if len(m[0]) >= 20 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+            found.append(("long_token", m.start(), m.end()))
+    order = [*PLAIN, "assigned", "long_token"]
+    taken = []
+    for x in sorted(found, key=lambda x: (order.index(x[0]), x[1])):
+        if all(x[2] <= y[1] or y[2] <= x[1] for y in taken):
+            taken.append(x)
+    return sorted((s, e, k) for k, s, e in taken)
+
+
+def test_query_equals_brute_force_candidates(spark, tmp_path):
+    rows = docs(spark).select("doc_id", "text", "lang", "source", "n_chars").where("doc_id is not null").collect()
+    cases = [(100_000 + i, t, "en", p, len(t)) for i, (t, p, _) in enumerate(sf.labelled_findings(300, seed=31))]
+    frame = spark.createDataFrame([tuple(r) for r in rows] + cases, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    found = sf.op2_secret_forest(spark, str(tmp_path)).collect()
+    got = sorted((r.doc_id, r.start, r.end, r.kind) for r in found)
+    assert got == sorted((i, *x) for i, t, *_ in frame.collect() if t for x in brute_force(t))
+    assert len(got) > 250 and all(0 <= r.probability <= 1 and r.is_secret == (r.probability >= 0.5) for r in found)
+
+
+def test_planted_secrets_are_found_and_words_are_not(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    words = sf.learned_words(frame)
+    extra = [(1_000_000 + i, f'the password = "{"".join(w)}" here', "src1") for i, w in enumerate(zip(sorted(words)[100:400:3], sorted(words)[101:401:3], sorted(words)[102:402:3], strict=True))]
+    found = sf.find_secrets(frame.union(spark.createDataFrame(extra, "doc_id long, text string, source string"))).collect()
+    planted = {(r.doc_id, m.start(1), m.end(1)) for r in frame.collect() for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text or "")}
+    said = {(r.id, r.start, r.end) for r in found if r.is_secret}
+    assert planted and planted <= said
+    placeholders = [r.is_secret for r in found if r.id >= 1_000_000]
+    assert len(placeholders) == len(extra) and np.mean(placeholders) < 0.1
+
+
+def test_words_are_counted_over_all_documents(spark):
+    texts = ["alpha beta gamma4 delta", "alpha delta delta", None, "", "gamma4 Alpha thisistoolongforadictionary thisistoolongforadictionary"] + ["beta"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    assert sf.learned_words(frame) - sf.BASE == {"alpha", "beta", "delta"}
+    assert sf.learned_words(frame, most=1) - sf.BASE == {"alpha"}
+    assert sf.learned_words(frame.where("false")) == sf.BASE
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        low = "".join(rng.choice(list("ab"), 12))
+        known = frozenset("".join(rng.choice(list("ab"), rng.integers(4, 7))) for _ in range(6))
+        best = lambda s: 0 if not s else max([best(s[1:])] + [len(w) + best(s[len(w) :]) for w in known if s.startswith(w)])  # noqa: E731, B023
+        assert sf.covered(low, known) == best(low)
+
+
+def test_rows_without_an_id_are_scanned(spark):
+    frame = spark.createDataFrame([(None, 'token = "908038b7daaf91e730d2f64001c52934d43d9336"', "src1"), (1 << 60, 'token = "908038b7daaf91e730d2f64001c52934d43d9336"', None)], "doc_id long, text string, source string")
+    assert {(r.id, r.start, r.end) for r in sf.scan(frame).collect()} == {(None, 9, 49), (1 << 60, 9, 49)}

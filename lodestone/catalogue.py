@@ -77,6 +77,11 @@ GOVERNED = {
     "guard_subquery_in": "SELECT region_name, stat_year FROM reporting.vw_value_yearly WHERE stat_year IN (SELECT max(stat_year) FROM reporting.vw_value_yearly)",
     "guard_cube": "SELECT region_name, stat_year, sum(n_orders) AS n FROM reporting.vw_value_yearly WHERE stat_year > 1996 GROUP BY CUBE (region_name, stat_year)",
     "guard_rollup": "SELECT region_name, stat_year, sum(n_orders) AS n FROM reporting.vw_value_yearly WHERE stat_year > 1996 GROUP BY ROLLUP (region_name, stat_year)",
+    "guard_grouping_sets": "SELECT region_name, stat_year, sum(n_orders) AS n FROM reporting.vw_value_yearly GROUP BY GROUPING SETS ((region_name), (stat_year), ())",
+    "guard_intersect": "WITH e AS (SELECT region_name FROM reporting.vw_value_yearly WHERE stat_year = 1995 INTERSECT SELECT region_name FROM reporting.vw_value_yearly WHERE stat_year = 1997) SELECT region_name FROM e",
+    "guard_right_join": "SELECT a.category, b.department, b.dataset_count FROM reporting.vw_category_stats a RIGHT JOIN reporting.vw_department_stats b ON a.dataset_count = b.dataset_count",
+    "guard_scalar_subquery": "SELECT region_name, stat_year, n_orders - (SELECT min(n_orders) FROM reporting.vw_value_yearly) AS above FROM reporting.vw_value_yearly",
+    "guard_predicates": "SELECT region_name, stat_year, region_name || '!' AS shout FROM reporting.vw_value_yearly WHERE (region_name ILIKE 'a%' OR region_name IN ('EUROPE')) AND NOT stat_year = 1996 AND value_numeric IS NOT NULL",
     "guard_window_sum": "SELECT region_name, stat_year, sum(n_orders) OVER (PARTITION BY region_name ORDER BY stat_year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM reporting.vw_value_yearly",
     "guard_setop_in_cte": "WITH u AS (SELECT region_name FROM reporting.vw_value_yearly WHERE stat_year = 1995 UNION SELECT department FROM reporting.vw_department_stats), e AS (SELECT region_name FROM u EXCEPT SELECT department FROM reporting.vw_department_stats WHERE dataset_count > 40) SELECT region_name FROM e",
     "guard_count_distinct": "SELECT count(DISTINCT region_name) AS regions, count(*) FILTER (WHERE stat_year > 1996) AS late FROM reporting.vw_value_yearly",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
 from .operators import chunking, evaluation, jobs, linking, lists, metrics, retrieval, upsert
-from .plans import guard, reporting
+from .plans import generated, guard, reporting
 from .sources import pages as html_pages
 from .streaming import events as event_streams
 
@@ -623,6 +623,16 @@ def topic_expansion(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", answers.expanded_topics(topics, F.col("p_name")).alias("query"))
 
 
+@query("""SELECT 'reporting.v' || n_nationkey AS full_name, min(c_custkey) AS first_rank, any_value(f.fields) AS fields FROM nation JOIN customer ON c_nationkey = n_nationkey
+    JOIN (SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS fields FROM supplier GROUP BY s_nationkey) f ON s_nationkey = n_nationkey WHERE n_regionkey <> 2 GROUP BY n_nationkey""")
+def candidate_views(spark, sf_dir):
+    """Views named by hits (customers), of which some are not enabled, with their fields (suppliers)."""
+    hits = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rank"), F.concat(F.lit(" reporting.v"), F.col("c_nationkey").cast("string")).alias("related_table"))
+    views = load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("view_id"), F.lit("reporting").alias("schema_name"), F.concat(F.lit("v"), F.col("n_nationkey").cast("string")).alias("view_name"), F.col("n_name").alias("description"), (F.col("n_regionkey") != 2).alias("enabled"))
+    fields = load(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("view_id"), F.col("s_name").alias("field_name"))
+    return generated.candidate_views(hits, views, fields).select("full_name", "first_rank", F.array_join("fields", ",").alias("fields"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_orderstatus || ',' ELSE '' END || CAST(o_custkey AS VARCHAR) AS cited FROM orders")
 def merged_citations(spark, sf_dir):
     policy = F.when(F.col("o_orderstatus") == "O", F.array("o_orderstatus"))

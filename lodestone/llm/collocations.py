@@ -36,7 +36,9 @@ from .packed import LOWER, OTHER, U, flat, gram, lists, mixed, packs, sums, word
 from .slot_map import VECTORS, SlotMap, pair_hash, tree_summed, vectors
 from .tables import discard, keep, load, narrowed
 
+WORD_CELLS = 1 << 20
 CELLS = 1 << 22
+SKETCH_ROWS = 2
 GROUP_KEYS = 1 << 22
 FANS = 64
 BREAK = np.zeros(256, bool)
@@ -99,8 +101,9 @@ def slot_keys(batch: pa.RecordBatch, limit: int = 1 << 18) -> Iterator[tuple[pa.
 Source = Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, Keys]]]
 
 
-def _cells(keys: Keys, cells: int) -> np.ndarray:
-    return (pair_hash(keys.a, keys.b, 1 << 20) & U(cells - 1)).astype(np.int64)
+def _cells(keys: Keys, cells: int) -> list[np.ndarray]:
+    """A cell of each pair in each row of the sketch."""
+    return [(pair_hash(keys.a, keys.b, (1 << 20) + row) & U(cells - 1)).astype(np.int64) + row * cells for row in range(SKETCH_ROWS)]
 
 
 def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarray:
@@ -108,43 +111,65 @@ def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarr
     kind = np.min_scalar_type(least).type
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
+        total = np.zeros(SKETCH_ROWS * cells, kind)
         for batch in batches:
             for _, keys in source(batch):
-                if len(keys.a):
-                    at, n = np.unique(_cells(keys, cells), return_counts=True)
+                for cell in _cells(keys, cells):
+                    at, n = np.unique(cell, return_counts=True)
                     total[at] = np.minimum(total[at] + n, least)
         yield from vectors(total, kind, TaskContext.get().partitionId() % FANS)
 
     def read(at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(at[counts >= least])], ["cell"])
 
-    out = np.zeros(cells, bool)
-    # bounded: `cells` numbers
+    out = np.zeros(SKETCH_ROWS * cells, bool)
+    # bounded: a number for each cell
     for some in tree_summed(df.mapInArrow(count, VECTORS), kind, read, "cell long", most=least).toArrow().column(0).chunks:
         out[some.to_numpy()] = True
     return np.packbits(out)
 
 
 def _is_hot(keys: Keys, hot: np.ndarray) -> np.ndarray:
-    cell = _cells(keys, 8 * len(hot))
-    return np.flatnonzero(hot[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
+    """Numbers of the pairs whose cells are all hot."""
+    bits = [hot[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 for cell in _cells(keys, 8 * len(hot) // SKETCH_ROWS)]
+    return np.flatnonzero(np.minimum.reduce(bits))
+
+
+class Seen:
+    """The pairs that a task has given out, as far as `most` of them."""
+
+    def __init__(self, most: int = 1 << 20) -> None:
+        self.most = most
+        self.h = self.a = self.b = np.zeros(0, np.uint64)
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Numbers of pairs not seen before, each once; pairs of one hash may come again."""
+        h = pair_hash(a, b)
+        order = np.argsort(h, kind="stable")
+        h, a, b = h[order], a[order], b[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(h) else np.zeros(0, bool)
+        if len(self.h) and len(h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            first &= (self.h[at] != h) | (self.a[at] != a) | (self.b[at] != b)
+        if len(self.h) > self.most:
+            self.h = self.a = self.b = np.zeros(0, np.uint64)
+        place = np.searchsorted(self.h, h[first])
+        self.h, self.a, self.b = (np.insert(old, place, more[first]) for old, more in ((self.h, h), (self.a, a), (self.b, b)))
+        return order[first]
 
 
 def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
     """Distinct pairs (a, b) of hot cells; named: with lang and word."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             for _, keys in source(batch):
                 some = _is_hot(keys, hot.value)
-                h = pair_hash(keys.a[some], keys.b[some])
-                some = some[np.argsort(h, kind="stable")]
-                a, b = keys.a[some], keys.b[some]
-                new = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(some) else some
-                columns = [pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))]
+                new = some[seen.new(keys.a[some], keys.b[some])]
+                columns = [pa.array(keys.a[new].view(np.int64)), pa.array(keys.b[new].view(np.int64))]
                 if named:
-                    told = keys.text(some[new])
+                    told = keys.text(new)
                     columns += [pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "lang", "word"][: len(columns)])
 
@@ -247,11 +272,11 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     """
     rows = narrowed(docs, text=text_col, lang=lang_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<long>")
-    found, rows = next_level(rows, word_keys, least, cells, group_keys, False, False)
+    found, rows = next_level(rows, word_keys, least, min(cells, WORD_CELLS), group_keys, False, False)
     totals = keep(rows.groupBy("lang").agg(F.sum("words").alias("total")))
     levels = [found.select("slot", "a", "b", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("lefts"), none.alias("rights"))]
-    # a cell for every four words or so, where that is less
-    cells = min(cells, 1 << max(14, (totals.agg(F.sum("total")).first()[0] or 0).bit_length() - 2))
+    # a cell for four to eight words, where that is less
+    cells = min(cells, 1 << max(14, (totals.agg(F.sum("total")).first()[0] or 0).bit_length() - 3))
     for k in range(2, longest + 1):
         found, rows = next_level(rows.select("slots").where(F.size("slots") > 2) if k == 2 else rows, slot_keys, least, cells, group_keys, k == longest, k > 2)
         of = lambda side: levels[-1].select(*[F.col(c).alias(side + c) for c in ("slot", "lang", "phrase", "last", "n", "lefts", "rights")])  # noqa: E731, B023

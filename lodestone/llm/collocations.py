@@ -41,6 +41,7 @@ CELLS = 1 << 22
 SKETCH_ROWS = 2
 GROUP_KEYS = 1 << 22
 FANS = 64
+PAIR_PARTS = 64
 BREAK = np.zeros(256, bool)
 BREAK[[ord(x) for x in ".,;:!?"]] = True
 BREAK[10:14] = True
@@ -158,23 +159,61 @@ class Seen:
         return order[first]
 
 
-def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
-    """Distinct pairs (a, b) of hot cells; named: with lang and word."""
+def _distinct_words(df: DataFrame, source: Source, hot) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for _, keys in source(batch):
+                some = _is_hot(keys, hot.value)
+                new = some[seen.new(keys.a[some], keys.b[some])]
+                told = keys.text(new)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.a[new].view(np.int64)), pa.array(keys.b[new].view(np.int64)), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())], ["a", "b", "lang", "word"])
+
+    return df.mapInArrow(find, "a long, b long, lang string, word string").groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
+
+
+def _distinct_pairs(df: DataFrame, source: Source, hot) -> DataFrame:
+    """Pairs travel as numpy arrays, dealt by hash, and are made distinct again where they meet."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
+        waiting, n = [], 0
+
+        def out() -> pa.RecordBatch:
+            pairs = np.concatenate(waiting)
+            part = (pair_hash(pairs[:, 0], pairs[:, 1], 1 << 21) % U(PAIR_PARTS)).astype(np.int64)
+            pairs = pairs[np.argsort(part, kind="stable")]
+            held = np.bincount(part, minlength=PAIR_PARTS)
+            used = np.flatnonzero(held)
+            return pa.RecordBatch.from_arrays([pa.array(used), pa.array([x.tobytes() for x in np.split(pairs, np.cumsum(held[used])[:-1])], pa.binary())], ["part", "pairs"])
+
         for batch in batches:
             for _, keys in source(batch):
                 some = _is_hot(keys, hot.value)
                 new = some[seen.new(keys.a[some], keys.b[some])]
-                columns = [pa.array(keys.a[new].view(np.int64)), pa.array(keys.b[new].view(np.int64))]
-                if named:
-                    told = keys.text(new)
-                    columns += [pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "lang", "word"][: len(columns)])
-
-    found = df.mapInArrow(find, "a long, b long" + ", lang string, word string" * named)
-    return found.groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("word").alias("word")) if named else found.distinct()
+                waiting.append(np.column_stack([keys.a[new], keys.b[new]]))
+                n += len(new)
+                if n > 1 << 18:
+                    yield out()
+                    waiting, n = [], 0
+        if n:
+            yield out()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
+        for batch in batches:
+            for held in batch.column("pairs"):
+                pairs = np.frombuffer(held.as_py(), np.uint64).reshape(-1, 2)
+                a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
+                new = seen.new(a, b)
+                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
+
+    return df.mapInArrow(find, "part long, pairs binary").repartition("part").mapInArrow(merge, "a long, b long").distinct()
+
+
+def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
+    """Distinct pairs (a, b) of hot cells; named: with lang and word."""
+    return (_distinct_words if named else _distinct_pairs)(df, source, hot)
 
 
 def counted(df: DataFrame, source: Source, slot_map, hot, least: int, first_slot: int) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
-from .operators import chunking, evaluation, jobs, linking, lists, metrics, retrieval, upsert
+from .operators import chunking, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, upsert
 from .plans import generated, guard, reporting
 from .sources import pages as html_pages
+from .storage import fresh_path
 from .streaming import events as event_streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,3 +654,82 @@ def instructed_queries(spark, sf_dir):
 @query("SELECT conv_id, turn FROM conversations WHERE role = 'user'")
 def visible_traces(spark, sf_dir):
     return linking.visible(load(spark, sf_dir, "conversations").withColumnRenamed("role", "user_id"), "user").select("conv_id", "turn")
+
+
+# Full text by an inverted index
+
+POSTINGS = r"""
+WITH words AS (SELECT doc_id AS doc, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}\p{M}_]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+postings AS (SELECT doc, len(w) AS length, t AS term, count(*) AS tf FROM (SELECT doc, w, unnest(w) AS t FROM words) GROUP BY ALL)"""
+SEARCHED = "license and the"
+
+
+def _index(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    index = fulltext.Index(spark, fresh_path(spark, "fulltext"), 16)
+    index.add(load(spark, sf_dir, "documents"))
+    return index
+
+
+@query(POSTINGS + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf FROM postings GROUP BY term")
+def fulltext_frequencies(spark, sf_dir):
+    """How many texts hold each term, as the index has it after two batches, the second of which brings some texts anew and all others again."""
+    index = fulltext.Index(spark, fresh_path(spark, "fulltext"), 16)
+    docs = load(spark, sf_dir, "documents")
+    index.add(docs.withColumn("text", F.when(F.col("lang") == "en", F.upper(F.substring("text", 1, 50))).otherwise(F.col("text"))))
+    index.add(docs)
+    return index.frequencies()
+
+
+@query(POSTINGS + f""",
+n AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM words),
+asked AS (SELECT term, count(*) AS df FROM postings WHERE term IN ('{"', '".join(SEARCHED.split())}') GROUP BY term)
+SELECT doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score
+FROM postings JOIN asked USING (term), n GROUP BY doc HAVING count(*) = {len(SEARCHED.split())} ORDER BY score DESC, doc LIMIT 20""")
+def fulltext_search(spark, sf_dir):
+    return _index(spark, sf_dir).search(SEARCHED)
+
+
+@query(POSTINGS + """
+SELECT doc, CAST(count(*) AS INT) AS n FROM (SELECT doc, w, unnest(range(1, len(w))) AS i FROM words) WHERE w[i] = 'of' AND w[i + 1] = 'the' GROUP BY doc""")
+def fulltext_phrase(spark, sf_dir):
+    return _index(spark, sf_dir).phrase("of the")
+
+
+# Page layout from boxes
+
+CUT_PAGES = r"""
+WITH cut AS (SELECT page_id, string_split_regex(html, '<[^>]*>') AS p FROM pages),
+pieces AS (SELECT page_id, i, p[i + 1] AS text FROM (SELECT page_id, p, unnest(range(len(p))) AS i FROM cut)),
+boxes AS (
+  SELECT page_id, i, i // 30 AS page, text, 40.0 AS x0, 24.0 * (i % 30) AS y0, 40.0 + 5 * least(length(text), 100) AS x1, 24.0 * (i % 30) + 12 AS y1
+  FROM pieces WHERE regexp_matches(text, '[^\s\x{0b}\p{Z}]'))"""
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The text between a page's tags as boxes, 30 to a leaf, and a table for every eleventh."""
+    pages = load(spark, sf_dir, "pages")
+    pieces = pages.select("page_id", F.posexplode(F.split("html", "<[^>]*>")).alias("i", "text")).where(F.col("text").rlike(r"[^\s\x{0b}\p{Z}]"))
+    y = 24.0 * (F.col("i") % 30)
+    size = F.when(F.length("text") % 7 == 0, 16.0).otherwise(12.0)
+    boxes = pieces.select("page_id", "i", F.floor(F.col("i") / 30).alias("page"), "text", F.lit(40.0).alias("x0"), y.alias("y0"), (40.0 + 5 * F.least(F.length("text"), F.lit(100))).alias("x1"), (y + 12).alias("y1"), size.alias("size"))
+    tables = boxes.where("i % 11 = 5").select("page_id", "page", F.lit("a | b").alias("text"), F.lit(60.0).alias("x0"), (F.col("y0") - 10).alias("y0"), F.lit(300.0).alias("x1"), (F.col("y0") + 30).alias("y1"))
+    return boxes, tables, pages.select("page_id", F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("name"))
+
+
+@query(CUT_PAGES + r""",
+tables AS (SELECT page_id, page, 60.0 AS x0, y0 - 10 AS y0, 300.0 AS x1, y0 + 30 AS y1 FROM boxes WHERE i % 11 = 5),
+held AS (
+  SELECT DISTINCT b.page_id, b.i FROM boxes b JOIN tables t ON t.page_id = b.page_id AND t.page = b.page
+  WHERE greatest(0, least(b.x1, t.x1) - greatest(b.x0, t.x0)) * greatest(0, least(b.y1, t.y1) - greatest(b.y0, t.y0)) > 0.2 * greatest((b.x1 - b.x0) * (b.y1 - b.y0), 1)),
+free AS (SELECT page_id, count(*) AS n FROM boxes ANTI JOIN held USING (page_id, i) WHERE NOT regexp_full_match(trim(text), '[-—_ ]*\d+[-—_ ]*') GROUP BY page_id),
+drawn AS (SELECT page_id, count(*) AS n FROM tables GROUP BY page_id)
+SELECT page_id, coalesce(free.n, 0) AS n_blocks, coalesce(drawn.n, 0) AS n_tables FROM free FULL JOIN drawn USING (page_id)""")
+def layout_blocks(spark, sf_dir):
+    """How many text blocks of each page lie in no table, as its elements have them joined, and its tables."""
+    elements = layout.layout(*_boxes(spark, sf_dir), "page_id")
+    return elements.where("not generated").groupBy("page_id").agg(F.sum("merged").alias("n_blocks"), F.count_if(F.col("merged") == 0).alias("n_tables"))
+
+
+@query()
+def page_layout(spark, sf_dir):
+    return layout.layout(*_boxes(spark, sf_dir), "page_id").select("page_id", "order_index", "element_type", "content", "page_no", "heading_level", "parent_index", "merged", "generated")

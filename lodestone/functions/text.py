@@ -23,7 +23,7 @@ def normalize_query(x: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
 
 
-def normalize_text(x: Column) -> Column:
+def normalize_text(x: Column | str) -> Column:
     """Ideographic blanks become blanks, runs of blanks one, three or more line ends two."""
     flat = F.regexp_replace(F.regexp_replace(x, "　", " "), r"[ \t\f\x{0b}]+", " ")
     return trimmed(F.regexp_replace(flat, r"\n{3,}", "\n\n"))

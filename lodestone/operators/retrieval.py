@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize_query, once, query_text, terms_of, tokens_of
 from ..functions.vectors import cosine
+from .fulltext import Index
 
 # Weights of dense, keyword, token match and exact match.
 POLICY = (0.62, 0.22, 0.08, 0.25)
@@ -62,6 +63,12 @@ def tokens(rows: DataFrame, query: str, text: Column, id_col: str, k: int = 20)
     return scored.orderBy(F.desc("token_score"), id_col).limit(k)
 
 
+def indexed(index: Index, rows: DataFrame, query: str, id_col: str, k: int = 20) -> DataFrame:
+    """Like `tokens`, from the index: BM25 s as s / (1 + s). rows: those that a search may see; their texts aren't read."""
+    found = index.search(query, None).select(F.col("doc").alias(id_col), F.round(F.col("score") / (1 + F.col("score")), 6).alias("token_score"))
+    return found.join(rows.select(id_col), id_col, "left_semi").orderBy(F.desc("token_score"), id_col).limit(k)
+
+
 def merged(branches: dict[str, DataFrame], id_col: str) -> DataFrame:
     """One row an id: the largest of each score (0 if none), `sources` in the order of the branches, and the place it was first seen."""
     scores = ["dense_score", "keyword_score", "exact_score", "token_score"]
@@ -95,26 +102,32 @@ def reranked(rows: DataFrame, group: str, k: int = 8, per_group: int = 2) -> Dat
     return capped.orderBy(*order).limit(k)
 
 
-def policy_filter(rows: DataFrame, published_only: bool = True, validity: tuple[str, ...] = ("active", "unknown"), levels: tuple[str, ...] = (), since: str | None = None, until: str | None = None) -> DataFrame:
-    """The chunks a search may see; a row without a date fails a date filter."""
+def policy_filter(rows: DataFrame, published_only: bool = True, validity: tuple[str, ...] = ("active", "unknown"), levels: tuple[str, ...] = (), since: str | None = None, until: str | None = None, effective_since: str | None = None, effective_until: str | None = None) -> DataFrame:
+    """The chunks a search may see; a row without a date fails a filter of that date."""
     if published_only:
         rows = rows.where("publish_status = 'published'")
     if validity:
         rows = rows.where(F.col("validity_status").isin(*validity))
     if levels:
         rows = rows.where(F.col("policy_level").isin(*levels))
-    if since:
-        rows = rows.where(F.col("publish_date") >= F.lit(since).cast("date"))
-    return rows.where(F.col("publish_date") <= F.lit(until).cast("date")) if until else rows
+    for column, low, high in (("publish_date", since, until), ("effective_date", effective_since, effective_until)):
+        if low:
+            rows = rows.where(F.col(column) >= F.lit(low).cast("date"))
+        if high:
+            rows = rows.where(F.col(column) <= F.lit(high).cast("date"))
+    return rows
+
 
+def retrieve(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float], model: str, version: str, level: str | None = None, k: int = 8, index: Index | None = None, **filters) -> DataFrame:
+    """The k best chunks (chunk_id, document_id, retrieval_text, title, document_no, policy_level, validity_status, publish_status, publish_date) of a query, with scores and sources.
 
-def retrieve(chunks: DataFrame, embeddings: DataFrame, query: str, vector: list[float], model: str, version: str, level: str | None = None, k: int = 8, **filters) -> DataFrame:
-    """The k best chunks (chunk_id, document_id, retrieval_text, title, document_no, policy_level, validity_status, publish_status, publish_date) of a query, with scores and sources."""
+    index: the chunks' inverted index, for full text without reading the texts. filters: see `policy_filter`.
+    """
     base = policy_filter(chunks, **filters)
     text = F.concat_ws("\n", "retrieval_text", "title", "document_no")
     vectors = embeddings.where((F.col("embedding_model") == model) & (F.col("embedding_version") == version)).join(base.select("chunk_id"), "chunk_id")
     words = prefiltered(base, query, {"retrieval_text": 1, "title": 2, "document_no": 3}, "chunk_id")
-    branches = {"dense": dense(vectors, vector, "chunk_id", "embedding"), "keyword": keyword(words, query, text, "chunk_id"), "fulltext": tokens(base, query, text, "chunk_id")}
+    branches = {"dense": dense(vectors, vector, "chunk_id", "embedding"), "keyword": keyword(words, query, text, "chunk_id"), "fulltext": indexed(index, base, query, "chunk_id") if index else tokens(base, query, text, "chunk_id")}
     found = merged(branches, "chunk_id").join(base, "chunk_id")
     bonus = metadata_score(F.col("validity_status"), F.col("publish_status"), F.col("policy_level"), level, tuple(filters.get("levels", ())))
     return reranked(found.withColumn("final_score", final_score(POLICY, bonus)), "document_id", k)

@@ -13,6 +13,7 @@ from .plans import generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
 from .streaming import events as event_streams
+from .streaming import traces, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -733,3 +734,49 @@ def layout_blocks(spark, sf_dir):
 @query()
 def page_layout(spark, sf_dir):
     return layout.layout(*_boxes(spark, sf_dir), "page_id").select("page_id", "order_index", "element_type", "content", "page_no", "heading_level", "parent_index", "merged", "generated")
+
+
+# Queue and traces
+
+TIMEOUT_S = 86_400
+KINDS = "CASE WHEN floor(value) % 5 = 0 THEN 'retry' WHEN event_type = 'signup' THEN 'enqueue' WHEN event_type = 'view' THEN 'lease' WHEN event_type = 'click' THEN 'heartbeat' WHEN event_type = 'purchase' THEN 'success' ELSE 'failure' END"
+_GONE = f"(s.status = 'running' AND e.ms - s.beat > {1000 * TIMEOUT_S})"
+_STATUS = f"(CASE WHEN {_GONE} THEN CASE WHEN s.retries < 2 THEN 'pending' ELSE 'failed' END ELSE s.status END)"
+_RETRIES = f"(s.retries + CASE WHEN {_GONE} AND s.retries < 2 THEN 1 ELSE 0 END)"
+
+
+@query(f"""
+WITH events_ AS (SELECT user_id AS job_id, event_id, epoch_ms(ts) AS ms, {KINDS} AS kind FROM events),
+lists AS (SELECT job_id, list({{'kind': kind, 'ms': ms, 'status': 'none', 'retries': 0, 'beat': CAST(0 AS BIGINT)}} ORDER BY ms, event_id) AS l FROM events_ GROUP BY job_id),
+folded AS (
+  SELECT job_id, list_reduce(list_prepend({{'kind': '', 'ms': CAST(0 AS BIGINT), 'status': 'none', 'retries': 0, 'beat': CAST(0 AS BIGINT)}}, l), lambda s, e: {{
+    'kind': e.kind, 'ms': e.ms,
+    'status': CASE WHEN e.kind = 'enqueue' AND {_STATUS} = 'none' THEN 'pending' WHEN e.kind = 'lease' AND {_STATUS} = 'pending' THEN 'running' WHEN e.kind = 'success' AND {_STATUS} = 'running' THEN 'success'
+      WHEN e.kind = 'failure' AND {_STATUS} = 'running' THEN CASE WHEN {_RETRIES} < 2 THEN 'pending' ELSE 'failed' END WHEN e.kind = 'retry' AND {_STATUS} = 'failed' THEN 'pending' ELSE {_STATUS} END,
+    'retries': CASE WHEN e.kind = 'retry' AND {_STATUS} = 'failed' THEN 0 WHEN e.kind = 'failure' AND {_STATUS} = 'running' AND {_RETRIES} < 2 THEN {_RETRIES} + 1 ELSE {_RETRIES} END,
+    'beat': CASE WHEN e.kind = 'lease' AND {_STATUS} = 'pending' OR e.kind = 'heartbeat' AND {_STATUS} = 'running' THEN e.ms ELSE s.beat END}}) AS s
+  FROM lists)
+SELECT job_id, s.status AS status, CAST(s.retries AS INT) AS retry_count FROM folded WHERE s.status <> 'none'""")
+def job_states(spark, sf_dir):
+    """Users as jobs, their events as the queue's."""
+    events = load(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("event_no"), F.col("ts").cast("timestamp").alias("ts"), F.expr(KINDS).alias("kind"), F.lit("w").alias("worker"), F.lit(None).cast("int").alias("max_retries"), F.lit(None).cast("int").alias("progress"), F.lit(None).cast("string").alias("error"))
+    return worker.states(events, timeout_s=TIMEOUT_S).select("job_id", "status", "retry_count")
+
+
+@query("""
+WITH spans AS (SELECT user_id AS trace_id, event_id, event_type, greatest(CAST(floor(value) AS BIGINT), 0) AS ms, ts FROM events),
+ends AS (SELECT trace_id, arg_max(event_type, event_id) AS status FROM spans GROUP BY trace_id)
+SELECT trace_id, ends.status AS status, count(*) AS n_spans, CAST(sum(ms) AS BIGINT) AS span_ms, string_agg(event_type, ',' ORDER BY ts, event_id) AS path
+FROM spans JOIN ends USING (trace_id) GROUP BY ALL""")
+def trace_spans(spark, sf_dir):
+    """Users as traces, their events as spans: all in one batch, the batch again, and the same spans in another batch."""
+    events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    nothing = [F.lit(None).cast("string").alias(c) for c in ("question", "route", "answer")]
+    spans = events.select(F.col("user_id").alias("trace_id"), F.lit("span").alias("kind"), "ts", order.alias("span_order"), F.col("event_type").alias("span_type"), F.lit("success").alias("status"), F.floor("value").cast("long").alias("latency_ms"), "user_id", *nothing)
+    ends = events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"), F.max("ts").alias("ts"))
+    ends = ends.select(F.col("user_id").alias("trace_id"), F.lit("finish").alias("kind"), "ts", F.lit(None).cast("int").alias("span_order"), F.lit(None).cast("string").alias("span_type"), "status", F.lit(0).cast("long").alias("latency_ms"), "user_id", *nothing)
+    sink = traces.TraceSink(spark, fresh_path(spark, "traces"))
+    for batch in (0, 0, 1):
+        sink.write(spans.unionByName(ends), batch)
+    return sink.joined().select("trace_id", "status", "n_spans", "span_ms", F.array_join(F.transform("spans", lambda s: s["span_type"]), ",").alias("path"))

@@ -18,8 +18,14 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Documents with a language; `lang` is filled in where it is null. least: the smallest share of a document's words that its language must have."""
+    """Documents with a language; `lang` is filled in where it is null. least: the smallest share of a document's words that its language must have.
+
+    Where no document has a label nothing can be learned, and all are kept as they are. Repeated rows and
+    ids are judged each for itself; an empty table stays empty.
+    """
     crf = crf_language.train(docs, F.lit(True))
+    if crf is None:
+        return docs.select(*COLUMNS)
     found = crf_language.identify(docs, crf, keep=COLUMNS)
     kept = found.where((F.col("lang_pred") != crf_language.UND) & (F.col("score") >= least))
     return kept.select("doc_id", "text", F.coalesce("lang", "lang_pred").alias("lang"), "source", "n_chars")
@@ -28,10 +34,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8: the smallest id. Documents without an id are kept.
 
+    An id that comes with different texts stands for several documents: each goes by a hash of id and
+    text from 2^62 up, so it gives way to any smaller id it is a copy of, and what is no copy stays.
+    Rows equal in id and text stay or go together; an empty table stays empty.
     m: a pair at 0.8 is a candidate with probability 0.9998.
     """
-    gone = minhash_tensor.minhash_clusters(docs, percent=80, m=13, agree=0.55).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    seen = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    torn = keep(seen.where("lo <> hi").select("doc_id", F.lit(True).alias("torn")))
+    keyed = docs.select(*COLUMNS, F.col("doc_id").alias("key"))
+    if not torn.isEmpty():
+        own = F.xxhash64("doc_id", "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        keyed = docs.select(*COLUMNS).join(torn, "doc_id", "left").select(*COLUMNS, F.when(F.col("torn"), own).otherwise(F.col("doc_id")).alias("key"))
+    found = minhash_tensor.minhash_clusters(keyed, id_col="key", percent=80, m=13, agree=0.55)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("key"))
+    return keyed.join(gone, "key", "left_anti").select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

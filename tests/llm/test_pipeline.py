@@ -25,7 +25,7 @@ def test_odd_rows(spark):
 
 
 def test_every_operator_is_registered():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_near_copies_at_eight_tenths(spark):
@@ -61,3 +61,28 @@ def test_run_returns_positions(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert len({r.mix_position for r in out}) == len(out) > 100
     assert [r.mix_position for r in out] == sorted(r.mix_position for r in out)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_ids_with_different_texts_lose_none(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(0, base), (1, base + " more"), (1, other), (1, other), (2, other), (3, None), (None, base), (4, "short text"), (4, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], COLUMNS)
+    kept = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, frame, SF).collect()), key=str)
+    # the other text of id 1 is a copy of id 2's, which is smaller than a hash
+    assert kept == sorted([(0, base), (2, other), (3, None), (None, base), (4, "short text"), (4, None)], key=str)
+
+
+def test_unlabelled_documents_stay(spark):
+    frame = spark.createDataFrame([(i, f"some words here {i}", None, "s", 1) for i in range(3)], COLUMNS)
+    assert corpus_pipeline.language_id(spark, frame, SF).count() == 3
+
+
+def test_empty_table(spark):
+    now = spark.createDataFrame([], COLUMNS)
+    for _, stage in corpus_pipeline.STAGES:
+        now = corpus_pipeline.keep(stage(spark, now, SF))
+        assert now.count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
 from .operators import chunking, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, upsert
-from .plans import generated, guard, reporting
+from .plans import contracts, generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
 from .streaming import events as event_streams
@@ -780,3 +780,22 @@ def trace_spans(spark, sf_dir):
     for batch in (0, 0, 1):
         sink.write(spans.unionByName(ends), batch)
     return sink.joined().select("trace_id", "status", "n_spans", "span_ms", F.array_join(F.transform("spans", lambda s: s["span_type"]), ",").alias("path"))
+
+
+# Contracts of model outputs
+
+_OUTPUT = """'{"route_type": ' || CASE WHEN event_id % 11 = 0 THEN 'null' WHEN event_id % 7 = 0 THEN '"ODD"' ELSE '"DATA_QA"' END || ', "needs_policy_evidence": true, "needs_data_analysis": '
+  || CASE WHEN event_id % 5 = 0 THEN '"perhaps"' ELSE 'false' END || ', "confidence": ' || CASE WHEN event_id % 13 = 0 THEN '1.5' ELSE '0.5' END || ', "reason": "' || event_type || '"'
+  || CASE WHEN event_id % 3 = 0 THEN ', "extracted_entities": {"metrics": ["a", 1], "normalized_time_range": {"start_year": "x"}}' ELSE '' END || CASE WHEN event_id % 17 = 0 THEN ']' ELSE '}' END"""
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 17 = 0 THEN '$: no object' ELSE array_to_string(list_filter([
+    CASE WHEN event_id % 11 = 0 THEN '$.route_type: missing' WHEN event_id % 7 = 0 THEN '$.route_type: no such option' END, CASE WHEN event_id % 5 = 0 THEN '$.needs_data_analysis: no truth value' END,
+    CASE WHEN event_id % 13 = 0 THEN '$.confidence: not from 0 to 1' END, CASE WHEN event_id % 3 = 0 THEN '$.extracted_entities.normalized_time_range.start_year: no whole number' END,
+    CASE WHEN event_id % 3 = 0 THEN '$.extracted_entities.metrics: not all texts' END], lambda x: x IS NOT NULL), '; ') END AS broken
+FROM events""")
+def contract_violations(spark, sf_dir):
+    """Events as a model's outputs, some of them broken in several ways."""
+    outputs = load(spark, sf_dir, "events").select("event_id", F.expr(_OUTPUT).alias("output"))
+    return outputs.select("event_id", F.array_join(contracts.violations(F.col("output"), "QuestionRoute"), "; ").alias("broken"))

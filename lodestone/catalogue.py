@@ -799,3 +799,32 @@ def contract_violations(spark, sf_dir):
     """Events as a model's outputs, some of them broken in several ways."""
     outputs = load(spark, sf_dir, "events").select("event_id", F.expr(_OUTPUT).alias("output"))
     return outputs.select("event_id", F.array_join(contracts.violations(F.col("output"), "QuestionRoute"), "; ").alias("broken"))
+
+
+# Evaluation by all rules
+
+_RULES = """
+SELECT doc_id, label, quality, toxic, CASE WHEN n_chars % 4 = 0 THEN 'safety' WHEN n_chars % 4 = 1 THEN 'sql' ELSE 'rag' END AS case_type, CASE WHEN toxic = 1 THEN 'OTHER' WHEN n_chars % 4 = 1 THEN 'DATA_QA' ELSE 'POLICY_QA' END AS route,
+  text, source, lang, CASE WHEN n_chars % 4 = 1 OR quality = 1 THEN 'SELECT n FROM reporting.vw_' || lang END AS sql FROM (SELECT *, 'x' AS label FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"""
+WITH r AS ({_RULES}),
+j AS (SELECT doc_id, case_type, CASE case_type WHEN 'safety' THEN 'OTHER' WHEN 'sql' THEN 'DATA_QA' ELSE 'POLICY_QA' END = route AS route_ok,
+    round(((contains(lower(text || chr(10) || source || chr(10) || coalesce(sql, '')), 'license'))::INT + (contains(lower(text || chr(10) || source || chr(10) || coalesce(sql, '')), 'src1'))::INT) / 2, 4) AS keyword_score,
+    contains(source, 'src1')::INT::DOUBLE AS citation_score, case_type <> 'sql' OR contains(coalesce(sql, ''), 'reporting.vw_en') AS view_ok, case_type <> 'sql' OR regexp_matches(coalesce(sql, ''), 'vw_(en|de)$') AS pattern_ok,
+    coalesce(sql, '') <> '' AS sql_valid, case_type <> 'safety' OR route = 'OTHER' OR sql IS NULL AS safety_ok FROM r)
+SELECT doc_id, route_ok, keyword_score, citation_score, view_ok, pattern_ok, sql_valid, safety_ok, route_ok AND keyword_score >= 0.5 AND citation_score > 0 AND view_ok AND pattern_ok AND safety_ok AS passed FROM j""")
+def eval_rules(spark, sf_dir):
+    """Labelled documents as responses, their sources as what they cite."""
+    docs, labels = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
+    rows = docs.join(labels, "doc_id")
+    kind = F.when(F.col("n_chars") % 4 == 0, "safety").when(F.col("n_chars") % 4 == 1, "sql").otherwise("rag")
+    route = F.when(F.col("toxic") == 1, "OTHER").when(F.col("n_chars") % 4 == 1, "DATA_QA").otherwise("POLICY_QA")
+    types = F.create_map(*[F.lit(x) for pair in evaluation.ROUTES.items() for x in pair])
+    rows = rows.select(
+        "doc_id", kind.alias("case_type"), types[kind].alias("expected_route_type"), route.alias("route"), F.col("text").alias("answer"), F.array(F.lit("License"), F.lit("SRC1")).alias("expected_keywords"), F.array(F.lit("Src1")).alias("expected_sources"),
+        F.array(F.struct(F.col("source").alias("title"), F.lit("").alias("quote"), F.lit("").alias("section"))).alias("citations"), F.when(kind == "sql", "reporting.vw_en").alias("expected_view"), F.when(kind == "sql", "VW_(en|de)$").alias("expected_sql_pattern"),
+        F.when((F.col("n_chars") % 4 == 1) | (F.col("quality") == 1), F.concat(F.lit("SELECT n FROM reporting.vw_"), "lang")).alias("sql"), F.lit(None).cast("string").alias("preview"), F.lit(None).cast("string").alias("chart"),
+    )
+    return evaluation.judged(rows).select("doc_id", "route_ok", "keyword_score", "citation_score", "view_ok", "pattern_ok", "sql_valid", "safety_ok", "passed")

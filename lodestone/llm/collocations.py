@@ -159,39 +159,39 @@ class Seen:
         return order[first]
 
 
-def _distinct_words(df: DataFrame, source: Source, hot) -> DataFrame:
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Seen()
-        for batch in batches:
-            for _, keys in source(batch):
-                some = _is_hot(keys, hot.value)
-                new = some[seen.new(keys.a[some], keys.b[some])]
-                told = keys.text(new)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.a[new].view(np.int64)), pa.array(keys.b[new].view(np.int64)), pa.array([x for x, _ in told], pa.string()), pa.array([x for _, x in told], pa.string())], ["a", "b", "lang", "word"])
+def _texts(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Lists of strings: counts[i] of the values for row i."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(values, pa.string()))
 
-    return df.mapInArrow(find, "a long, b long, lang string, word string").groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
 
+def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
+    """Distinct pairs (a, b) of hot cells; named: with lang and word.
 
-def _distinct_pairs(df: DataFrame, source: Source, hot) -> DataFrame:
-    """Pairs travel as numpy arrays, dealt by hash, and are made distinct again where they meet."""
+    Pairs travel as arrays, dealt by hash, and are made distinct again where they meet.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
-        waiting, n = [], 0
+        waiting: list[tuple] = []
+        n = 0
 
         def out() -> pa.RecordBatch:
-            pairs = np.concatenate(waiting)
+            pairs = np.concatenate([w[0] for w in waiting])
             part = (pair_hash(pairs[:, 0], pairs[:, 1], 1 << 21) % U(PAIR_PARTS)).astype(np.int64)
-            pairs = pairs[np.argsort(part, kind="stable")]
+            order = np.argsort(part, kind="stable")
             held = np.bincount(part, minlength=PAIR_PARTS)
             used = np.flatnonzero(held)
-            return pa.RecordBatch.from_arrays([pa.array(used), pa.array([x.tobytes() for x in np.split(pairs, np.cumsum(held[used])[:-1])], pa.binary())], ["part", "pairs"])
+            columns = [pa.array(used), pa.array([x.tobytes() for x in np.split(pairs[order], np.cumsum(held[used])[:-1])], pa.binary())]
+            if named:
+                told = np.array([t for w in waiting for t in w[1]], object).reshape(-1, 2)[order]
+                columns += [_texts(told[:, i], held[used]) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays(columns, ["part", "pairs", "langs", "words"][: len(columns)])
 
         for batch in batches:
             for _, keys in source(batch):
                 some = _is_hot(keys, hot.value)
                 new = some[seen.new(keys.a[some], keys.b[some])]
-                waiting.append(np.column_stack([keys.a[new], keys.b[new]]))
+                waiting.append((np.column_stack([keys.a[new], keys.b[new]]), keys.text(new) if named else []))
                 n += len(new)
                 if n > 1 << 18:
                     yield out()
@@ -202,18 +202,18 @@ def _distinct_pairs(df: DataFrame, source: Source, hot) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            for held in batch.column("pairs"):
-                pairs = np.frombuffer(held.as_py(), np.uint64).reshape(-1, 2)
+            for row in range(len(batch)):
+                pairs = np.frombuffer(batch.column("pairs")[row].as_py(), np.uint64).reshape(-1, 2)
                 a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
                 new = seen.new(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))], ["a", "b"])
-
-    return df.mapInArrow(find, "part long, pairs binary").repartition("part").mapInArrow(merge, "a long, b long").distinct()
-
-
-def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
-    """Distinct pairs (a, b) of hot cells; named: with lang and word."""
-    return (_distinct_words if named else _distinct_pairs)(df, source, hot)
+                columns = [pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))]
+                if named:
+                    columns += [batch.column(c)[row].values.take(pa.array(new)) for c in ("langs", "words")]
+                yield pa.RecordBatch.from_arrays(columns, ["a", "b", "lang", "word"][: len(columns)])
+
+    more, told = (", langs array<string>, words array<string>", ", lang string, word string") if named else ("", "")
+    found = df.mapInArrow(find, f"part long, pairs binary{more}").repartition("part").mapInArrow(merge, f"a long, b long{told}")
+    return found.groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("word").alias("word")) if named else found.distinct()
 
 
 def counted(df: DataFrame, source: Source, slot_map, hot, least: int, first_slot: int) -> DataFrame:

@@ -5,8 +5,9 @@ marker U+2581. Pieces with log scores stand in a double-array trie over UTF-8 by
 segmentation is the Viterbi path of largest score sum; characters that no piece covers become
 byte pieces. Pieces never hold a marker after another character, so a text falls into stretches
 that start with a marker run, and each distinct stretch of a batch is segmented once. Stretches of
-text without blanks can be long; they are cut where no piece that occurs in them crosses. All parts
-walk the trie side by side, position by position.
+text without blanks can be long; they are cut where no piece that occurs in them crosses. The parts
+walk the trie side by side, position by position; where pieces cross for long, as in runs of one
+character, all positions look up their pieces side by side and one pass over these finds the path.
 
 The vocabulary file's scores are merge ranks, not logs: the piece of rank r (from 0, ties by id)
 gets the log score -ln(r + 1) - ln(H) of Zipf's law, H the sum of 1 / (r + 1). An unknown
@@ -22,6 +23,7 @@ itself, whatever repeats; ids outside the vocabulary and null ids are skipped wh
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -165,10 +167,11 @@ def uncrossed(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray
     return where[first], where[first] + np.diff(np.append(first, len(where))), owner
 
 
-def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray, long: int = 48, at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray, long: int = 48, at_once: int = 1 << 20, narrow: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all stretches one after the other, how many each has): the best path of each stretch.
 
     Stretches of more than `long` bytes are cut where no piece crosses, which changes no best path; about at_once bytes go side by side.
+    Parts of more than `narrow` bytes go one by one, over the pieces found at all their positions.
     """
     large = np.flatnonzero(end - start > long)
     owner = np.arange(len(start))
@@ -183,7 +186,13 @@ def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray,
     total, ids, many, i = np.cumsum(high - low), [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0
     while i < len(low):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + at_once, "right")))
-        x, n = _segment(v, buf, low[i:j], high[i:j])
+        size = high[i:j] - low[i:j]
+        near, far = np.flatnonzero(size <= narrow), np.flatnonzero(size > narrow)
+        x, n = _segment(v, buf, low[i:j][near], high[i:j][near])
+        if len(far):
+            runs = [_crossed(v, buf[low[i + k] : high[i + k]]) for k in far]
+            part = np.concatenate((np.repeat(near, n), np.repeat(far, [len(r) for r in runs])))
+            x, n = np.concatenate((x, *runs))[np.argsort(part, kind="stable")], np.bincount(part, minlength=j - i)
         ids.append(x)
         many.append(n)
         i = j
@@ -261,6 +270,51 @@ def _segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray)
     return out[place].astype(np.int32), np.bincount(source, minlength=rows)
 
 
+def _found(v: Vocabulary, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, id) of all pieces at the characters that start at `at`, by start; a character that is no piece itself has id -1."""
+    width = np.ones(256, np.int64)
+    width[0xC0:0xE0], width[0xE0:0xF0], width[0xF0:] = 2, 3, 4
+    whole = np.minimum(width[buf[at]], len(buf) - at)
+    lost = np.ones(len(at), bool)
+    go, node, depth, held = np.arange(len(at)), np.zeros(len(at), np.int64), 0, []
+    while len(go):
+        nxt = v.base[node] + buf[at[go] + depth].astype(np.int64) + 1
+        fits = v.check[nxt] == node
+        go, node, depth = go[fits], nxt[fits], depth + 1
+        hit = v.piece_at[node] >= 0
+        held.append((go[hit], at[go[hit]] + depth, v.piece_at[node[hit]].astype(np.int64)))
+        lost[go[hit][whole[go[hit]] == depth]] = False
+        more = at[go] + depth < len(buf)
+        go, node = go[more], node[more]
+    held.append((np.flatnonzero(lost), (at + whole)[lost], np.full(int(lost.sum()), -1)))
+    which, end, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(which, kind="stable")
+    return at[which[order]], end[order], ids[order]
+
+
+def _crossed(v: Vocabulary, buf: np.ndarray, window: int = 1 << 14) -> np.ndarray:
+    """Ids of the best path of one long stretch; pieces are looked up for a window of positions at once."""
+    best, back, via = array("d", [-np.inf]) * (len(buf) + 1), array("q", [0]) * (len(buf) + 1), array("i", [-1]) * (len(buf) + 1)
+    best[0] = 0.0
+    lead = np.flatnonzero((buf & 0xC0) != 0x80)
+    for i in range(0, len(lead), window):
+        start, end, ids = _found(v, buf, lead[i : i + window])
+        gain = np.where(ids < 0, v.unknown, v.score[ids])
+        for s, e, piece, g in zip(start.tolist(), end.tolist(), ids.tolist(), gain.tolist(), strict=True):
+            total = best[s] + g
+            if total > best[e]:
+                best[e], back[e], via[e] = total, s, piece
+    path, at = array("i"), len(buf)
+    while at > 0:
+        low, piece = back[at], via[at]
+        if piece < 0:
+            path.extend(v.byte_id[buf[low:at][::-1]].tolist())
+        else:
+            path.append(piece)
+        at = low
+    return np.array(path, np.int32)[::-1]
+
+
 def marked(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts as the trie reads them: a marker in front of each that is not empty, and for each blank."""
     n = np.diff(offsets)

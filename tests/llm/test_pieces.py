@@ -98,3 +98,32 @@ def test_cuts_change_no_path(vocabulary):
         buf, lo, hi = np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)])
         a, b = up.segment(vocabulary, buf, lo, hi), up._segment(vocabulary, buf, lo, hi)
         assert b[1] == a[1] and np.array_equal(a[0], b[0]) or abs(vocabulary.score[a[0]].sum() - vocabulary.score[b[0]].sum()) < 1e-6
+
+
+def test_runs_of_one_character(vocabulary, library):
+    import time
+
+    for unit in (" ", "_", "a", "=", "é", "ab", "\n", "🎉", "\x01"):
+        text = unit * 3000
+        ids, want = encoded(vocabulary, [text])[0], library.encode(text)
+        assert ids == want or abs(sum(vocabulary.score[i] for i in ids) - sum(vocabulary.score[i] for i in want)) < 1e-6 * len(text)
+        assert up.decode_pack(vocabulary, np.array(ids), np.array([len(ids)])) == [text]
+    for unit in (" ", "_", "a"):
+        began = time.perf_counter()
+        encoded(vocabulary, [unit * 40_000])
+        assert time.perf_counter() - began < 3
+
+
+def test_long_parts_take_the_same_path(vocabulary):
+    """Both walks agree piece by piece, with windows that end inside pieces."""
+    rng = np.random.default_rng(4)
+    for letters in ("a", "ab", " ", "_-", "é日a", "abcde", "=#"):
+        raw = "".join(letters[i] for i in rng.integers(0, len(letters), 400)).encode()
+        buf = up.marked(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        want = up._segment(vocabulary, buf, np.array([0]), np.array([len(buf)]))[0]
+        for window in (7, 1 << 14):
+            assert np.array_equal(up._crossed(vocabulary, buf, window), want)
+    lo, hi = np.array([0, 0, 3, 10]), np.array([5, 400, 330, 10])
+    for narrow in (0, 20, 10_000):
+        ids, many = up.segment(vocabulary, buf, lo, hi, narrow=narrow)
+        assert np.array_equal(ids, np.concatenate([up._segment(vocabulary, buf, lo[k : k + 1], hi[k : k + 1])[0] for k in range(4)])) and many.sum() == len(ids)

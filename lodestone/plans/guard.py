@@ -1,6 +1,7 @@
 """Governed SQL: a statement is checked on Spark's own parsed plan, bounded, then run.
 
-Nothing here parses SQL: Spark does, and the checks walk the plan it returns. Only what the plan
+Nothing here parses SQL: Spark does, and the checks walk the plan it returns, which may hold listed
+nodes alone. A name without a schema must be that of a CTE in whose scope it stands. Only what the plan
 can't tell any more is looked up in the text (several statements, SELECT INTO).
 """
 
@@ -22,9 +23,22 @@ from .reporting import VIEWS
 FUNCTIONS = ("count", "sum", "avg", "min", "max")
 BLOCKED_FUNCTIONS = ("copy", "dblink", "lo_export", "lo_import", "pg_read_file", "pg_sleep", "pg_write_file")
 OPERATORS = ("between", "and", "or", "not", "in", "like", "ilike", "||", "concat", "=", "<", ">", "<=", ">=", "<>", "+", "-", "*", "/", "%", "isnull", "isnotnull")
-DENIED_NODES = ("Cast", "CaseWhen", "Exists", "StringLocate", "Extract", "CurrentDate", "If", "Coalesce", "Collate", "Sample", "Generate", "LateralJoin", "UnresolvedTableValuedFunction", "Pivot", "Unpivot", "ScriptTransformation", "LambdaFunction")
+# expressions and plans that a statement may be made of; all others are refused. Row values share their node with struct() and are refused with it
+EXPRESSIONS = (
+    "Literal", "UnresolvedAttribute", "UnresolvedAlias", "Alias", "UnresolvedFunction", "UnresolvedStar", "SortOrder", "ScalarSubquery", "InSubquery", "ListQuery",
+    "And", "Or", "Not", "In", "IsNull", "IsNotNull", "Like", "ILike", "LikeAny", "LikeAll", "NotLikeAny", "NotLikeAll", "RLike",
+    "EqualTo", "EqualNullSafe", "GreaterThan", "GreaterThanOrEqual", "LessThan", "LessThanOrEqual",
+    "Add", "Subtract", "Multiply", "Divide", "IntegralDivide", "Remainder", "UnaryMinus", "UnaryPositive", "Concat", "BitwiseAnd", "BitwiseOr", "BitwiseXor", "BitwiseNot",
+    "WindowExpression", "UnresolvedWindowExpression", "WindowSpecDefinition", "SpecifiedWindowFrame", "UnspecifiedFrame$", "CurrentRow$", "UnboundedPreceding$", "UnboundedFollowing$",
+    "GroupingSets", "Rollup", "Cube",
+)
+PLANS = (
+    "Project", "Aggregate", "Filter", "UnresolvedHaving", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Join", "Union", "Intersect", "Except",
+    "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "UnresolvedWith", "WithWindowDefinition", "UnresolvedRelation", "OneRowRelation", "UnresolvedHint",
+)
+SAMPLED = ("UnresolvedRelation", "SubqueryAlias", "Join", "OneRowRelation")  # a limit right above one of these is TABLESAMPLE (n ROWS)
 INLINE = ("UnresolvedInlineTable", "ResolvedInlineTable", "LocalRelation", "Range")
-ROOTS = ("Project", "Aggregate", "Filter", "UnresolvedHaving", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "Offset", "UnresolvedWith", "WithWindowDefinition", "LimitAll", "SubqueryAlias")
+ROOTS = ("Project", "Aggregate", "Filter", "UnresolvedHaving", "Distinct", "Sort", "GlobalLimit", "LocalLimit", "Offset", "UnresolvedWith", "WithWindowDefinition", "LimitAll", "SubqueryAlias", "UnresolvedHint")
 DEFAULT_LIMIT, MAX_LIMIT = 100, 200
 MESSAGES = {
     "EMPTY_SQL": "SQL must not be empty",
@@ -69,43 +83,47 @@ def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
 
 
-def _kids(node) -> list:
-    """Plans and expressions right below a plan or expression, those inside CTEs and subqueries too."""
-    out = _seq(node.children())
+def _kids(node, inside: frozenset[str]) -> list[tuple]:
+    """Plans and expressions right below a plan or expression, each with the names of CTEs that it sees."""
     name = node.getClass().getSimpleName()
-    if name in ("UnresolvedWith", "ListQuery", "ScalarSubquery", "InSubquery", "Exists", "Subquery"):
-        out += [x for x in _seq(node.innerChildren())]
-    if hasattr(node, "expressions") and "catalyst.plans" in node.getClass().getName() or "analysis" in node.getClass().getName() and _is_plan(node):
-        out += _seq(node.expressions())
-    if _is_plan_expression(node):
-        out.append(node.plan())
-    return out
-
-
-def _is_plan(node) -> bool:
+    if name == "UnresolvedWith":
+        out = []
+        for relation in _seq(node.cteRelations()):  # a relation sees those before it, and itself if it recurs
+            own = {str(relation._1()).lower()}
+            out.append((relation._2(), inside | own if node.allowRecursion() else inside))
+            inside |= own
+        return [*out, *((k, inside) for k in _seq(node.children()))]
+    if name in INLINE:
+        return []  # refused as a table, whatever it holds
+    below = _seq(node.children())
+    if _is("LogicalPlan", node):
+        below += _seq(node.expressions())
+    elif _is("PlanExpression", node):
+        below.append(node.plan())
+    return [(k, inside) for k in below if k is not None]
+
+
+_KINDS: dict[tuple[str, str], bool] = {}
+
+
+def _is(kind: str, node) -> bool:
+    """Whether a node's class or one above it has this simple name; known by class once asked."""
     c = node.getClass()
-    while c is not None:
-        if c.getSimpleName() == "LogicalPlan":
-            return True
-        c = c.getSuperclass()
-    return False
-
-
-def _is_plan_expression(node) -> bool:
-    c = node.getClass()
-    while c is not None:
-        if c.getSimpleName() == "PlanExpression":
-            return True
-        c = c.getSuperclass()
-    return False
+    key = kind, c.getName()
+    if key not in _KINDS:
+        while c is not None and c.getSimpleName() != kind:
+            c = c.getSuperclass()
+        _KINDS[key] = c is not None
+    return _KINDS[key]
 
 
 def _walk(node):
-    stack = [node]
+    """Every node below and the names of CTEs it sees."""
+    stack = [(node, frozenset())]
     while stack:
-        x = stack.pop()
-        yield x
-        stack += [k for k in _kids(x) if k is not None]
+        x, inside = stack.pop()
+        yield x, inside
+        stack += _kids(x, inside)
 
 
 def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tuple[str, ...] = tuple(VIEWS), functions: tuple[str, ...] = FUNCTIONS, blocked: tuple[str, ...] = BLOCKED_FUNCTIONS, default_limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT) -> Guarded:
@@ -143,14 +161,10 @@ def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tu
     found: list[str] = []
     if kind not in ("Project", "Aggregate", "Filter"):
         found.append("NON_SELECT_STATEMENT")
-    nodes = list(_walk(root))
-    names = set()
-    for n in nodes:
-        if n.getClass().getSimpleName() == "UnresolvedWith":
-            names |= {str(x._1()).lower() for x in _seq(n.cteRelations())}
-    for n in nodes:
+    for n, names in _walk(root):
         c = n.getClass().getSimpleName()
-        if re.search(r"Command$|^(InsertInto|DeleteFrom|Update|Merge|Create|Drop|Alter|Replace|Truncate|SetCatalog)", c):
+        plan = _is("LogicalPlan", n)
+        if plan and re.search(r"Command$|^(InsertInto|DeleteFrom|Update|Merge|Create|Drop|Alter|Replace|Truncate|SetCatalog)", c):
             found.append("BLOCKED_STATEMENT")
         elif c == "UnresolvedStar":
             found.append("SELECT_STAR")
@@ -161,7 +175,7 @@ def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tu
                     found.append("SCHEMA_REQUIRED")
             elif len(name) != 2 or name[0] != schema:
                 found.append("NON_REPORTING_SCHEMA")
-            elif name[1] not in views:
+            elif name[1] not in views or n.isStreaming():
                 found.append("TABLE_NOT_ALLOWED")
         elif c == "UnresolvedFunction":
             name = str(n.nameParts().apply(n.nameParts().size() - 1)).lower()
@@ -171,7 +185,11 @@ def validate(spark: SparkSession, sql: str, schema: str = "reporting", views: tu
                 found.append("FUNCTION_NOT_ALLOWED")
         elif c in INLINE:
             found.append("TABLE_NOT_ALLOWED")
-        elif c in DENIED_NODES or c == "UnresolvedAttribute" and str(n.name()).lower() in ("current_date", "current_timestamp", "current_user", "user"):
+        elif found[:1] == ["NON_SELECT_STATEMENT"]:
+            pass  # its own nodes are no select's
+        elif c not in (PLANS if plan else EXPRESSIONS) or c == "UnresolvedAttribute" and str(n.name()).lower() in ("current_date", "current_timestamp", "current_user", "user"):
+            found.append("FUNCTION_NOT_ALLOWED")
+        elif c == "LocalLimit" and n.children().apply(0).getClass().getSimpleName() in SAMPLED:
             found.append("FUNCTION_NOT_ALLOWED")
     if limit is not None:
         text = str(limit.toString())

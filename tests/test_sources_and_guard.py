@@ -79,6 +79,30 @@ CASES = [
     ("select stat_year from reporting.vw_value_yearly where exists (select region_name from reporting.vw_value_yearly)", ["FUNCTION_NOT_ALLOWED"]),
     ("select stat_year from reporting.vw_value_yearly limit 1+1", ["INVALID_LIMIT"]),
     ("select stat_year from reporting.vw_value_yearly where region_name = 'a;b into c'", []),
+    # nodes outside the allow list
+    ("select struct(stat_year) as s from reporting.vw_value_yearly", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from reporting.vw_value_yearly tablesample (10 rows)", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from identifier('reporting.vw_value_yearly')", ["FUNCTION_NOT_ALLOWED"]),
+    ("select identifier('stat_year') as b from reporting.vw_value_yearly", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from reporting.vw_value_yearly version as of 1", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from reporting.vw_value_yearly |> where stat_year > 1", ["FUNCTION_NOT_ALLOWED"]),
+    ("select :p as a from reporting.vw_value_yearly", ["FUNCTION_NOT_ALLOWED"]),
+    ("select first(stat_year) as b from reporting.vw_value_yearly", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year[0] as b from reporting.vw_value_yearly", ["FUNCTION_NOT_ALLOWED"]),
+    ("select stat_year from stream reporting.vw_value_yearly", ["TABLE_NOT_ALLOWED"]),
+    ("create table x as select stat_year from reporting.vw_value_yearly", ["NON_SELECT_STATEMENT", "BLOCKED_STATEMENT"]),
+    # names of CTEs count where they can be seen
+    ("select s.a from (with q as (select stat_year as a from reporting.vw_value_yearly) select a from q) s join q on true", ["SCHEMA_REQUIRED"]),
+    ("with q as (select stat_year from r), r as (select stat_year from reporting.vw_value_yearly) select stat_year from q", ["SCHEMA_REQUIRED"]),
+    ("with q as (with z as (select stat_year from reporting.vw_value_yearly) select stat_year from z) select stat_year from z", ["SCHEMA_REQUIRED"]),
+    ("with q as (select stat_year from reporting.vw_value_yearly), r as (select stat_year from q) select q.stat_year from q join r on q.stat_year = r.stat_year", []),
+    ("with recursive q(n) as (select 1 union all select n + 1 from q where n < 5) select n from q", []),
+    # what may be written
+    ("select stat_year from (select stat_year from reporting.vw_value_yearly limit 3) s limit 5", []),
+    ("select /*+ coalesce(1) */ stat_year from reporting.vw_value_yearly t(stat_year)", []),
+    ("select stat_year div 2 as d, stat_year & 1 as e from reporting.vw_value_yearly where region_name rlike 'a' or region_name like any ('b%', 'c') or stat_year <=> 1", []),
+    ("select region_name, sum(value_numeric) over (partition by region_name order by stat_year rows between unbounded preceding and current row) as s from reporting.vw_value_yearly", []),
+    ("select region_name, count(distinct stat_year) as n from reporting.vw_value_yearly group by grouping sets ((region_name), ()) having count(*) > 1 order by n desc nulls last", []),
 ]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
-from .operators import chunking, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, upsert
+from .operators import chunking, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, upsert, versions
 from .plans import contracts, generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
@@ -828,3 +828,20 @@ def eval_rules(spark, sf_dir):
         F.when((F.col("n_chars") % 4 == 1) | (F.col("quality") == 1), F.concat(F.lit("SELECT n FROM reporting.vw_"), "lang")).alias("sql"), F.lit(None).cast("string").alias("preview"), F.lit(None).cast("string").alias("chart"),
     )
     return evaluation.judged(rows).select("doc_id", "route_ok", "keyword_score", "citation_score", "view_ok", "pattern_ok", "sql_valid", "safety_ok", "passed")
+
+
+# Tables in versions
+
+
+@query("""SELECT CAST(number AS BIGINT) AS number, number = 3 AS current, CAST(times * len(embedding) AS BIGINT) AS dims, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS ids
+  FROM embeddings, (VALUES (1, 1), (2, 2), (3, 1)) v(number, times) GROUP BY ALL""")
+def versioned_swap(spark, sf_dir):
+    """Vectors, a version of twice their width in their place, and back: what each pointer names."""
+    vectors_ = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    table = versions.VersionedTable(spark, fresh_path(spark, "versions"))
+    table.write(vectors_)
+    table.write(table.read().withColumn("embedding", F.concat("embedding", "embedding")))
+    last = table.rollback()
+    held = [table.read(n).withColumn("number", F.lit(n).cast("bigint")) for n, _ in table.history()]
+    every = held[0].unionByName(held[1]).unionByName(held[2])
+    return every.groupBy("number", (F.col("number") == last).alias("current"), F.array_size("embedding").cast("bigint").alias("dims")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("vec_id").alias("ids"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -23,7 +24,7 @@ class Provider(Protocol):
 
 
 class HashingProvider:
-    """A provider without a network: words hashed to signed buckets, at unit length. For tests and offline runs."""
+    """A provider without a network: words (runs of letters, digits and underscores) hashed to signed buckets, at unit length. For tests and offline runs."""
 
     def __init__(self, dim: int = 64):
         self.model, self.version, self.dim = "hashing", "1", dim
@@ -32,7 +33,7 @@ class HashingProvider:
         out = []
         for text in texts:
             v = [0.0] * self.dim
-            for w in text.lower().split():
+            for w in re.findall(r"\w+", text.lower()):
                 h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
                 v[h % self.dim] += 1.0 if h >> 63 else -1.0
             norm = math.sqrt(sum(x * x for x in v)) or 1.0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
-from .operators import chunking, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, upsert, versions
+from .operators import chunking, embeddings, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, semantic, upsert, versions
 from .plans import contracts, generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
@@ -423,15 +423,57 @@ def policy_level(spark, sf_dir):
 
 # Semantic items
 
+# by value: what the reporting views show
+_VIEW_FIELDS = """(VALUES ('vw_value_yearly', 'region_code', 'bigint'), ('vw_value_yearly', 'region_name', 'string'), ('vw_value_yearly', 'stat_year', 'bigint'), ('vw_value_yearly', 'value_numeric', 'double'), ('vw_value_yearly', 'n_orders', 'bigint'),
+  ('vw_value_yearly', 'indicator_name', 'string'), ('vw_value_yearly', 'unit', 'string'), ('vw_dataset_catalog', 'dataset_name', 'string'), ('vw_dataset_catalog', 'category', 'string'), ('vw_dataset_catalog', 'department', 'string'), ('vw_dataset_catalog', 'api_count', 'bigint'),
+  ('vw_category_stats', 'category', 'string'), ('vw_category_stats', 'dataset_count', 'bigint'), ('vw_category_stats', 'api_count', 'bigint'), ('vw_category_stats', 'latest', 'bigint'),
+  ('vw_department_stats', 'department', 'string'), ('vw_department_stats', 'dataset_count', 'bigint'), ('vw_department_stats', 'api_count', 'bigint'), ('vw_department_stats', 'latest', 'bigint')) f(v, field_name, field_type)"""
+_LINES = "array_to_string(list_filter([{}], lambda x: NOT ends_with(x, '：')), chr(10))"
+_SAID = {
+    "dataset": _LINES.format("'类型：数据集', '名称：doc-' || doc_id, '分类：' || coalesce(lang, ''), '部门：' || coalesce(source, ''), '可查询视图：reporting.vw_dataset_catalog'"),
+    "table": _LINES.format("'类型：可查询视图', '名称：reporting.' || v, '字段：' || fields, 'DDL：CREATE VIEW reporting.' || v || ' (' || fields || ');'"),
+    "field": _LINES.format("'类型：字段', '视图：reporting.' || v, '字段：' || field_name, '字段类型：' || field_type"),
+    "metric": _LINES.format("'类型：指标', '名称：' || n_name, '指标编码：nation_' || n_nationkey, '别名：' || n_name || '、nation_' || n_nationkey, '领域：' || r_name, '单位：USD', '可查询视图：reporting.vw_value_yearly', '相关字段：region_name, stat_year, value_numeric, unit'"),
+}
+
+
+def _semantic_sources(spark, sf_dir):
+    nation, region = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    metrics_ = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("indicator_name"), F.concat(F.lit("nation_"), F.col("n_nationkey").cast("string")).alias("indicator_code"), F.col("r_name").alias("domain"), F.lit("USD").alias("unit"), F.lit("reporting.vw_value_yearly").alias("view_name"))
+    examples = spark.createDataFrame([("Value by year", "Order value of a region, year by year", ["trend"], None, "reporting.vw_value_yearly", "stat_year", "USD", "annual", "SELECT stat_year, value_numeric FROM reporting.vw_value_yearly ORDER BY stat_year")], semantic.NOTE)
+    rules = spark.createDataFrame([("Units are said", "Values are given with their unit", ["unit"], "value_numeric and unit go together", "reporting", "unit", None, None, None)], semantic.NOTE)
+    return reporting.dataset_catalog(spark, sf_dir), reporting.catalog(spark, sf_dir), metrics_, examples, rules
 
-@query("""SELECT 'dataset' AS metadata_type, 'doc-' || doc_id AS name, source AS related_table FROM documents UNION ALL
-  SELECT DISTINCT 'table', source, source FROM documents UNION ALL SELECT DISTINCT 'metric', lang, CAST(NULL AS VARCHAR) FROM documents WHERE lang IS NOT NULL""")
+
+@query(f"""SELECT 'dataset' AS metadata_type, 'doc-' || doc_id AS name, 'reporting.vw_dataset_catalog' AS related_table, 'dataset_name' AS related_field, {_SAID["dataset"]} AS search_text FROM documents
+  UNION ALL SELECT 'table', 'reporting.' || v, 'reporting.' || v, '', {_SAID["table"]} FROM (SELECT v, string_agg(field_name, ', ' ORDER BY field_name) AS fields FROM {_VIEW_FIELDS} GROUP BY v)
+  UNION ALL SELECT 'field', 'reporting.' || v || '.' || field_name, 'reporting.' || v, field_name, {_SAID["field"]} FROM {_VIEW_FIELDS}
+  UNION ALL SELECT 'metric', n_name, 'reporting.vw_value_yearly', 'value_numeric', {_SAID["metric"]} FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT 'sql_example', 'Value by year', 'reporting.vw_value_yearly', 'stat_year', array_to_string(['类型：sql_example', '名称：Value by year', '别名：trend', '说明：Order value of a region, year by year', '可查询视图：reporting.vw_value_yearly', '相关字段：stat_year', 'SQL示例：SELECT stat_year, value_numeric FROM reporting.vw_value_yearly ORDER BY stat_year'], chr(10))
+  UNION ALL SELECT 'business_rule', 'Units are said', 'reporting', 'unit', array_to_string(['类型：business_rule', '名称：Units are said', '别名：unit', '说明：Values are given with their unit', '业务口径：value_numeric and unit go together', '可查询视图：reporting', '相关字段：unit'], chr(10))""")
 def semantic_items(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents")
-    datasets = docs.select(F.lit("dataset").alias("metadata_type"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"), F.col("source").alias("related_table"))
-    sources = docs.select("source").distinct().select(F.lit("table").alias("metadata_type"), F.col("source").alias("name"), F.col("source").alias("related_table"))
-    langs = docs.where("lang is not null").select("lang").distinct().select(F.lit("metric").alias("metadata_type"), F.col("lang").alias("name"))
-    return datasets.unionByName(sources).unionByName(langs, allowMissingColumns=True)
+    datasets, views, metrics_, examples, rules = _semantic_sources(spark, sf_dir)
+    return semantic.items(datasets, None, views, metrics_, examples, rules).select("metadata_type", "name", "related_table", "related_field", "search_text")
+
+
+@query(f"""SELECT metadata_type, op, vector, count(*) AS n, CAST(count(*) FILTER (vector IS NOT NULL) AS BIGINT) AS embedded FROM (
+  SELECT 'dataset' AS metadata_type, CASE WHEN d.lang IS NULL THEN 'created' WHEN l.toxic = 1 THEN 'updated' ELSE 'kept' END AS op, CASE WHEN d.lang IS NULL OR l.quality IS DISTINCT FROM 1 THEN 'new' WHEN l.toxic = 1 THEN 'replaced' ELSE 'reused' END AS vector
+  FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+  UNION ALL SELECT 'table', 'created', NULL FROM {_VIEW_FIELDS} GROUP BY v UNION ALL SELECT 'field', 'created', NULL FROM {_VIEW_FIELDS} UNION ALL SELECT 'metric', 'created', 'new' FROM nation) WHERE metadata_type IN ('dataset', 'metric') GROUP BY ALL""")
+def semantic_rebuild(spark, sf_dir):
+    """Catalogue of the documents whose language is known, some with vectors, rebuilt for datasets and metrics once toxic documents are held back and the others come in."""
+    datasets, views, metrics_, _, _ = _semantic_sources(spark, sf_dir)
+    labels = load(spark, sf_dir, "labels").groupBy(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("dataset_name")).agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    judged = datasets.join(labels, "dataset_name", "left")
+    before = semantic.items(judged.where("category is not null"), None, views.limit(0), metrics_.limit(0))
+    good = judged.where("quality = 1").select(F.col("dataset_name").alias("name"))
+    provider = embeddings.HashingProvider(16)
+    vectors_ = embeddings.embed(before.join(good, "name", "left_semi"), provider, "item_id", "search_text")
+    fresh = semantic.items(judged.withColumn("description", F.when(F.col("toxic") == 1, "held back")), None, views, metrics_)
+    items, after = semantic.rebuild(before, vectors_, fresh, provider, ("dataset", "metric"))
+    have = after.groupBy("item_id").agg(F.count(F.lit(1)).alias("vectors"))
+    found = items.join(have, "item_id", "left").groupBy("metadata_type", F.col("_op").alias("op"), F.col("_vector").alias("vector"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("vectors"), F.lit(0)).alias("embedded"))
 
 
 # Jobs, traces, evaluation

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import answers, questions, text, vectors
-from .operators import chunking, embeddings, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, semantic, upsert, versions
+from .operators import chunking, documents, embeddings, evaluation, fulltext, jobs, layout, linking, lists, metrics, retrieval, semantic, upsert, versions
 from .plans import contracts, generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
@@ -887,3 +887,29 @@ def versioned_swap(spark, sf_dir):
     held = [table.read(n).withColumn("number", F.lit(n).cast("bigint")) for n, _ in table.history()]
     every = held[0].unionByName(held[1]).unionByName(held[2])
     return every.groupBy("number", (F.col("number") == last).alias("current"), F.array_size("embedding").cast("bigint").alias("dims")).agg(F.count(F.lit(1)).alias("n_rows"), F.sum("vec_id").alias("ids"))
+
+
+# The order of arrival
+
+
+@query("""SELECT user_id, event_id AS last_event, first_event, n FROM (SELECT *, first_value(event_id) OVER (PARTITION BY user_id ORDER BY place) AS first_event, count(*) OVER (PARTITION BY user_id) AS n
+  FROM (SELECT *, row_number() OVER () AS place FROM events)) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY place DESC) = 1""")
+def arrival_winners(spark, sf_dir):
+    """Each user's first and last event as the rows stand in the file."""
+    rows = load(spark, sf_dir, "events").select("user_id", "event_id", F.struct("_metadata.file_path", "_metadata.row_index").alias("at"))
+    # dealt anew: the place in the file goes with the row
+    return rows.repartition("event_id").groupBy("user_id").agg(F.max_by("event_id", "at").alias("last_event"), F.min_by("event_id", "at").alias("first_event"), F.count(F.lit(1)).alias("n"))
+
+
+_SAID_TURNS = "(SELECT conv_id, turn, role, sha256(text) AS content_hash FROM conversations WHERE text IS NOT NULL)"
+
+
+@query(f"""SELECT conv_id, turn, content_hash, 'v' || (coalesce(h.have, 0) + row_number() OVER (PARTITION BY conv_id ORDER BY turn, content_hash)) AS version_no
+  FROM (SELECT * FROM {_SAID_TURNS} t QUALIFY row_number() OVER (PARTITION BY conv_id, content_hash ORDER BY turn, role) = 1) f
+  LEFT JOIN (SELECT conv_id, count(*) AS have FROM (SELECT DISTINCT conv_id, content_hash FROM {_SAID_TURNS} WHERE role = 'user') GROUP BY conv_id) h USING (conv_id)
+  WHERE NOT EXISTS (SELECT 1 FROM {_SAID_TURNS} u WHERE u.role = 'user' AND u.conv_id = f.conv_id AND u.content_hash = f.content_hash)""")
+def version_numbers(spark, sf_dir):
+    """A conversation's texts as versions of it, numbered by turn after what users said."""
+    turns = load(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("document_id"), "turn", "role", F.col("text").alias("clean_text"))
+    have = turns.where("role = 'user'").select("document_id", F.sha2(F.col("clean_text").cast("binary"), 256).alias("content_hash")).distinct()
+    return documents.numbered_versions(have, turns, "turn").select(F.col("document_id").alias("conv_id"), "turn", "content_hash", "version_no")

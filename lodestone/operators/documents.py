@@ -7,15 +7,26 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
+from .upsert import one_a_key
 
-def numbered_versions(versions: DataFrame, incoming: DataFrame) -> DataFrame:
-    """The incoming texts (document_id, clean_text) that are no version yet, as v{count + 1} with their content_hash."""
-    hashed = incoming.withColumn("content_hash", F.sha2(F.col("clean_text").cast("binary"), 256)).dropDuplicates(["document_id", "content_hash"])
+
+def numbered_versions(versions: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """The incoming texts (document_id, clean_text) that are no version yet, as v{count + 1} with their content_hash.
+
+    order: a column that says when a text arrived; versions are numbered by it and of equal texts the first stays (ties: by the rest of the row). Without it, by content_hash.
+    """
+    hashed = incoming.withColumn("content_hash", F.sha2(F.col("clean_text").cast("binary"), 256))
+    if order:
+        first = F.struct(F.col(order), *[F.col(c) for c in sorted(hashed.columns) if c != order and not isinstance(hashed.schema[c].dataType, MapType)])
+        hashed = one_a_key(hashed.withColumn("_first", first), ["document_id", "content_hash"], "_first", last=False).drop("_first")
+    else:
+        hashed = hashed.dropDuplicates(["document_id", "content_hash"])
     fresh = hashed.join(versions.select("document_id", "content_hash"), ["document_id", "content_hash"], "left_anti")
-    have = versions.groupBy("document_id").agg(F.count(F.lit(1)).alias("have"))
-    at = F.row_number().over(Window.partitionBy("document_id").orderBy("content_hash"))
-    return fresh.join(have, "document_id", "left").withColumn("version_no", F.concat(F.lit("v"), (F.coalesce("have", F.lit(0)) + at).cast("string"))).drop("have")
+    have = versions.groupBy("document_id").agg(F.count(F.lit(1)).alias("_have"))
+    at = F.row_number().over(Window.partitionBy("document_id").orderBy(*([order] if order else []), "content_hash"))
+    return fresh.join(have, "document_id", "left").withColumn("version_no", F.concat(F.lit("v"), (F.coalesce("_have", F.lit(0)) + at).cast("string"))).drop("_have")
 
 
 def published(versions: DataFrame, version_id: str, now: Column, metadata: dict[str, object] | None = None) -> DataFrame:

@@ -9,16 +9,32 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header row first, every column a string; cells beyond the header are dropped."""
+ARRIVAL = "_arrival"
+
+
+def arrival() -> Column:
+    """Where a row stands in its source, for frames straight from Spark's file readers: (file, block, record), sortable.
+
+    A block of a file is read by one task in order, so the counter says the order within it, whatever task reads it; blocks and files are told apart by name and start.
+    """
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("record")).alias(ARRIVAL)
+
+
+def arrived(rows: DataFrame) -> DataFrame:
+    """rows of a file reader with _arrival; ask before anything is joined, grouped or dealt anew."""
+    return rows.select("*", arrival())
+
+
+def read_csv(spark: SparkSession, path: str, numbered: bool = False) -> DataFrame:
+    """Header row first, every column a string; cells beyond the header are dropped. numbered: with _arrival."""
     rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return rows.select(*[clean_text(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in rows.columns])
+    return rows.select(*[clean_text(F.col(f"`{c}`")).alias(c.strip().lstrip("﻿")) for c in rows.columns], *([arrival()] if numbered else []))
 
 
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -92,7 +108,7 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(texts, "file string, text string, content_hash string")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Blank lines are skipped; a line that is no object of the schema is an error."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+def read_json_lines(spark: SparkSession, path: str, schema: str, numbered: bool = False) -> DataFrame:
+    """Blank lines are skipped; a line that is no object of the schema is an error. numbered: with _arrival."""
+    lines = spark.read.text(path).select("value", *([arrival()] if numbered else [])).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r"), *lines.columns[1:]).select("r.*", *lines.columns[1:])

@@ -357,15 +357,28 @@ def chunk_section(spark, sf_dir):
     return chunking.sections(_lines(spark, sf_dir), "doc_id", "idx", "title").select("doc_id", big("idx"), big("section"))
 
 
-@query()
+_BLANK = r"'^[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{3000}]+|[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{3000}]+$', '', 'g'"
+# a chunk is marked by its first letter: p of paragraphs, s of windows
+_WINDOWS = f"list_transform(list_filter(list_transform(generate_series(0, length(e.b) - 97, 704), lambda i: regexp_replace(substring(e.b, i + 1, 800), {_BLANK})), lambda w: w <> ''), lambda w: 's' || w)"
+
+
+@query(f"""SELECT doc_id, CAST(place - 1 AS BIGINT) AS order_index, CASE WHEN c[1] = 'p' THEN 'paragraph' ELSE 'sliding_window' END AS strategy, c[2:] AS chunk_text FROM (
+  SELECT doc_id, generate_subscripts(cs, 1) AS place, unnest(cs) AS c FROM (SELECT doc_id, CASE WHEN r.b <> '' THEN r.o || ['p' || r.b] ELSE r.o END AS cs FROM (
+    SELECT doc_id, list_reduce(list_transform(list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, {_BLANK})), lambda l: l <> ''), lambda l: {{'b': l, 'o': []::VARCHAR[]}}),
+      lambda a, e: CASE WHEN length(e.b) > 800 THEN {{'b': '', 'o': a.o || CASE WHEN a.b <> '' THEN ['p' || a.b] ELSE []::VARCHAR[] END || {_WINDOWS}}}
+        WHEN a.b <> '' AND length(a.b) + 2 + length(e.b) > 800 THEN CASE WHEN length(e.b) >= 300 THEN {{'b': '', 'o': a.o || ['p' || a.b, 'p' || e.b]}} ELSE {{'b': e.b, 'o': a.o || ['p' || a.b]}} END
+        WHEN a.b = '' AND length(e.b) >= 300 THEN {{'b': '', 'o': a.o || ['p' || e.b]}}
+        WHEN a.b <> '' AND length(a.b) + 2 + length(e.b) >= 300 THEN {{'b': '', 'o': a.o || ['p' || a.b || chr(10) || chr(10) || e.b]}}
+        ELSE {{'b': CASE WHEN a.b = '' THEN e.b ELSE a.b || chr(10) || chr(10) || e.b END, 'o': a.o}} END, {{'b': '', 'o': []::VARCHAR[]}}) AS r
+    FROM documents WHERE text IS NOT NULL)))""")
 def chunk_paragraph(spark, sf_dir):
-    return chunking.pack_paragraphs(_lines(spark, sf_dir), "doc_id", "idx", "line")
+    rows = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.split("text", "\n").alias("units"))
+    return chunking.pack_texts(rows, "doc_id", "units").withColumn("order_index", big("order_index"))
 
 
 @query()
 def heading_path(spark, sf_dir):
-    elements = html_pages.page_elements(load(spark, sf_dir, "pages"), fallback="url")
-    return chunking.heading_paths(elements, "page_id", "order_index", "heading_level", "content").select("page_id", "order_index", "element_type", "heading_path")
+    return html_pages.page_elements(load(spark, sf_dir, "pages"), fallback="url", paths=True).select("page_id", "order_index", "element_type", "heading_path")
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,21 +74,29 @@ def _pack(units: list[str], low: int, high: int, overlap: float) -> list[tuple[s
     return out
 
 
-def pack_paragraphs(units: DataFrame, key: str, order: str, content: str, low: int = 300, high: int = 800, overlap: float = 0.12) -> DataFrame:
-    """key, order_index, strategy, chunk_text. Units are packed until `low` is reached and never beyond `high`; a longer unit is cut into windows.
+def pack_texts(rows: DataFrame, key: str, units: str, low: int = 300, high: int = 800, overlap: float = 0.12) -> DataFrame:
+    """key, order_index, strategy, chunk_text of rows that hold all units of a document as an array, in order.
 
-    The fold carries state from unit to unit of one document, so each document is one group; a document's units fit a task.
+    Units are packed until `low` is reached and never beyond `high`; a longer unit is cut into windows. Each row is folded where it is read: nothing is shuffled.
+    Null and blank units are left out; a row without units gives no chunk.
     """
     check_options("paragraph", low, high, overlap)
-    kind = units.schema[key].dataType.simpleString()
+    names = [key, "order_index", "strategy", "chunk_text"]
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, held in zip(frame["_key"], frame["_units"], strict=True):
+                texts = [t.strip() for t in (held if held is not None else ()) if t and t.strip()]
+                if packed := _pack(texts, low, high, overlap):
+                    yield pd.DataFrame({key: pd.Series([at] * len(packed), dtype=frame["_key"].dtype), "order_index": range(len(packed)), "strategy": [s for s, _ in packed], "chunk_text": [t for _, t in packed]}, columns=names)
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        texts = [t.strip() for t in frame[content] if t and t.strip()]
-        packed = _pack(texts, low, high, overlap)
-        return pd.DataFrame({key: frame[key].iloc[0], "order_index": range(len(packed)), "strategy": [s for s, _ in packed], "chunk_text": [t for _, t in packed]})
+    return rows.select(F.col(key).alias("_key"), F.col(units).alias("_units")).mapInPandas(fold, f"{key} {rows.schema[key].dataType.simpleString()}, order_index int, strategy string, chunk_text string")
 
-    return units.select(key, order, content).groupBy(key).applyInPandas(fold, f"{key} {kind}, order_index int, strategy string, chunk_text string")
+
+def pack_paragraphs(units: DataFrame, key: str, order: str, content: str, low: int = 300, high: int = 800, overlap: float = 0.12) -> DataFrame:
+    """pack_texts for units that stand in rows of their own: one shuffle brings a document's units together, by `order` (ties: by text). A document's units fit a task."""
+    held = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(content).alias("unit")))), lambda u: u["unit"])
+    return pack_texts(units.groupBy(key).agg(held.alias("_held")), key, "_held", low, high, overlap)
 
 
 def linked(chunks: DataFrame, key: str, strategy: str = "sliding_window") -> DataFrame:

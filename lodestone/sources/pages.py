@@ -156,15 +156,31 @@ def elements_of(html: str | None, fallback: str | None = None) -> list[tuple[int
     return out
 
 
-def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", fallback: str | None = None) -> DataFrame:
-    """key, order_index, element_type, content, heading_level, parent_index of every page. fallback: the column that names a page without a title."""
-    columns = [key, "order_index", "element_type", "content", "heading_level", "parent_index"]
+def running_paths(elements: list[tuple[int | None, str]]) -> list[str]:
+    """'a / b / c' for each (heading_level, content), in order: a heading ends those of its level and deeper ones, and its path ends with itself."""
+    live: dict[int, str] = {}
+    out = []
+    for level, content in elements:
+        if level:
+            live = {n: x for n, x in live.items() if n < level} | {level: content}
+        out.append(" / ".join(live[n] for n in sorted(live)))
+    return out
+
+
+def page_elements(pages: DataFrame, key: str = "page_id", html: str = "html", fallback: str | None = None, paths: bool = False) -> DataFrame:
+    """key, order_index, element_type, content, heading_level, parent_index of every page. fallback: the column that names a page without a title. paths: heading_path too, from the same pass over the page."""
+    columns = [key, "order_index", "element_type", "content", "heading_level", "parent_index"] + ["heading_path"] * paths
+
+    def rows_of(k: object, html: str | None, fallback: str | None) -> list[tuple]:
+        found = elements_of(html, fallback)
+        more = [(p,) for p in running_paths([(e[3], e[2]) for e in found])] if paths else [()] * len(found)
+        return [(k, *e, *m) for e, m in zip(found, more, strict=True)]
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(k, *e) for k, h, f in zip(frame["key"], frame["html"], frame["fallback"], strict=True) for e in elements_of(h, f)]
+            rows = [r for k, h, f in zip(frame["key"], frame["html"], frame["fallback"], strict=True) for r in rows_of(k, h, f)]
             out = pd.DataFrame(rows, columns=columns)
             yield out.astype({"heading_level": "Int32", "parent_index": "Int32"})
 
     rows = pages.select(F.col(key).alias("key"), F.col(html).alias("html"), (F.col(fallback) if fallback else F.lit(None).cast("string")).alias("fallback"))
-    return rows.mapInPandas(parse, f"{key} {pages.schema[key].dataType.simpleString()}, order_index int, element_type string, content string, heading_level int, parent_index int")
+    return rows.mapInPandas(parse, f"{key} {pages.schema[key].dataType.simpleString()}, order_index int, element_type string, content string, heading_level int, parent_index int" + ", heading_path string" * paths)

@@ -13,7 +13,7 @@ from .plans import contracts, generated, guard, reporting
 from .sources import pages as html_pages
 from .storage import fresh_path
 from .streaming import events as event_streams
-from .streaming import traces, worker
+from .streaming import traces, uploads, worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,8 @@ ORACLES: dict[str, str] = {}
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {f.__name__}")
         QUERIES[f.__name__] = f
         if oracle:
             ORACLES[f.__name__] = oracle
@@ -823,7 +825,7 @@ WITH spans AS (SELECT user_id AS trace_id, event_id, event_type, greatest(CAST(f
 ends AS (SELECT trace_id, arg_max(event_type, event_id) AS status FROM spans GROUP BY trace_id)
 SELECT trace_id, ends.status AS status, count(*) AS n_spans, CAST(sum(ms) AS BIGINT) AS span_ms, string_agg(event_type, ',' ORDER BY ts, event_id) AS path
 FROM spans JOIN ends USING (trace_id) GROUP BY ALL""")
-def trace_spans(spark, sf_dir):
+def trace_sink(spark, sf_dir):
     """Users as traces, their events as spans: all in one batch, the batch again, and the same spans in another batch."""
     events = load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
@@ -926,3 +928,19 @@ def version_numbers(spark, sf_dir):
     turns = load(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("document_id"), "turn", "role", F.col("text").alias("clean_text"))
     have = turns.where("role = 'user'").select("document_id", F.sha2(F.col("clean_text").cast("binary"), 256).alias("content_hash")).distinct()
     return documents.numbered_versions(have, turns, "turn").select(F.col("document_id").alias("conv_id"), "turn", "content_hash", "version_no")
+
+
+# Uploads
+
+
+@query("""SELECT upload_id, first_value(upload_id) OVER w AS file_id, row_number() OVER w > 1 AS reused FROM (
+  SELECT 0 AS batch, 'd' || doc_id AS upload_id, text AS content FROM documents UNION ALL SELECT 1, 'c' || conv_id || '-' || turn, text FROM conversations UNION ALL SELECT 2, 'p' || page_id, html FROM pages)
+  WHERE content IS NOT NULL WINDOW w AS (PARTITION BY content ORDER BY batch, upload_id)""")
+def upload_dedupe(spark, sf_dir):
+    """Documents, turns and pages as three batches of uploads, the second one replayed: which file each of them got."""
+    store = uploads.UploadStore(spark, fresh_path(spark, "uploads"))
+    name = lambda letter, *ids: F.concat(F.lit(letter), F.concat_ws("-", *ids))
+    given = [(0, "documents", name("d", "doc_id"), "text"), (1, "conversations", name("c", "conv_id", "turn"), "text"), (1, "conversations", name("c", "conv_id", "turn"), "text"), (2, "pages", name("p", "page_id"), "html")]
+    for batch, table, upload_id, content in given:
+        store.write(load(spark, sf_dir, table).select(upload_id.alias("upload_id"), F.lit(None).cast("timestamp").alias("ts"), F.col(content).alias("content")), batch)
+    return store.answers().select("upload_id", "file_id", "reused")

@@ -4,8 +4,9 @@ Level by level, from words to phrases of five words. A phrase of k words is a pa
 its first k - 1 words and of its last k - 1 words, both frequent (a phrase can't be frequent
 otherwise); a word is a pair of hashes of its language and bytes, 128 bits. At each level
 
-* mappers count hashed pairs into a fixed numpy sketch, summed in a tree; a pair of `least`
-  occurrences is in a cell of as many, so only pairs of such cells are candidates (none is missed);
+* mappers count hashed pairs into a sketch whose cells grow with the corpus, summed by stretches of
+  cells; a pair of `least` occurrences is in a cell of as many, so only pairs of such cells are
+  candidates (none is missed);
 * distinct candidates get a minimal perfect hash with stored keys, at most `group_keys` at a time,
   and it is broadcast, so its size is bounded; more candidates take more passes;
 * mappers look up each pair, bincount slots into a numpy array, and the arrays are summed in a tree;
@@ -36,9 +37,11 @@ from .packed import LOWER, OTHER, U, flat, gram, lists, mixed, packs, sums, word
 from .slot_map import VECTORS, SlotMap, pair_hash, tree_summed, vectors
 from .tables import discard, keep, load, narrowed
 
-WORD_CELLS = 1 << 20
-CELLS = 1 << 22
+CELLS = 1 << 30  # of a row of the sketch, at most
 SKETCH_ROWS = 2
+SEGMENT = 1 << 18  # cells that are summed together
+WAITING = 1 << 22  # cells that a task gathers before it gives out their counts
+WORD_BYTES = 6
 GROUP_KEYS = 1 << 22
 FANS = 64
 PAIR_PARTS = 64
@@ -107,27 +110,60 @@ def _cells(keys: Keys, cells: int) -> list[np.ndarray]:
     return [(pair_hash(keys.a, keys.b, (1 << 20) + row) & U(cells - 1)).astype(np.int64) + row * cells for row in range(SKETCH_ROWS)]
 
 
+def sketch_cells(n: int, least: int, most: int = CELLS) -> int:
+    """Cells for n pairs in all: a cell gets `least` / 4 of them on average, at most, however many there are (up to `most` cells)."""
+    return min(most, 1 << max(14, (4 * n // least).bit_length()))
+
+
 def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarray:
     """One bit a cell: whether pairs of the cell come `least` times together."""
     kind = np.min_scalar_type(least).type
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH_ROWS * cells, kind)
+        waiting: list[np.ndarray] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            at, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            counts = np.minimum(counts, least).astype(kind)
+            segment = at // SEGMENT
+            starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
+            told = [pa.array([x.tobytes() for x in np.split(held, starts[1:])], pa.binary()) for held in ((at % SEGMENT).astype(np.uint32), counts)]
+            return pa.RecordBatch.from_arrays([pa.array(segment[starts].astype(np.int64)), *told], ["segment", "cells", "counts"])
+
         for batch in batches:
             for _, keys in source(batch):
-                for cell in _cells(keys, cells):
-                    at, n = np.unique(cell, return_counts=True)
-                    total[at] = np.minimum(total[at] + n, least)
-        yield from vectors(total, kind, TaskContext.get().partitionId() % FANS)
-
-    def read(at: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(at[counts >= least])], ["cell"])
+                if len(keys.a):
+                    waiting += [cell.astype(np.uint32) for cell in _cells(keys, cells)]
+                    n += SKETCH_ROWS * len(keys.a)
+                if n > WAITING:
+                    yield out()
+                    waiting, n = [], 0
+        if n:
+            yield out()
 
-    out = np.zeros(SKETCH_ROWS * cells, bool)
-    # bounded: a number for each cell
-    for some in tree_summed(df.mapInArrow(count, VECTORS), kind, read, "cell long", most=least).toArrow().column(0).chunks:
-        out[some.to_numpy()] = True
-    return np.packbits(out)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, np.zeros(0, kind)
+        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["segment", "hot"])
+        for batch in batches:
+            for segment, at, counts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                if segment != now:
+                    if (total >= least).any():
+                        yield told()
+                    now, total = segment, np.zeros(SEGMENT, kind)
+                at = np.frombuffer(at, np.uint32)
+                total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(counts, kind), least)
+        if (total >= least).any():
+            yield told()
+
+    out = np.zeros(SKETCH_ROWS * cells // 8, np.uint8)
+    parts = df.mapInArrow(count, "segment long, cells binary, counts binary").repartition("segment").sortWithinPartitions("segment")
+    # bounded: a bit for each cell
+    for batch in parts.mapInArrow(add, "segment long, hot binary").toArrow().to_batches():
+        for segment, hot in zip(batch.column("segment").to_pylist(), batch.column("hot").to_pylist(), strict=True):
+            low = segment * SEGMENT // 8
+            out[low : low + SEGMENT // 8] = np.frombuffer(hot, np.uint8)[: len(out) - low]
+    return out
 
 
 def _is_hot(keys: Keys, hot: np.ndarray) -> np.ndarray:
@@ -311,11 +347,11 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, text_col: str =
     """
     rows = narrowed(docs, text=text_col, lang=lang_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<long>")
-    found, rows = next_level(rows, word_keys, least, min(cells, WORD_CELLS), group_keys, False, False)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found, rows = next_level(rows, word_keys, least, sketch_cells(size // WORD_BYTES, least, cells), group_keys, False, False)
     totals = keep(rows.groupBy("lang").agg(F.sum("words").alias("total")))
     levels = [found.select("slot", "a", "b", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "n", none.alias("lefts"), none.alias("rights"))]
-    # a cell for four to eight words, where that is less
-    cells = min(cells, 1 << max(14, (totals.agg(F.sum("total")).first()[0] or 0).bit_length() - 3))
+    cells = sketch_cells(totals.agg(F.sum("total")).first()[0] or 0, least, cells)
     for k in range(2, longest + 1):
         found, rows = next_level(rows.select("slots").where(F.size("slots") > 2) if k == 2 else rows, slot_keys, least, cells, group_keys, k == longest, k > 2)
         of = lambda side: levels[-1].select(*[F.col(c).alias(side + c) for c in ("slot", "lang", "phrase", "last", "n", "lefts", "rights")])  # noqa: E731, B023

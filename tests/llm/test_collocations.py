@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from lodestone.llm.collocations import collocations
+from lodestone.llm import collocations as module
+from lodestone.llm.collocations import CELLS, collocations, hot_cells, sketch_cells, word_keys
 from lodestone.llm.slot_map import SlotMap
 
 from .fixtures import LOWER, SCHEMA, docs, empty, rows
@@ -57,6 +58,24 @@ def test_shorter_phrases_and_ties(spark):
     assert {r[0] for r in found} == {"x", "y", "und"}
 
 
+@pytest.mark.parametrize("n", [10**7, 10**9, 10**10])
+def test_cells_grow_with_the_corpus(n):
+    assert n / sketch_cells(n, 100) <= 25
+    assert sketch_cells(10**15, 100) == CELLS
+
+
+def test_hot_cells_are_those_of_all_tasks_together(spark, monkeypatch):
+    monkeypatch.setattr(module, "WAITING", 8)
+    texts = ["a b a c", "a b", "b d e f g", "h " * 9, "", "b"]
+    df = spark.createDataFrame([("x", t) for t in texts], "lang string, text string").repartition(3)
+    batch = df.toArrow().to_batches()
+    cells = 1 << 20  # several segments, all words apart
+    keys = [k for b in batch for _, k in word_keys(b)]
+    counts = np.sum([np.bincount(c, minlength=2 * cells) for k in keys for c in module._cells(k, cells)], axis=0)
+    assert len({c // module.SEGMENT for c in np.flatnonzero(counts >= 2)}) > 2
+    assert (np.unpackbits(hot_cells(df, word_keys, 2, cells)).astype(bool) == (counts >= 2)).all()
+
+
 def test_empty_table(spark):
     assert taken(collocations(empty(spark), least=2, longest=2)) == []
 

@@ -14,9 +14,12 @@ enqueued) change nothing; null times and unknown kinds change nothing; a job wit
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -69,7 +72,7 @@ def _events(frame: pd.DataFrame) -> list[dict]:
     return [e | {"ms": int(t), "max_retries": None if e.get("max_retries") is None else int(e["max_retries"]), "progress": None if e.get("progress") is None else int(e["progress"])} for e, t in zip(plain, ms, strict=True)]
 
 
-def _changes(job: dict | None, events: list[dict], timeout_ms: int) -> Iterator[dict]:
+def _changes(job: dict | None, events: Iterable[dict], timeout_ms: int) -> Iterator[dict]:
     """The job after each event or timeout that changed it."""
     for e in events:
         if _late(job, e["ms"], timeout_ms):
@@ -84,16 +87,30 @@ def _changes(job: dict | None, events: list[dict], timeout_ms: int) -> Iterator[
 def states(events: DataFrame, now: str | None = None, timeout_s: int = TIMEOUT_S) -> DataFrame:
     """job_id and its state after all its events. now: a time up to which heartbeats are asked for, as 'yyyy-mm-dd hh:mm:ss' in UTC."""
     until = None if now is None else int(pd.Timestamp(now).value // 1_000_000)
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        job = None
-        for job in _changes(None, _events(frame), 1000 * timeout_s):
-            pass
-        if until is not None and _late(job, until, 1000 * timeout_s):
-            job = step(job, {"kind": "timeout", "ms": job["beat_ms"] + 1000 * timeout_s})
-        return pd.DataFrame([{"job_id": frame["job_id"].iloc[0]} | job] if job else [], columns=["job_id", *FIELDS])
-
-    return events.groupBy("job_id").applyInPandas(fold, f"job_id long, {STATE}")
+    given = {"kind": "string", "worker": "string", "max_retries": "int", "progress": "int", "error": "string"}
+    columns = ["job_id", "ms", *[c for c in given if c in events.columns]]
+    out = pa.schema([("job_id", pa.int64()), *[(f, {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[kind]) for f, kind in (x.split() for x in STATE.split(", "))]])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*[batch.column(c).to_pylist() for c in columns], strict=True))
+        ended: list[dict] = []
+        for key, mine in groupby(rows, itemgetter(0)):
+            job = None
+            for job in _changes(None, (dict(zip(columns, row, strict=True)) for row in mine), 1000 * timeout_s):
+                pass
+            if until is not None and _late(job, until, 1000 * timeout_s):
+                job = step(job, {"kind": "timeout", "ms": job["beat_ms"] + 1000 * timeout_s})
+            if job:
+                ended.append({"job_id": key} | job)
+            if len(ended) == 10_000:
+                yield pa.RecordBatch.from_pylist(ended, out)
+                ended = []
+        yield pa.RecordBatch.from_pylist(ended, out)
+
+    # Spark brings a job's events together and in order; tasks go through many jobs one event at a time
+    narrow = events.where("ts is not null").select(F.col("job_id").cast("long").alias("job_id"), F.unix_millis("ts").alias("ms"), "ts", "event_no", *[F.col(c).cast(given[c]).alias(c) for c in columns[2:]])
+    ordered = narrow.repartition("job_id").sortWithinPartitions("job_id", "ts", F.asc_nulls_last("event_no"))
+    return ordered.select(*columns).mapInArrow(fold, f"job_id long, {STATE}")
 
 
 class _Jobs(StatefulProcessor):

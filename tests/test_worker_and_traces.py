@@ -133,3 +133,10 @@ def test_stream_into_the_sink(spark, sink, tmp_path):
         spark.createDataFrame(part, traces.EVENT).coalesce(1).write.mode("append").parquet(source)
         sink.stream(file_stream(spark, source, traces.EVENT), checkpoint).awaitTermination()
     assert lines(sink) == [(1, 1, "a", 5), (1, 2, "c", 5), (2, 1, "b", 5)]
+
+
+def test_jobs_are_folded_in_one_pass_over_a_task(spark):
+    lives = [event(j, 10 * j + i, i, kind) for j in range(300) for i, kind in enumerate(["enqueue", "lease", "success"][: 1 + j % 3])]
+    found = worker.states(table(spark, lives))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString()  # a frame for each job
+    assert {j: s["status"] for j, s in ended(found).items()} == {j: ["pending", "running", "success"][j % 3] for j in range(300)}

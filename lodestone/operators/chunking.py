@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, trimmed
 
+ROWS = 512  # documents that a task packs at a time
+
 
 def check_options(strategy: str, low: int, high: int, overlap: float) -> None:
     if strategy not in ("section", "paragraph", "sliding_window"):
@@ -52,11 +54,14 @@ def heading_paths(elements: DataFrame, key: str, order: str, level: str, content
 def _pack(units: list[str], low: int, high: int, overlap: float) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     buffer: list[str] = []
+    size = -2  # of the buffer, joined
 
     def flush() -> None:
+        nonlocal size
         if buffer:
             out.append(("paragraph", "\n\n".join(buffer)))
             buffer.clear()
+            size = -2
 
     step = high - max(1, int(high * overlap))
     for unit in units:
@@ -65,10 +70,11 @@ def _pack(units: list[str], low: int, high: int, overlap: float) -> list[tuple[s
             starts = range(0, max(1, len(unit) - high + step), step)
             out += [("sliding_window", piece) for s in starts if (piece := unit[s : s + high].strip())]
             continue
-        if buffer and len("\n\n".join([*buffer, unit])) > high:
+        if size + 2 + len(unit) > high:
             flush()
         buffer.append(unit)
-        if len("\n\n".join(buffer)) >= low:
+        size += 2 + len(unit)
+        if size >= low:
             flush()
     flush()
     return out
@@ -81,16 +87,17 @@ def pack_texts(rows: DataFrame, key: str, units: str, low: int = 300, high: int
     Null and blank units are left out; a row without units gives no chunk.
     """
     check_options("paragraph", low, high, overlap)
-    names = [key, "order_index", "strategy", "chunk_text"]
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at, held in zip(frame["_key"], frame["_units"], strict=True):
-                texts = [t.strip() for t in (held if held is not None else ()) if t and t.strip()]
-                if packed := _pack(texts, low, high, overlap):
-                    yield pd.DataFrame({key: pd.Series([at] * len(packed), dtype=frame["_key"].dtype), "order_index": range(len(packed)), "strategy": [s for s, _ in packed], "chunk_text": [t for _, t in packed]}, columns=names)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, len(whole), ROWS):
+                batch = whole.slice(first, ROWS)
+                packed = [_pack([t for u in held or () if u and (t := u.strip())], low, high, overlap) for held in batch.column("_units").to_pylist()]
+                at = [i for i, chunks in enumerate(packed) for _ in chunks]
+                told = [pa.array([x for chunks in packed for x in some(chunks)], kind) for some, kind in ((lambda c: range(len(c)), pa.int32()), (lambda c: (s for s, _ in c), pa.string()), (lambda c: (t for _, t in c), pa.string()))]
+                yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(at, pa.int64())), *told], [key, "order_index", "strategy", "chunk_text"])
 
-    return rows.select(F.col(key).alias("_key"), F.col(units).alias("_units")).mapInPandas(fold, f"{key} {rows.schema[key].dataType.simpleString()}, order_index int, strategy string, chunk_text string")
+    return rows.select(F.col(key).alias("_key"), F.col(units).alias("_units")).mapInArrow(fold, f"{key} {rows.schema[key].dataType.simpleString()}, order_index int, strategy string, chunk_text string")
 
 
 def pack_paragraphs(units: DataFrame, key: str, order: str, content: str, low: int = 300, high: int = 800, overlap: float = 0.12) -> DataFrame:

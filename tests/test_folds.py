@@ -42,3 +42,11 @@ def test_paths_in_the_pass_over_the_page_equal_the_windows(spark):
 def test_running_paths():
     said = [(None, "p"), (2, "b"), (3, "c"), (None, "p"), (3, "d"), (1, "a"), (4, "e"), (2, "f"), (None, "p")]
     assert pages.running_paths(said) == ["", "b", "b / c", "b / c", "b / d", "a", "a / e", "a / f", "a / f"] and pages.running_paths([]) == []
+
+
+def test_packing_makes_no_frame_for_each_document(spark):
+    rows = spark.createDataFrame([(i, ["ab " * 50, None, " ", "c" * 299, "d" * 2000]) for i in range(1200)] + [(1200, None), (1201, [])], "k long, units array<string>")
+    packed = chunking.pack_texts(rows, "k", "units")
+    assert "MapInArrow" in packed._jdf.queryExecution().toString()
+    found = packed.groupBy("k").count().collect()
+    assert len(found) == 1200 and {r["count"] for r in found} == {4}

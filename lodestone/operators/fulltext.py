@@ -24,16 +24,20 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import exists, removed, written
 
 TOKEN = r"[\p{L}\p{N}\p{M}_]+"
 K1, B = 1.2, 0.75
-SPLITS = 16  # tasks that a bucket's postings are dealt to on the way
+SPLITS = 64  # tasks that a bucket's postings are dealt to on the way
+WORDS = 1 << 20  # words whose postings a task gathers at a time
 
 
 def terms_in(text: Column) -> Column:
@@ -46,6 +50,29 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
 
 
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts (doc, words): a row for each term of each, with where it stands. By term, so that neighbours are alike."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < len(batch):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+            some = batch.slice(first, last - first)
+            length = np.diff(ends[first:last], prepend=before)
+            held = some.column("words").flatten().dictionary_encode()
+            text = np.repeat(np.arange(len(some)), length)
+            position = np.arange(len(text)) - np.repeat(np.cumsum(length) - length, length)
+            key = held.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(some) + text
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            of = text[order[start]]
+            places = pa.ListArray.from_arrays(pa.array(np.r_[start, len(key)], pa.int32()), pa.array(position[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([held.dictionary.take(pa.array(key[start] // len(some))), some.column("doc").take(pa.array(of)), pa.array(length[of], pa.int32()), places], ["term", "doc", "length", "positions"])
+            first = last
+
+
 @dataclass
 class Index:
     spark: SparkSession
@@ -71,14 +98,22 @@ class Index:
     @property
     def documents(self) -> DataFrame:
         """Texts that count."""
-        rows = self._whole("documents", "doc long, batch int, hash string, length int")
-        return rows.join(self.superseded.select("doc", "batch"), ["doc", "batch"], "left_anti")
+        return self._current(self._whole("documents", "doc long, batch int, hash string, length int"))
 
     @property
     def postings(self) -> DataFrame:
         """Postings of the texts that count."""
-        rows = self._whole("postings", "term string, doc long, batch int, tf int, length int, positions array<int>, bucket int")
-        return rows.join(self.superseded.select("doc", "batch"), ["doc", "batch"], "left_anti")
+        return self._current(self._whole("postings", "term string, doc long, batch int, tf int, length int, positions array<int>, bucket int"))
+
+    def _current(self, rows: DataFrame) -> DataFrame:
+        """Rows without superseded ones: only those of batches that have such are compared with them."""
+        gone = self.superseded
+        # a number for each batch
+        partly = [r["batch"] for r in gone.select("batch").distinct().collect()]
+        if not partly:
+            return rows
+        old = F.col("batch").isin(partly)
+        return rows.where(~old).unionByName(rows.where(old).join(gone.select("doc", "batch"), ["doc", "batch"], "left_anti"))
 
     def bucket(self, term: str) -> int:
         return zlib.crc32(term.encode()) % self.buckets
@@ -87,25 +122,35 @@ class Index:
         """Index what is new or changed; returns the batch's number. One writer at a time."""
         text = F.coalesce(F.col(text_col), F.lit(""))
         rows = texts.select(F.col(id_col).cast("long").alias("doc"), text.alias("text"), F.sha2(text.cast("binary"), 256).alias("hash")).where("doc is not null")
-        first = F.row_number().over(Window.partitionBy("doc").orderBy("hash"))
-        rows = rows.withColumn("_n", first).where("_n = 1").drop("_n")
-        have = self.documents.select("doc", F.col("hash").alias("had"), F.col("batch").alias("old"), F.col("length").alias("old_length"))
-        batch = max(self.batches, default=0) + 1
+        known = self.batches
+        batch = max(known, default=0) + 1
         while exists(self.spark, f"{self.path}/words/batch={batch}"):  # what a failed batch left
             batch += 1
-        fresh = rows.join(have, "doc", "left").where("had is null or had <> hash")
-        words = terms_in(F.col("text"))
-        cut = written(fresh.select("doc", "hash", "old", "old_length", words.alias("words")), f"{self.path}/words/batch={batch}").withColumn("part", F.lit(batch))
-        placed = cut.select("doc", F.size("words").alias("length"), "part", F.posexplode("words").alias("position", "term"))
-        placed = placed.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int")).withColumn("split", F.pmod(F.xxhash64("doc"), F.lit(SPLITS)))
-        # one shuffle: rows of a bucket and split meet, and are grouped where they are
-        found = placed.repartition("bucket", "split").groupBy("bucket", "split", "term", "doc", "length", "part").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-        found = found.select("term", "doc", F.col("part").alias("batch"), F.size("positions").alias("tf"), "length", "positions", "part", "bucket").sortWithinPartitions("bucket", "term", "doc")
-        found.write.mode("append").partitionBy("part", "bucket").parquet(f"{self.path}/postings")
-        cut.select("doc", F.col("part").alias("batch"), "hash", F.size("words").alias("length"), "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/documents")
-        cut.where("old is not null").select("doc", F.col("old").alias("batch"), F.col("old_length").alias("length"), "part").write.mode("append").partitionBy("part").parquet(f"{self.path}/superseded")
-        sums = [F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0)), F.count("old"), F.coalesce(F.sum("old_length"), F.lit(0))]
-        cut.agg(*sums).toDF("texts", "words", "gone", "gone_words").select(F.lit(batch).alias("batch"), *[F.col(c).cast("long").alias(c) for c in ("texts", "words", "gone", "gone_words")]).coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
+        # texts themselves stay where they are read: what is new is told by hashes
+        told = rows.select("doc", F.struct("hash", F.size(terms_in(F.col("text"))).alias("length")).alias("t")).groupBy("doc").agg(F.min("t").alias("t"), F.count(F.lit(1)).alias("rows"))
+        told = told.select("doc", "t.hash", "t.length", "rows")
+        if known:
+            have = self.documents.select("doc", F.col("hash").alias("had"), F.col("batch").alias("old"), F.col("length").alias("old_length"))
+            told = told.join(have, "doc", "left").where("had is null or had <> hash").drop("had")
+        else:
+            told = told.withColumns({c: F.lit(None).cast("int") for c in ("old", "old_length")})
+        fresh = written(told, f"{self.path}/words/batch={batch}")
+        sums = [F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.count("old"), F.coalesce(F.sum("old_length"), F.lit(0))]
+        counts = fresh.agg(*sums).toDF("texts", "words", "gone", "gone_words").select(F.lit(batch).alias("batch"), *[F.col(c).cast("long").alias(c) for c in ("texts", "words", "gone", "gone_words")])
+        fresh.select("doc", F.lit(batch).alias("batch"), "hash", "length").write.mode("append").parquet(f"{self.path}/documents/part={batch}")
+        fresh.where("old is not null").select("doc", F.col("old").alias("batch"), F.col("old_length").alias("length")).write.mode("append").parquet(f"{self.path}/superseded/part={batch}")
+        if known:
+            rows = rows.join(fresh.select("doc", "hash"), ["doc", "hash"], "left_semi")
+        if fresh.where("rows > 1").limit(1).count():
+            # ids with several rows: one text of each
+            several = written(fresh.where("rows > 1").select("doc", "hash"), f"{self.path}/words/batch={batch}/several")
+            again = rows.join(several, ["doc", "hash"], "left_semi").dropDuplicates(["doc", "hash"])
+            rows = rows.join(several.select("doc"), "doc", "left_anti").unionByName(again)
+        found = rows.select("doc", terms_in(F.col("text")).alias("words")).mapInArrow(_postings, "term string, doc long, length int, positions array<int>")
+        found = found.withColumn("bucket", (F.crc32(F.col("term").cast("binary")) % self.buckets).cast("int")).repartition("bucket", F.pmod(F.xxhash64("doc"), F.lit(SPLITS)))
+        found = found.sortWithinPartitions("bucket", "term", "doc").select("term", "doc", F.lit(batch).alias("batch"), F.size("positions").alias("tf"), "length", "positions", "bucket")
+        found.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings/part={batch}")
+        counts.coalesce(1).write.mode("append").parquet(f"{self.path}/batches")
         removed(self.spark, f"{self.path}/words/batch={batch}")
         return batch
 

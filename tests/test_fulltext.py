@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -111,3 +112,21 @@ def test_empty_table(spark):
     index.add(spark.createDataFrame([], "doc_id long, text string"))
     assert index.search("power").count() == 0
     assert index.frequencies().count() == 0
+
+
+def test_postings_are_made_where_a_text_is_read(monkeypatch):
+    monkeypatch.setattr(fulltext, "WORDS", 4)
+    texts = [(7, ["b", "a", "b"]), (8, []), (9, ["a"]), (10, ["c"] * 6), (11, [])]
+    batch = fulltext.pa.RecordBatch.from_pylist([{"doc": d, "words": w} for d, w in texts], fulltext.pa.schema([("doc", fulltext.pa.int64()), ("words", fulltext.pa.list_(fulltext.pa.string()))]))
+    got = {(r["term"], r["doc"], r["length"], tuple(r["positions"])) for b in fulltext._postings(iter([batch, batch.slice(1, 1)])) for r in b.to_pylist()}
+    assert got == {("b", 7, 3, (0, 2)), ("a", 7, 3, (1,)), ("a", 9, 1, (0,)), ("c", 10, 6, tuple(range(6)))}
+
+
+def test_repeated_ids_count_once(spark):
+    index = Index(spark, fresh_path(spark, "fulltext"), 4)
+    rows = [(1, "sun"), (1, "sun"), (2, "moon"), (2, "sun sun"), (3, "sun")]
+    for _ in range(2):
+        index.add(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = [(1, "sun"), (3, "sun"), min(((2, t) for t in ("moon", "sun sun")), key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())]
+    assert index.batches[1]["texts"] == 3 and index.batches[2]["texts"] == 0
+    assert found(index.search("sun")) == pytest.approx(brute(kept, "sun"))

@@ -40,7 +40,8 @@ from .tables import discard, keep, load, narrowed
 CELLS = 1 << 30  # of a row of the sketch, at most
 SKETCH_ROWS = 2
 SEGMENT = 1 << 18  # cells that are summed together
-WAITING = 1 << 22  # cells that a task gathers before it gives out their counts
+WAITING = 1 << 21  # cells that a task gathers before it counts them
+HELD = 1 << 22  # different cells that a task counts before it gives out their counts
 WORD_BYTES = 6
 GROUP_KEYS = 1 << 22
 FANS = 64
@@ -68,6 +69,13 @@ def _language_hash(lang: str) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little"), int.from_bytes(d[8:], "little")
 
 
+def _word_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray, langs: list[str], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each word low[start:end] and its language langs[of]."""
+    by_lang = {lang: _language_hash(lang) for lang in set(langs)}
+    turn = np.array([by_lang[lang] for lang in langs], U).reshape(-1, 2)[of]
+    return mixed(gram(sums(low), start, end) ^ turn[:, 0]), mixed(gram(sums(low, OTHER), start, end) ^ turn[:, 1])
+
+
 def word_keys(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Keys]]:
     """Of rows (lang, text): the pairs are words, and pieces are parted by a position without one."""
     for rows, held, ends in packs(iter([batch]), "text"):
@@ -75,10 +83,7 @@ def word_keys(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Keys]]:
         start, end, per_row = words(low, ends, OUTSIDE)
         row = np.repeat(np.arange(len(rows)), per_row)
         langs = rows.column("lang").to_pylist()
-        by_lang = {lang: _language_hash(lang) for lang in set(langs)}
-        of = np.array([by_lang[lang] for lang in langs], np.uint64).reshape(-1, 2)
-        a = mixed(gram(sums(low), start, end) ^ of[row, 0])
-        b = mixed(gram(sums(low, OTHER), start, end) ^ of[row, 1])
+        a, b = _word_hashes(low, start, end, langs, row)
         cut = np.zeros(len(start), np.int64)  # a break before the word
         marks = np.zeros(len(low) + 1, np.int64)
         np.cumsum(BREAK[low], out=marks[1:])
@@ -115,21 +120,46 @@ def sketch_cells(n: int, least: int, most: int = CELLS) -> int:
     return min(most, 1 << max(14, (4 * n // least).bit_length()))
 
 
-def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarray:
-    """One bit a cell: whether pairs of the cell come `least` times together."""
+def told(x: np.ndarray) -> bytes:
+    """Numbers from 0 up in the fewest bytes that hold each, after that width."""
+    width = np.min_scalar_type(x.max(initial=0)).itemsize
+    return bytes([width]) + x.astype(f"u{width}").tobytes()
+
+
+def heard(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"u{x[0]}", offset=1)
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    """What lies between ascending numbers, from 0 on; `np.cumsum` turns it back."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def cell_counts(source: Source, least: int, cells: int):
+    """(segment, gaps between cells, their counts up to `least`) of a task's pairs; each cell of a task once, as far as HELD cells."""
     kind = np.min_scalar_type(least).type
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         n = 0
+        at, counts = np.zeros(0, np.uint32), np.zeros(0, kind)
+
+        def merge() -> None:
+            nonlocal at, counts, waiting, n
+            new, times = np.unique(np.concatenate(waiting), return_counts=True)
+            both = np.concatenate([at, new])
+            order = np.argsort(both, kind="stable")
+            both = both[order]
+            first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+            times = np.concatenate([counts, np.minimum(times, least).astype(kind)])[order]
+            at, counts = both[first], np.minimum(np.add.reduceat(times, first, dtype=np.int64), least).astype(kind)
+            waiting, n = [], 0
 
         def out() -> pa.RecordBatch:
-            at, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            counts = np.minimum(counts, least).astype(kind)
             segment = at // SEGMENT
             starts = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]])
-            told = [pa.array([x.tobytes() for x in np.split(held, starts[1:])], pa.binary()) for held in ((at % SEGMENT).astype(np.uint32), counts)]
-            return pa.RecordBatch.from_arrays([pa.array(segment[starts].astype(np.int64)), *told], ["segment", "cells", "counts"])
+            places, times = (np.split(x, starts[1:]) for x in (at % SEGMENT, counts))
+            return pa.RecordBatch.from_arrays([pa.array(segment[starts].astype(np.int64)), pa.array([told(gaps(x)) for x in places], pa.binary()), pa.array([x.tobytes() for x in times], pa.binary())], ["segment", "cells", "counts"])
 
         for batch in batches:
             for _, keys in source(batch):
@@ -137,27 +167,38 @@ def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarr
                     waiting += [cell.astype(np.uint32) for cell in _cells(keys, cells)]
                     n += SKETCH_ROWS * len(keys.a)
                 if n > WAITING:
-                    yield out()
-                    waiting, n = [], 0
+                    merge()
+                    if len(at) > HELD:
+                        yield out()
+                        at, counts = at[:0], counts[:0]
         if n:
+            merge()
+        if len(at):
             yield out()
 
+    return count
+
+
+def hot_cells(df: DataFrame, source: Source, least: int, cells: int) -> np.ndarray:
+    """One bit a cell: whether pairs of the cell come `least` times together."""
+    kind = np.min_scalar_type(least).type
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, total = None, np.zeros(0, kind)
-        told = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["segment", "hot"])
+        found = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], ["segment", "hot"])
         for batch in batches:
             for segment, at, counts in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 if segment != now:
                     if (total >= least).any():
-                        yield told()
+                        yield found()
                     now, total = segment, np.zeros(SEGMENT, kind)
-                at = np.frombuffer(at, np.uint32)
+                at = np.cumsum(heard(at), dtype=np.int64)
                 total[at] = np.minimum(total[at].astype(np.int64) + np.frombuffer(counts, kind), least)
         if (total >= least).any():
-            yield told()
+            yield found()
 
     out = np.zeros(SKETCH_ROWS * cells // 8, np.uint8)
-    parts = df.mapInArrow(count, "segment long, cells binary, counts binary").repartition("segment").sortWithinPartitions("segment")
+    parts = df.mapInArrow(cell_counts(source, least, cells), "segment long, cells binary, counts binary").repartition("segment").sortWithinPartitions("segment")
     # bounded: a bit for each cell
     for batch in parts.mapInArrow(add, "segment long, hot binary").toArrow().to_batches():
         for segment, hot in zip(batch.column("segment").to_pylist(), batch.column("hot").to_pylist(), strict=True):
@@ -203,7 +244,7 @@ def _texts(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
     """Distinct pairs (a, b) of hot cells; named: with lang and word.
 
-    Pairs travel as arrays, dealt by hash, and are made distinct again where they meet.
+    Pairs travel as arrays of few bytes, words as they are written, dealt by hash, and are made distinct again where they meet.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,22 +253,23 @@ def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
         n = 0
 
         def out() -> pa.RecordBatch:
-            pairs = np.concatenate([w[0] for w in waiting])
-            part = (pair_hash(pairs[:, 0], pairs[:, 1], 1 << 21) % U(PAIR_PARTS)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            a, b = (np.concatenate([w[i] for w in waiting]) for i in (0, 1))
+            part = (pair_hash(a, b, 1 << 21) % U(PAIR_PARTS)).astype(np.int64)
+            order = np.argsort(part, kind="stable") if named else np.lexsort((b, a, part))
             held = np.bincount(part, minlength=PAIR_PARTS)
             used = np.flatnonzero(held)
-            columns = [pa.array(used), pa.array([x.tobytes() for x in np.split(pairs[order], np.cumsum(held[used])[:-1])], pa.binary())]
             if named:
-                told = np.array([t for w in waiting for t in w[1]], object).reshape(-1, 2)[order]
-                columns += [_texts(told[:, i], held[used]) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, ["part", "pairs", "langs", "words"][: len(columns)])
+                # hashes are made anew where words meet
+                texts = np.array([t for w in waiting for t in w[2]], object).reshape(-1, 2)[order]
+                return pa.RecordBatch.from_arrays([pa.array(used), *[_texts(texts[:, i], held[used]) for i in (0, 1)]], ["part", "langs", "words"])
+            firsts, seconds = (np.split(x[order], np.cumsum(held[used])[:-1]) for x in (a, b))
+            return pa.RecordBatch.from_arrays([pa.array(used), pa.array([told(gaps(x)) for x in firsts], pa.binary()), pa.array([told(x) for x in seconds], pa.binary())], ["part", "a", "b"])
 
         for batch in batches:
             for _, keys in source(batch):
                 some = _is_hot(keys, hot.value)
                 new = some[seen.new(keys.a[some], keys.b[some])]
-                waiting.append((np.column_stack([keys.a[new], keys.b[new]]), keys.text(new) if named else []))
+                waiting.append((keys.a[new], keys.b[new], keys.text(new) if named else []))
                 n += len(new)
                 if n > 1 << 18:
                     yield out()
@@ -239,16 +281,21 @@ def candidates(df: DataFrame, source: Source, hot, named: bool) -> DataFrame:
         seen = Seen()
         for batch in batches:
             for row in range(len(batch)):
-                pairs = np.frombuffer(batch.column("pairs")[row].as_py(), np.uint64).reshape(-1, 2)
-                a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
+                if named:
+                    langs, texts = (batch.column(c)[row].values for c in ("langs", "words"))
+                    held, ends = flat(texts)
+                    held, ends = held[ends[0] : ends[-1]], ends - ends[0]
+                    a, b = _word_hashes(held, ends[:-1], ends[1:], langs.to_pylist(), np.arange(len(texts)))
+                else:
+                    a, b = np.cumsum(heard(batch.column("a")[row].as_py()), dtype=U), heard(batch.column("b")[row].as_py()).astype(U)
                 new = seen.new(a, b)
                 columns = [pa.array(a[new].view(np.int64)), pa.array(b[new].view(np.int64))]
                 if named:
-                    columns += [batch.column(c)[row].values.take(pa.array(new)) for c in ("langs", "words")]
+                    columns += [x.take(pa.array(new)) for x in (langs, texts)]
                 yield pa.RecordBatch.from_arrays(columns, ["a", "b", "lang", "word"][: len(columns)])
 
-    more, told = (", langs array<string>, words array<string>", ", lang string, word string") if named else ("", "")
-    found = df.mapInArrow(find, f"part long, pairs binary{more}").repartition("part").mapInArrow(merge, f"a long, b long{told}")
+    sent, made = ("langs array<string>, words array<string>", ", lang string, word string") if named else ("a binary, b binary", "")
+    found = df.mapInArrow(find, f"part long, {sent}").repartition("part").mapInArrow(merge, f"a long, b long{made}")
     return found.groupBy("a", "b").agg(F.min("lang").alias("lang"), F.min("word").alias("word")) if named else found.distinct()
 
 

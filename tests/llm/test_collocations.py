@@ -2,6 +2,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodestone.llm import collocations as module
@@ -76,6 +77,28 @@ def test_hot_cells_are_those_of_all_tasks_together(spark, monkeypatch):
     assert (np.unpackbits(hot_cells(df, word_keys, 2, cells)).astype(bool) == (counts >= 2)).all()
 
 
+def test_a_task_gives_each_cell_once_in_few_bytes(monkeypatch):
+    monkeypatch.setattr(module, "WAITING", 5000)
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 40_000) for _ in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x"] * 200), pa.array(texts)], ["lang", "text"])
+    cells = 1 << 18
+    out = [b for part in module.cell_counts(word_keys, 100, cells)(iter([batch.slice(i, 20) for i in range(0, 200, 20)])) for b in part.to_pylist()]
+    at = np.concatenate([b["segment"] * module.SEGMENT + np.cumsum(module.heard(b["cells"]), dtype=np.int64) for b in out])
+    counts = np.concatenate([np.frombuffer(b["counts"], np.uint8) for b in out])
+    want = np.sum([np.bincount(c, minlength=2 * cells) for _, k in word_keys(batch) for c in module._cells(k, cells)], axis=0)
+    assert (at == np.flatnonzero(want)).all() and (counts == np.minimum(want[at], 100)).all()
+    # one or two bytes tell where a cell is, one how often it came
+    assert sum(len(b["cells"]) + len(b["counts"]) for b in out) < 3.1 * len(at)
+
+
+@pytest.mark.parametrize("most", [0, 255, 256, 70_000, 1 << 40])
+def test_numbers_are_heard_as_told(most):
+    x = np.array([0, most, most // 2, most], np.uint64)
+    assert (module.heard(module.told(x)) == x).all() and (np.cumsum(module.heard(module.told(module.gaps(np.sort(x)))), dtype=np.uint64) == np.sort(x)).all()
+    assert len(module.heard(module.told(x[:0]))) == 0
+
+
 def test_empty_table(spark):
     assert taken(collocations(empty(spark), least=2, longest=2)) == []
 
